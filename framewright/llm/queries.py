@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewright.llm import audio
+from framewright.llm import audio, bpe, decontam
 from framewright.llm.scratch import materialize
 
 
@@ -20,8 +21,37 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.analyse(media)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document lie in windows of which benchmark items."""
+    found = decontam.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    c = F.col("contamination")
+    return found.select(
+        "doc_id",
+        c.n_words.alias("n_words"),
+        c.n_hit.alias("n_hit"),
+        F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(c["items"]), ","), 256).alias("items_sha256"),
+        (c.n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": decontam.ORACLE,
+}
