@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import audio, bpe, decontam
+from framewright.llm import audio, bpe, chat, decontam, quality, token_files, toxicity
 from framewright.llm.scratch import materialize
+from framewright.llm.training import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learned from the rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from the rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -46,12 +61,31 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one that spells out control strings, formatted, stored and read back."""
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    stored = materialize(chat.format_chat(rows.withColumn("parts", chat.text_parts())), "chat")
+    return chat.digests(stored)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and the end id 2, written to files and read back."""
+    return token_files.store_and_check(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, vocabulary=50_257)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_decontamination": op8_decontamination,
+    "op9_chat_format": op9_chat_format,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": decontam.ORACLE,
+    "op9_chat_format": chat.ORACLE,
 }
