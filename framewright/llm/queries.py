@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import audio, bpe, chat, decontam, quality, token_files, toxicity
+from framewright.llm import audio, bpe, chat, decontam, near_dup, quality, token_files, toxicity
 from framewright.llm.scratch import materialize
 from framewright.llm.training import held_out
 
@@ -28,6 +28,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates."""
+    return near_dup.NearDuplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).classes()
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score, learned from the rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -77,6 +82,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
     "op7_bpe_round_trip": op7_bpe_round_trip,
