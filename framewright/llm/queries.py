@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import audio, bpe, chat, decontam, near_dup, quality, token_files, toxicity
+from framewright.llm import audio, bpe, chat, decontam, licenses, near_dup, pii, quality, token_files, toxicity
 from framewright.llm.scratch import materialize
 from framewright.llm.training import held_out
 
@@ -33,6 +33,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.NearDuplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).classes()
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence notices."""
+    return licenses.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score, learned from the rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -40,6 +45,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The key of the registered queries; a deployment gives its own.
+DEMONSTRATION_KEY = "framewright demonstration key"
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms, and what was replaced."""
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMONSTRATION_KEY, found="kinds")
+    return docs.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, learned from the rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -83,7 +98,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_licence_scan": op3_licence_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_quality": op6_quality,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_decontamination": op8_decontamination,
@@ -92,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_licence_scan": licenses.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op9_chat_format": chat.ORACLE,
 }
