@@ -16,8 +16,10 @@ default.  Memory follows the longest text, not the number of rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from itertools import filterfalse
 
@@ -62,6 +64,7 @@ class Encoder:
         self.to_char = byte_characters()
         to_byte = {c: b for b, c in self.to_char.items()}
         added = self.library.get_added_tokens_decoder()
+        self.specials = [t.content for t in added.values()]
         self.special = regex.compile("|".join(regex.escape(t.content) for t in sorted(added.values(), key=lambda t: -len(t.content)))) if added else None
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         spelled = [b""] * (max(vocabulary.values()) + 1)
@@ -94,6 +97,16 @@ class Encoder:
                 pieces = ("\0" + text.replace("\n", " \n")).split(" ")
             cut.append(pieces)
             new.update(filterfalse(known, pieces))
+        paused = gc.isenabled()
+        gc.disable()  # many small lists and no cycles; collections would walk the whole table
+        try:
+            return self._encode_cut(texts, cut, new)
+        finally:
+            if paused:
+                gc.enable()
+
+    def _encode_cut(self, texts: list[str | None], cut: list[list[str]], new: set[str]) -> list[bytes]:
+        table, known = self.table, self.table.__contains__
         self.learn(list(new))
         value = table.__getitem__
         out: list[bytes | None] = []
@@ -112,27 +125,55 @@ class Encoder:
             out[k] = b"".join(map(value, cut[k]))
         for key in new | again:
             if len(key) > LONGEST_KEPT:
-                del table[key]
+                table.pop(key, None)
         return out
 
     def learn(self, keys: list[str]) -> None:
-        """Encode pieces that are not in the table yet."""
-        self.table.update((k, None) for k in keys if k[:2] != "\0\0" and not SAFE_END.search(k[k[:1] == "\0" :]))
-        keys = [k for k in keys if k not in self.table]
-        texts = [k[2:] if k[:2] == "\0\0" else k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in keys]
+        """Encode pieces that are not in the table yet; what their words have in it already is used."""
+        table, have, plain = self.table, self.table.get, _PLAIN.fullmatch
+        marked = {k for s in self.specials for k in keys if s in k}
         words: dict[str, int] = {}
-        split: list[list[int] | None] = []
-        for text in texts:
-            if self.special is not None and self.special.search(text):
-                split.append(None)
+        number = words.setdefault
+        waiting: list[tuple[str, list[bytes | int]]] = []
+        for key in keys:
+            if key in table:
+                continue
+            first = key[:1]
+            if key[:2] == "\0\0":
+                text = key[2:]
+            elif key[-1:] not in SAFE and not SAFE_END.search(key[first == "\0" :]):
+                table[key] = None
+                continue
             else:
-                split.append([words.setdefault(w, len(words)) for w in SPLIT.findall(text)])
+                text = key[1:] if first == "\0" else key if first == "\n" else " " + key
+            if key in marked:
+                table[key] = np.array(self.with_specials(text), dtype="<u4").tobytes()
+                continue
+            m = plain(text)
+            if m is None:
+                waiting.append((key, [number(w, len(words)) for w in SPLIT.findall(text)]))
+                continue
+            lead, letters, marks = m.groups()
+            known = have(letters if lead == " " else "\0" + letters)
+            if known is None:
+                known = number(" " + letters if lead == " " else letters, len(words))
+            parts = [number("\n", len(words)), known] if lead == "\n" else [known]
+            if marks:
+                known = have("\0" + marks)
+                parts.append(number(marks, len(words)) if known is None else known)
+            waiting.append((key, parts))
         encoded = self.encode_words(list(words))
-        for key, text, own in zip(keys, texts, split, strict=True):
-            if own is None:
-                self.table[key] = np.array(self.with_specials(text), dtype="<u4").tobytes()
+        for key, parts in waiting:
+            if len(parts) == 1:
+                x = parts[0]
+                table[key] = encoded[x] if type(x) is int else x
             else:
-                self.table[key] = encoded[own[0]] if len(own) == 1 else b"".join([encoded[k] for k in own])
+                table[key] = b"".join([encoded[x] if type(x) is int else x for x in parts])
+        for word, ids in zip(words, encoded, strict=True):
+            if word[0] == " " and word[1:].isalpha() and len(word) <= LONGEST_KEPT:
+                table[word[1:]] = ids
+            elif len(word) <= 4 and word[0] != "\0" and word[-1] in SAFE:
+                table["\0" + word] = ids
 
     def with_specials(self, text: str) -> list[int]:
         """A piece that spells out special tokens; what lies between them is pre-tokenised apart."""
@@ -149,6 +190,10 @@ class Encoder:
         return np.frombuffer(b"".join(self.encode_words(words)), dtype="<u4").tolist()
 
     def spell(self, word: str) -> str:
+        if word.isalpha() and word.isascii():
+            return word
+        if word[0] == " " and word[1:].isalpha() and word.isascii():
+            return self.to_char[32] + word[1:]
         return word.encode("utf-8").decode("latin-1").translate(self.to_char)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -209,6 +254,11 @@ class Encoder:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+#: The commonest pieces: an optional space or line feed, letters, and marks that stay together.
+_PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+SAFE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?%&*$#@()[]{}<>|/+-=_\"'")
 #: A piece that ends so is followed by a true cut: no white space, control or separator character.
 SAFE_END = regex.compile(r"[^\s\p{C}\p{Z}]\Z")
 _CUT = regex.compile(r"(?V1)(?<=[^\s\p{C}\p{Z}])(?=[ \n])")
