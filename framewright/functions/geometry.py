@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framewright.functions.numeric import clip
+from framewright.functions.numeric import clip, let
 
 POINT = "struct<x: double, y: double, z: double>"
 
@@ -78,7 +78,7 @@ def project(p: Column, x: Column, y: Column, z: Column) -> Column:
 def in_view(pixel: Column, width: Column, height: Column) -> Column:
     """In front of the camera and on its image; passes where the image or the matrix is unknown."""
     inside = (pixel.depth > 0) & (pixel.u >= 0) & (pixel.u < width) & (pixel.v >= 0) & (pixel.v < height)
-    return F.coalesce(inside, F.lit(True) & (width.isNull() | height.isNull() | pixel.depth.isNull()))
+    return F.when(width.isNull() | height.isNull() | pixel.depth.isNull(), True).otherwise(F.coalesce(inside, F.lit(False)))
 
 
 def radius(x: Column, y: Column, z: Column) -> Column:
@@ -115,10 +115,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def basis(ray: Column, near_up: float = 0.999) -> Column:
     """Two unit vectors across a unit ray; beside x where the ray is nearly upright."""
+    return let(_beside(ray, near_up), lambda u: F.struct(u.alias("u"), cross(ray, u).alias("v")))
+
+
+def _beside(ray: Column, near_up: float) -> Column:
     up = F.when(F.abs(ray.z) > near_up, point(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(point(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    side = cross(ray, up)
-    u = unit_ray(side.x, side.y, side.z)
-    return F.struct(u.alias("u"), cross(ray, u).alias("v"))
+    return let(cross(ray, up), lambda s: unit_ray(s.x, s.y, s.z))
 
 
 def in_box(x: Column, y: Column, z: Column, lo: Column, hi: Column) -> Column:
@@ -138,14 +140,15 @@ def in_oriented_box(x: Column, y: Column, z: Column, b: Column) -> Column:
 
 def in_pyramid(x: Column, y: Column, z: Column, apex: Column, base: Column, half: float) -> Column:
     """Strictly inside the pyramid from ``apex`` whose square base of half side ``half`` is about ``base``."""
-    ax, ay, az = base.x - apex.x, base.y - apex.y, base.z - apex.z
-    depth = radius(ax, ay, az)
-    ray = unit_ray(ax, ay, az)
-    axes = basis(ray)
+    way = point(base.x - apex.x, base.y - apex.y, base.z - apex.z)
     p = point(x - apex.x, y - apex.y, z - apex.z)
-    t = dot(p, ray)
-    edge = half * t / F.nullif(depth, F.lit(0.0))
-    return F.coalesce((t > 0) & (t < depth) & (F.abs(dot(p, axes.u)) < edge) & (F.abs(dot(p, axes.v)) < edge), F.lit(False))
+
+    def inside(way: Column, ray: Column, u: Column, v: Column) -> Column:
+        depth, t = radius(way.x, way.y, way.z), dot(p, ray)
+        edge = half * t / F.nullif(depth, F.lit(0.0))
+        return F.coalesce((t > 0) & (t < depth) & (F.abs(dot(p, u)) < edge) & (F.abs(dot(p, v)) < edge), F.lit(False))
+
+    return let(way, lambda w: let(unit_ray(w.x, w.y, w.z), lambda r: let(_beside(r, 0.999), lambda u: inside(w, r, u, cross(r, u)))))
 
 
 def ray_class(x: Column, y: Column, z: Column, b: Column) -> Column:

@@ -32,7 +32,8 @@ INFEASIBLE = 1e9
 def passes_difficulty(height: F.Column, occluded: F.Column, truncated: F.Column, level: str) -> F.Column:
     """Tall, visible and whole enough; boxes without these fields pass."""
     least, occlusion, truncation = DIFFICULTY[level]
-    return F.coalesce((height >= least) & (occluded <= occlusion) & (truncated <= truncation), F.lit(True) & (height.isNull() | occluded.isNull() | truncated.isNull()))
+    known = height.isNotNull() & occluded.isNotNull() & truncated.isNotNull()
+    return ~known | ((height >= least) & (occluded <= occlusion) & (truncated <= truncation))
 
 
 def as_corners(rows: pd.Series) -> list[np.ndarray]:
@@ -43,12 +44,14 @@ def overlaps(a: DataFrame, b: DataFrame, frame: str) -> DataFrame:
     """``frame, a_idx, b_idx, iou`` of all pairs of a frame with a positive overlap."""
     schema = f"{frame} string, a_idx int, b_idx int, iou double"
 
-    def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["is_left"]].sort_values("idx"), group[~group["is_left"]].sort_values("idx")
         ca, cb = as_corners(left["corners"]), as_corners(right["corners"])
-        rows = [(left[frame].iloc[0], int(i), int(j), v) for i, p in zip(left["idx"], ca, strict=True) for j, q in zip(right["idx"], cb, strict=True) if (v := iou_3d(p, q)) > 0]
+        rows = [(group[frame].iloc[0], int(i), int(j), v) for i, p in zip(left["idx"], ca, strict=True) for j, q in zip(right["idx"], cb, strict=True) if (v := iou_3d(p, q)) > 0]
         return pd.DataFrame(rows, columns=[frame, "a_idx", "b_idx", "iou"])
 
-    return a.select(frame, "idx", "corners").groupBy(frame).cogroup(b.select(frame, "idx", "corners").groupBy(frame)).applyInPandas(measure, schema)
+    side = lambda df, is_left: df.select(frame, "idx", "corners", F.lit(is_left).alias("is_left"))
+    return side(a, True).unionByName(side(b, False)).groupBy(frame).applyInPandas(measure, schema)
 
 
 def match(predictions: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float], thresholds: DataFrame | None = None) -> DataFrame:

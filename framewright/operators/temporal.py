@@ -54,7 +54,8 @@ def strides(df: DataFrame, scene: str, order: list[str], value: str, back: list[
 
 def recent(df: DataFrame, scene: str, seconds: str, value: str, span: float, most: int, name: str = "recent") -> DataFrame:
     """Values of earlier frames within ``span`` seconds, newest first, ``most`` at most."""
-    band = W.partitionBy(scene).orderBy(seconds).rangeBetween(-span, 0)
+    micros = F.round(F.col(seconds) * 1_000_000).cast("long")  # range frames take whole numbers
+    band = W.partitionBy(scene).orderBy(micros).rangeBetween(-round(span * 1_000_000), 0)
     pairs = F.collect_list(F.struct(F.col(seconds).alias("t"), F.col(value).alias("v"))).over(band)
     earlier = F.filter(pairs, lambda p: p.t < F.col(seconds))
     return df.withColumn(name, F.transform(F.slice(F.sort_array(earlier, asc=False), 1, most), lambda p: p.v))

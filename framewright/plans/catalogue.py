@@ -105,9 +105,9 @@ def frame_index(v: Views) -> DataFrame:
     return temporal.frame_index(df, "sequence_id", ["ts", "frame_id"], "idx").select("sequence_id", "frame_id", F.col("idx").cast("long").alias("idx"))
 
 
-@query("SELECT sequence_id, scene_length, attack, CAST(attack_start_index AS BIGINT) AS attack_start_index FROM v_plan")
+@query("SELECT sequence_id, scene_length, attack, CAST(coalesce(attack_start_index, -1) AS BIGINT) AS attack_start_index FROM v_plan")
 def scene_plan(v: Views) -> DataFrame:
-    return v.plan().withColumn("attack_start_index", F.col("attack_start_index").cast("long"))
+    return v.plan().withColumn("attack_start_index", F.coalesce("attack_start_index", F.lit(-1)).cast("long"))
 
 
 @query("SELECT sequence_id, frame_id AS attack_start_frame_id, CAST(attack_start_index AS BIGINT) AS attack_start_index FROM v_verdict WHERE idx = attack_start_index")
@@ -165,7 +165,7 @@ def sweep_cadence(v: Views) -> DataFrame:
     return rounded(rounded(out, "mean_gap", "median_gap", "min_gap", "max_gap", places=4), "span", places=3)
 
 
-@query("""SELECT class, day, round(sqrt(list_sum(list_transform(list_zip(q, lag(q) OVER (PARTITION BY class ORDER BY day)), p -> (p[1] - p[2]) * (p[1] - p[2]))) / 64), 5) AS w2 FROM (
+@query("""SELECT class, day, round(sqrt(list_sum(list_transform(list_zip(q, lag(q) OVER (PARTITION BY class ORDER BY day)), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 64), 5) AS w2 FROM (
   SELECT class, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, quantile_cont(x, list_transform(range(64), i -> (i + 0.5) / 64)) AS q FROM v_frames GROUP BY 1, 2)""".replace("list_transform(range(64), i -> (i + 0.5) / 64)", "[" + ", ".join(str((k + 0.5) / 64) for k in range(64)) + "]"))
 def wasserstein_lag(v: Views) -> DataFrame:
     df = v.frames().withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
@@ -287,12 +287,12 @@ def nulls_last_sort(v: Views) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE WHEN t IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(t, '[0-9]+') THEN 'int' WHEN regexp_full_match(t, '[0-9]+\\.[0-9]*') THEN 'float' ELSE 'str' END AS kind,
-  CASE WHEN regexp_full_match(t, '[0-9]+') THEN CAST(t AS BIGINT) END AS i FROM (
+  CASE WHEN regexp_full_match(t, '[0-9]+') THEN CAST(t AS BIGINT) ELSE -1 END AS i FROM (
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN CAST(event_id AS VARCHAR) || '.5' ELSE event_type END AS t FROM events)""")
 def typed_literal_parse(v: Views) -> DataFrame:
     k, text = F.col("event_id") % 4, F.col("event_id").cast("string")
     t = F.when(k == 0, "true").when(k == 1, text).when(k == 2, F.concat(text, F.lit(".5"))).otherwise(F.col("event_type"))
-    return v.table("events").select("event_id", parse_literal(t).alias("p")).select("event_id", "p.kind", "p.i")
+    return v.table("events").select("event_id", parse_literal(t).alias("p")).select("event_id", "p.kind", F.coalesce("p.i", F.lit(-1)).alias("i"))
 
 
 @query("""SELECT user_id, 'car' AS class, level, round(ap, 6) AS ap FROM (SELECT user_id, avg(value) AS easy, min(value) AS moderate, max(value) AS hard FROM events GROUP BY 1) UNPIVOT (ap FOR level IN (easy, moderate, hard))""")
@@ -375,7 +375,7 @@ def box_corners(v: Views) -> DataFrame:
     return rounded(v.boxes().select("box_id", F.posexplode(c).alias("k", "c")).select("box_id", "k", F.col("c.x").alias("cx"), F.col("c.z").alias("cz")), "cx", "cz")
 
 
-@query("SELECT frame_id, point_idx, CAST(len(list_filter([-10.0, -5.0, 0.0, 5.0, 10.0], e -> e <= x)) AS INTEGER) AS bin, round(greatest(-5.0, least(5.0, y)), 6) AS clipped FROM v_points")
+@query("SELECT frame_id, point_idx, CAST(len(list_filter([-10.0, -5.0, 0.0, 5.0, 10.0], lambda e: e <= x)) AS INTEGER) AS bin, round(greatest(-5.0, least(5.0, y)), 6) AS clipped FROM v_points")
 def digitize_clip(v: Views) -> DataFrame:
     return v.points().select("frame_id", "point_idx", digitize(F.col("x"), [-10.0, -5.0, 0.0, 5.0, 10.0]).alias("bin"), F.round(clip(F.col("y"), -5.0, 5.0), 6).alias("clipped"))
 
