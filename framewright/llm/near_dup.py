@@ -9,7 +9,9 @@ Improved consistent weighted sampling (Ioffe, 2010) draws for each of ``bands *
 shingle of least ``ln c - r (t + 1 - b)`` with ``t = floor(ln w / r + b)``.  The draws ``r, b, c`` of a
 shingle are read from two fixed pools at places given by its hash.  Only additions and products of
 doubles take part, so every machine gets the same samples.  Documents that share a band's samples are
-candidates; candidates are verified by the weighted Jaccard similarity of their whole shingle sets.
+candidates; candidates are verified by the weighted Jaccard similarity of their whole shingle sets.  A pair
+just below the threshold that reaches it with all weights 1 is linked too, so that a large group's low
+weights for what its members share never part near copies.
 
 Nodes are distinct texts: copies never meet in a bucket.  In a bucket one pivot, later more, is compared
 with all members of other components, until every untested pair lies inside one component.  So no link
@@ -143,6 +145,13 @@ def weighted_jaccard(key_a: np.ndarray, w_a: np.ndarray, key_b: np.ndarray, w_b:
     return float(shared / (total - shared))
 
 
+def similar(key_a: np.ndarray, w_a: np.ndarray, key_b: np.ndarray, w_b: np.ndarray, threshold: float) -> bool:
+    """By the weighted measure, or by the plain one over distinct shingles: weights part no plain near copies."""
+    if weighted_jaccard(key_a, w_a, key_b, w_b) >= threshold:
+        return True
+    return weighted_jaccard(key_a, np.ones(len(key_a)), key_b, np.ones(len(key_b))) >= threshold
+
+
 def node_of(text: str | None) -> bytes:
     return hashlib.md5((text or "").encode("utf-8"), usedforsecurity=False).digest()
 
@@ -305,7 +314,7 @@ class NearDuplicates:
                     for p, own in chosen.items():
                         if own != comp and not (node in chosen and node > p):
                             pairs.add((p, node))
-            found = [(a, b) for a, b in sorted(pairs) if weighted_jaccard(*vectors[a], *vectors[b]) >= c.threshold]
+            found = [(a, b) for a, b in sorted(pairs) if similar(*vectors[a], *vectors[b], c.threshold)]
             return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
         return verify
