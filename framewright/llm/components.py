@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.scratch import materialize
+from framewright.llm.scratch import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,5 +30,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or now[0] == now[2] and not edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").head(1):
             break
         state = now
+        release(links.sparkSession)
     stars = edges.select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
     return stars.unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct())

@@ -39,10 +39,10 @@ from framewright.llm import textkernels as tk
 from framewright.llm.columns import fresh
 from framewright.llm.components import components
 from framewright.llm.reduce import task_number, tree_sum
-from framewright.llm.scratch import materialize
+from framewright.llm.scratch import materialize, release
 
 DF_CELLS = 1 << 20
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 23
 POOL = 1 << 12
 #: Members of a bucket that one verifying task takes together.
 CHUNK = 200
@@ -109,7 +109,7 @@ class Shingles:
         return self.tf * (1 + np.maximum(0, np.log((n_total + 1.0) / (seen + 1.0))) / scale)
 
 
-def bands(s: Shingles, weight: np.ndarray, c: DedupConfig, block: int = 100_000) -> np.ndarray:
+def bands(s: Shingles, weight: np.ndarray, c: DedupConfig, block: int = 20_000) -> np.ndarray:
     """Documents x bands: a 64-bit key of each band's samples; rows without shingles are 0."""
     samples = c.bands * c.rows
     log_c, inv_r, b, r = pools(samples, c.seed)
@@ -184,9 +184,9 @@ def bit_filter(nodes: DataFrame) -> np.ndarray:
 
     marks = materialize(nodes.select("node").coalesce(16).mapInArrow(run, "part long, vector binary"), "bits")
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in marks.toLocalIterator():  # at most 16 rows of 2 MB
+    for row in marks.select("vector").toLocalIterator():  # at most 16 rows of 1 MB
         out |= np.frombuffer(row["vector"], np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return np.unpackbits(out).view(bool)
 
 
 def _bit(nodes: list[bytes]) -> np.ndarray:
@@ -221,6 +221,7 @@ class NearDuplicates:
         counted = count_df(texts, "text", config.shingle)
         self.sent = self.spark.sparkContext.broadcast((counted[:-1].astype(np.int32), int(counted[-1])))
         self.signatures = materialize(self._sign(), "signatures")
+        release(self.spark)
         self.comps = self._link()
 
     def _sign(self) -> DataFrame:
@@ -251,12 +252,12 @@ class NearDuplicates:
         buckets = materialize(once.select(F.col("first.key").alias("key"), F.col("first.band").alias("band"), "n"), "buckets")
         members = materialize(rows.select("node", "key").join(buckets, "key"), "members")
         candidates = members.select("node").distinct()
-        bits = bit_filter(materialize(candidates, "candidates"))
+        bits = bit_filter(candidates)
         maybe = with_node(self.docs.select(F.col(self.text_col).cast("string").alias("text")), "text", "node", "maybe", bits).filter("maybe").select("node", "text")
         self.texts = materialize(maybe.join(candidates, "node", "left_semi").dropDuplicates(["node"]), "texts")
         comps = None
         for low, high in ((0, c.first_bands), (c.first_bands, c.bands)):
-            open_rows = materialize(members.filter((F.col("band") >= low) & (F.col("band") < high)).select("key", "node", "n", F.lit(False).alias("done")), "open")
+            open_rows = members.filter((F.col("band") >= low) & (F.col("band") < high)).select("key", "node", "n", F.lit(False).alias("done"))
             pivots = 1
             while True:
                 open_rows, links = self._round(open_rows, comps, pivots)
@@ -264,6 +265,8 @@ class NearDuplicates:
                     break
                 comps = self._merge(comps, links)
                 pivots *= 8
+                release(self.spark)
+            release(self.spark)
         return comps if comps is not None else self.spark.createDataFrame([], "node binary, comp binary")
 
     def _round(self, rows: DataFrame, comps: DataFrame | None, pivots: int) -> tuple[DataFrame, DataFrame | None]:
@@ -275,7 +278,7 @@ class NearDuplicates:
         named = materialize(named.select("key", "node", "n", "done", "comp"), "named")
         per_comp = named.groupBy("key", "comp").agg(F.count_if(~F.col("done")).alias("left"))
         base = per_comp.filter("left > 0").groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("left", "comp")).alias("base")).filter("comps > 1").drop("comps")
-        here = materialize(named.join(base, "key"), "here")
+        here = named.join(base, "key")
         ranked = here.filter("not done and comp <> base").withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("node"), "node")))
         limit = F.when(F.col("n") <= self.c.small, F.lit(self.c.small)).otherwise(F.lit(pivots))
         chosen = materialize(ranked.filter(F.col("place") <= limit).select("key", "node", "comp", "n"), "pivots")
@@ -288,7 +291,7 @@ class NearDuplicates:
         links = materialize(tasks.groupBy("key", "chunk").applyInArrow(self._verifier(), "a binary, b binary"), "links")
         marks = chosen.select("key", "node", F.lit(True).alias("now"))
         after = here.join(marks, ["key", "node"], "left").select("key", "node", "n", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        return materialize(after, "open"), links
+        return after, links
 
     def _verifier(self):
         sent, c = self.sent, self.c
@@ -322,9 +325,9 @@ class NearDuplicates:
     def _merge(self, comps: DataFrame | None, links: DataFrame) -> DataFrame:
         """Components after more links: their graph is over the components so far."""
         if comps is None:
-            return materialize(components(links), "comps")
+            return components(links)
         old = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        return materialize(components(old.unionByName(links)), "comps")
+        return components(old.unionByName(links))
 
     def classes(self) -> DataFrame:
         """``doc_id, class_id, class_size``: one row per document."""

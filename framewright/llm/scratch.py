@@ -6,6 +6,7 @@ survive lost executors, which cached or locally checkpointed blocks would not.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts that nothing refers to any more.
+
+    Its cleaner acts only when the driver collects garbage, which an operator of many small jobs on a
+    large heap would put off until the disk and the heap are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` once nothing reads it again."""
     spark = df.sparkSession

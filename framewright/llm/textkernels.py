@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 #: Texts are handled in slices of about this many bytes, so a task's memory does not
 #: depend on how many documents a batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
