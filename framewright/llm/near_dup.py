@@ -2,8 +2,9 @@
 
 A document's shingles are its runs of five words (all its words if fewer).  A shingle weighs
 ``tf * (1 + ln((N + 1) / (df + 1)) / ln(N + 1))``, from 1 to 2 per occurrence.  Document frequencies
-are counted over all documents in a table of ``DF_CELLS`` hashed cells, so their size does not grow; a
-cell that shingles share counts them together, for every document alike.
+are exact counts of 64-bit shingles over all documents.  Slices of documents send their distinct shingles,
+packed and counted, to parts by hash; a part sums them and returns to each slice the frequencies over 1.
+No task holds more than one slice or one part, and there are as many parts as the corpus needs.
 
 Improved consistent weighted sampling (Ioffe, 2010) draws for each of ``bands * rows`` samples the
 shingle of least ``ln c - r (t + 1 - b)`` with ``t = floor(ln w / r + b)``.  The draws ``r, b, c`` of a
@@ -38,10 +39,13 @@ from pyspark.sql import functions as F
 from framewright.llm import textkernels as tk
 from framewright.llm.columns import fresh
 from framewright.llm.components import components
-from framewright.llm.reduce import task_number, tree_sum
-from framewright.llm.scratch import materialize, release
+from framewright.llm.reduce import task_number
+from framewright.llm.scratch import discard, materialize, release
 
+#: Size of the table of hashed cells that ``Shingles.weights`` reads; the operator counts exactly.
 DF_CELLS = 1 << 20
+#: Text bytes to one part of the frequency count; a part holds at most about a sixth as many shingles.
+PART_BYTES = 16 << 20
 FILTER_BITS = 1 << 23
 POOL = 1 << 12
 #: Members of a bucket that one verifying task takes together.
@@ -104,7 +108,11 @@ class Shingles:
         return cls(doc[first], key[first], np.diff(np.append(first, len(key))), n)
 
     def weights(self, df: np.ndarray, n_total: int) -> np.ndarray:
-        seen = df[(self.key >> np.uint64(44)).astype(np.int64)]
+        """By a table of hashed cells."""
+        return self.weigh(df[(self.key >> np.uint64(44)).astype(np.int64)], n_total)
+
+    def weigh(self, seen: np.ndarray, n_total: int) -> np.ndarray:
+        """By each shingle's own document frequency."""
         scale = np.log(n_total + 1.0)
         return self.tf * (1 + np.maximum(0, np.log((n_total + 1.0) / (seen + 1.0))) / scale)
 
@@ -156,20 +164,48 @@ def node_of(text: str | None) -> bytes:
     return hashlib.md5((text or "").encode("utf-8"), usedforsecurity=False).digest()
 
 
-def count_df(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Documents per cell of hashed shingles, and in the last place the number of documents."""
+def slice_up(docs: DataFrame) -> DataFrame:
+    """``slice, doc_id, text``: documents with the number of the slice that they are counted in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(DF_CELLS + 1, dtype=np.int64)
-        for part in tk.slices(batches, text_col):
-            s = Shingles.of(part.column(text_col), width)
-            df[:-1] += np.bincount((s.key >> np.uint64(44)).astype(np.int64), minlength=DF_CELLS)
-            df[-1] += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=["part", "vector"])
+        number = task_number() << 32
+        for part in tk.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, number)), *part.columns], names=["slice", "doc_id", "text"])
+            number += 1
+
+    return materialize(docs.mapInArrow(run, "slice long, doc_id long, text string"), "slices")
+
 
-    counted = materialize(docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "part long, vector binary"), "df")
-    df = tree_sum(counted)
-    return np.zeros(DF_CELLS + 1, dtype=np.int64) if df is None else df
+def count_df(sliced: DataFrame, width: int, n_parts: int) -> DataFrame:
+    """``slice, shingles, counts``: each slice's shingles of document frequency over 1, and those frequencies."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("slice").to_numpy()
+            cuts = np.flatnonzero(np.diff(number)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(number)], strict=True):
+                key, n = np.unique(Shingles.of(batch.column("text").slice(a, b - a), width).key, return_counts=True)
+                part = ((key >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                used, first = np.unique(part[order], return_index=True)
+                ends = [*first[1:], len(key)]
+                packed = [[v[order[i:j]].tobytes() for i, j in zip(first, ends, strict=True)] for v in (key, n.astype(np.uint32))] if len(key) else [[], []]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used, pa.int32()), pa.array(np.full(len(used), number[a]), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)],
+                    names=["part", "slice", "shingles", "counts"],
+                )
+
+    def add(group: pa.Table) -> pa.Table:
+        shingles = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()])
+        _, at = np.unique(np.concatenate(shingles), return_inverse=True)
+        df = np.bincount(at, counts).astype(np.uint32)[at]
+        cuts = np.cumsum([len(x) for x in shingles])[:-1]
+        kept = [(x[d > 1], d[d > 1]) for x, d in zip(shingles, np.split(df, cuts), strict=True)]
+        return pa.table({"slice": group.column("slice"), "shingles": pa.array([x.tobytes() for x, _ in kept], pa.binary()), "counts": pa.array([d.tobytes() for _, d in kept], pa.binary())})
+
+    sent = sliced.select("slice", "text").mapInArrow(send, "part int, slice long, shingles binary, counts binary")
+    return sent.groupBy("part").applyInArrow(add, "slice long, shingles binary, counts binary")
 
 
 def bit_filter(nodes: DataFrame) -> np.ndarray:
@@ -217,29 +253,43 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", config: DedupConfig = DedupConfig()):
         self.docs, self.text_col, self.id_col, self.c = docs, text_col, id_col, config
         self.spark = docs.sparkSession
-        texts = docs.select(F.col(text_col).cast("string").alias("text"))
-        counted = count_df(texts, "text", config.shingle)
-        self.sent = self.spark.sparkContext.broadcast((counted[:-1].astype(np.int32), int(counted[-1])))
-        self.signatures = materialize(self._sign(), "signatures")
+        sliced = slice_up(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+        size = sliced.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        self.total = size["n"]
+        self.signatures = materialize(self._sign(sliced, -(-(size["bytes"] or 0) // PART_BYTES) or 1), "signatures")
+        discard(sliced)
         release(self.spark)
         self.comps = self._link()
 
-    def _sign(self) -> DataFrame:
-        sent, c = self.sent, self.c
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            df, total = sent.value
-            for part in tk.slices(batches, "text"):
+    def _sign(self, sliced: DataFrame, n_parts: int) -> DataFrame:
+        """``doc_id, node, keys, df``: band keys, and the frequencies of the sorted distinct shingles."""
+        total, c = self.total, self.c
+        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("df", pa.binary())])
+
+        def run(group: pa.Table) -> pa.Table:
+            counted = group.filter(group.column("shingles").is_valid())
+            key = np.frombuffer(b"".join(counted.column("shingles").to_pylist()), np.uint64)
+            order = np.argsort(key)
+            key, count = key[order], np.frombuffer(b"".join(counted.column("counts").to_pylist()), np.uint32)[order]
+            out = []
+            for part in tk.slices(iter(group.filter(group.column("shingles").is_null()).combine_chunks().to_batches()), "text"):
                 s = Shingles.of(part.column("text"), c.shingle)
-                keys = bands(s, s.weights(df, total), c)
+                df = np.ones(len(s.key), np.uint32)
+                if len(key):
+                    at = np.minimum(np.searchsorted(key, s.key), len(key) - 1)
+                    df = np.where(key[at] == s.key, count[at], df)
+                keys = bands(s, s.weigh(df, total), c)
                 filled = np.isin(np.arange(s.n_docs), s.doc)
                 lists = [k.tolist() if f else [] for k, f in zip(keys.view(np.int64), filled, strict=True)]
                 nodes = [node_of(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+                own = [x.tobytes() for x in np.split(df, np.searchsorted(s.doc, np.arange(1, s.n_docs)))]
+                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(own, pa.binary())], schema=schema))
+            return pa.Table.from_batches(out, schema)
 
-        picked = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text_col).cast("string").alias("text"))
-        return picked.mapInArrow(run, "doc_id long, node binary, keys array<long>")
+        absent = F.lit(None)
+        rows = sliced.select("slice", "doc_id", "text", absent.cast("binary").alias("shingles"), absent.cast("binary").alias("counts"))
+        counted = count_df(sliced, c.shingle, n_parts).select("slice", absent.cast("long").alias("doc_id"), absent.cast("string").alias("text"), "shingles", "counts")
+        return rows.unionByName(counted).groupBy("slice").applyInArrow(run, "doc_id long, node binary, keys array<long>, df binary")
 
     def _link(self) -> DataFrame:
         """``node, comp`` of every text that has a verified link."""
@@ -254,7 +304,8 @@ class NearDuplicates:
         candidates = members.select("node").distinct()
         bits = bit_filter(candidates)
         maybe = with_node(self.docs.select(F.col(self.text_col).cast("string").alias("text")), "text", "node", "maybe", bits).filter("maybe").select("node", "text")
-        self.texts = materialize(maybe.join(candidates, "node", "left_semi").dropDuplicates(["node"]), "texts")
+        known = self.signatures.select("node", "df").join(candidates, "node", "left_semi").dropDuplicates(["node"])
+        self.texts = materialize(maybe.join(candidates, "node", "left_semi").dropDuplicates(["node"]).join(known, "node"), "texts")
         comps = None
         for low, high in ((0, c.first_bands), (c.first_bands, c.bands)):
             open_rows = members.filter((F.col("band") >= low) & (F.col("band") < high)).select("key", "node", "n", F.lit(False).alias("done"))
@@ -294,18 +345,17 @@ class NearDuplicates:
         return after, links
 
     def _verifier(self):
-        sent, c = self.sent, self.c
+        total, c = self.total, self.c
 
         def verify(group: pa.Table) -> pa.Table:
-            df, total = sent.value
             group = group.combine_chunks()
             nodes, comps, pivot = (group.column(k).to_pylist() for k in ("node", "comp", "pivot"))
             vectors: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
             at = 0
-            for batch in group.select(["text"]).to_batches():
+            for batch in group.select(["text", "df"]).to_batches():
                 for part in tk.slices(iter([batch]), "text"):
                     s = Shingles.of(part.column("text"), c.shingle)
-                    weight = s.weights(df, total)
+                    weight = s.weigh(np.frombuffer(b"".join(part.column("df").to_pylist()), np.uint32), total)
                     cuts = np.searchsorted(s.doc, np.arange(s.n_docs + 1))
                     for k in range(s.n_docs):
                         vectors[nodes[at + k]] = (s.key[cuts[k] : cuts[k + 1]], weight[cuts[k] : cuts[k + 1]])

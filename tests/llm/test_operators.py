@@ -103,6 +103,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_document_frequencies_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PART_BYTES", 1 << 17)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{w}" for w in rng.integers(5000, size=300)) for _ in range(300)]
+    texts += [*texts[:40], None, "", "one two", texts[0] + " " + texts[1]]
+    s = near_dup.Shingles.of(pa.array(texts, pa.string()), 5)
+    _, at, n = np.unique(s.key, return_inverse=True, return_counts=True)
+    cells = np.bincount((s.key >> np.uint64(44)).astype(int), minlength=near_dup.DF_CELLS)
+    assert (cells[(s.key >> np.uint64(44)).astype(int)] != n[at]).any()  # hashed cells mix up strangers here
+    got = by_id(near_dup.NearDuplicates(frame(spark, texts)).signatures)
+    assert np.concatenate([np.frombuffer(x, np.uint32) for x in got.df]).tolist() == n[at].tolist()
+
+
 def test_near_duplicates_of_little(spark):
     assert near_dup.NearDuplicates(frame(spark, [])).classes().count() == 0
     twice = frame(spark, ["same words here and there now"]).union(frame(spark, ["same words here and there now"]))
