@@ -9,8 +9,9 @@ No task holds more than one slice or one part, and there are as many parts as th
 Improved consistent weighted sampling (Ioffe, 2010) draws for each of ``bands * rows`` samples the
 shingle of least ``ln c - r (t + 1 - b)`` with ``t = floor(ln w / r + b)``.  The draws ``r, b, c`` of a
 shingle are read from two fixed pools at places given by its hash.  Only additions and products of
-doubles take part, so every machine gets the same samples.  Documents that share a band's samples are
-candidates; candidates are verified by the weighted Jaccard similarity of their whole shingle sets.  A pair
+doubles take part, so every machine gets the same samples.  A second set of as
+many bands samples distinct shingles by least hash, all weights 1, so that pairs which only the plain measure
+links are searched as well.  Documents that share a band's samples are candidates; candidates are verified by the weighted Jaccard similarity of their whole shingle sets.  A pair
 just below the threshold that reaches it with all weights 1 is linked too, so that a large group's low
 weights for what its members share never part near copies.
 
@@ -55,6 +56,7 @@ CHUNK = 200
 @dataclass(frozen=True)
 class DedupConfig:
     shingle: int = 5
+    #: Bands of each measure, the weighted and the plain one.
     bands: int = 14
     rows: int = 4
     threshold: float = 0.8
@@ -141,6 +143,27 @@ def bands(s: Shingles, weight: np.ndarray, c: DedupConfig, block: int = 20_000)
     return tk.mix(out ^ np.arange(c.bands, dtype=np.uint64)[None, :], 9)
 
 
+def plain_bands(s: Shingles, c: DedupConfig, block: int = 20_000) -> np.ndarray:
+    """The same of distinct shingles: a band's samples are the least of hashes of their own."""
+    samples = c.bands * c.rows
+    rng = np.random.default_rng(c.seed + 1)
+    shift, odd = (rng.integers(0, 1 << 64, samples, dtype=np.uint64) for _ in range(2))
+    odd |= np.uint64(1)
+    least = np.full((s.n_docs, samples), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(s.key), block):
+        value = (s.key[a : a + block, None] ^ shift) * odd
+        value = (value ^ (value >> np.uint64(32))) * odd
+        doc = s.doc[a : a + block]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        own = doc[first]
+        least[own] = np.minimum(least[own], np.minimum.reduceat(value, first, axis=0))
+    bits = least.reshape(s.n_docs, c.bands, c.rows)
+    out = np.zeros((s.n_docs, c.bands), dtype=np.uint64)
+    for k in range(c.rows):
+        out = tk.mix(out ^ bits[:, :, k], k)
+    return tk.mix(out ^ np.arange(c.bands, 2 * c.bands, dtype=np.uint64)[None, :], 9)
+
+
 def weighted_jaccard(key_a: np.ndarray, w_a: np.ndarray, key_b: np.ndarray, w_b: np.ndarray) -> float:
     """Of two sorted sparse vectors: the sum of minima over the sum of maxima."""
     total = w_a.sum() + w_b.sum()
@@ -278,7 +301,7 @@ class NearDuplicates:
                 if len(key):
                     at = np.minimum(np.searchsorted(key, s.key), len(key) - 1)
                     df = np.where(key[at] == s.key, count[at], df)
-                keys = bands(s, s.weigh(df, total), c)
+                keys = np.hstack([bands(s, s.weigh(df, total), c), plain_bands(s, c)])
                 filled = np.isin(np.arange(s.n_docs), s.doc)
                 lists = [k.tolist() if f else [] for k, f in zip(keys.view(np.int64), filled, strict=True)]
                 nodes = [node_of(t) for t in part.column("text").to_pylist()]
@@ -307,7 +330,7 @@ class NearDuplicates:
         known = self.signatures.select("node", "df").join(candidates, "node", "left_semi").dropDuplicates(["node"])
         self.texts = materialize(maybe.join(candidates, "node", "left_semi").dropDuplicates(["node"]).join(known, "node"), "texts")
         comps = None
-        for low, high in ((0, c.first_bands), (c.first_bands, c.bands)):
+        for low, high in ((0, c.first_bands), (c.first_bands, 2 * c.bands)):
             open_rows = members.filter((F.col("band") >= low) & (F.col("band") < high)).select("key", "node", "n", F.lit(False).alias("done"))
             pivots = 1
             while True:

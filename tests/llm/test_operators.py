@@ -116,6 +116,37 @@ def test_document_frequencies_are_exact(spark, monkeypatch):
     assert np.concatenate([np.frombuffer(x, np.uint32) for x in got.df]).tolist() == n[at].tolist()
 
 
+def test_pairs_of_the_plain_measure_are_found(spark):
+    """Copies whose lines repeat differently: the same distinct shingles, far apart by weight."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(20):
+        words = [f"d{k}w{w}" for w in rng.integers(10**6, size=60)]
+        texts += [" ".join(words), " ".join(words + words[:6] * 60)]
+    s = near_dup.Shingles.of(pa.array(texts, pa.string()), 5)
+    cut = np.searchsorted(s.doc, np.arange(len(texts) + 1))
+    for i in range(0, len(texts), 2):
+        a, b = slice(cut[i], cut[i + 1]), slice(cut[i + 1], cut[i + 2])
+        one = np.ones(len(s.key))
+        assert near_dup.weighted_jaccard(s.key[a], s.tf[a], s.key[b], s.tf[b]) < 0.3
+        assert near_dup.weighted_jaccard(s.key[a], one[a], s.key[b], one[b]) >= 0.8
+    got = by_id(near_dup.NearDuplicates(frame(spark, texts)).classes())
+    assert got.class_id.tolist() == [i - i % 2 for i in range(len(texts))]
+
+
+def test_plain_bands_miss_as_calculated():
+    """At plain Jaccard 0.5 a pair shares a band with probability 1 - (1 - 0.5**4)**14 = 0.595."""
+    rng = np.random.default_rng(4)
+    c, found = near_dup.DedupConfig(), 0
+    for _ in range(400):
+        key = rng.integers(0, 1 << 64, 120, dtype=np.uint64)
+        a, b = np.sort(key[:90]), np.sort(key[30:])
+        both = near_dup.Shingles(np.repeat([0, 1], 90), np.concatenate([a, b]), np.ones(180, int), 2)
+        one, two = near_dup.plain_bands(both, c)
+        found += bool((one == two).any())
+    assert abs(found / 400 - 0.595) < 0.08
+
+
 def test_near_duplicates_of_little(spark):
     assert near_dup.NearDuplicates(frame(spark, [])).classes().count() == 0
     twice = frame(spark, ["same words here and there now"]).union(frame(spark, ["same words here and there now"]))
