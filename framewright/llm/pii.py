@@ -17,6 +17,9 @@ email      local part and domain                            letters and digits o
 secret     access keys, passwords and tokens by their name  letters and digits of the value
 =========  ===============================================  ==========================================
 
+Cards in the usual groupings that pass the test are looked up first, so that a number beside them (expiry,
+check value, count, another card) is never read as part of them; other groupings are read as far as they go.
+
 Signs between the characters stay where they are.  Invalid candidates stay as they are.  Null text stays
 null, empty text empty; repeated rows give repeated results; an empty table gives none; other columns
 pass through.  There is no shuffle and no Python: work follows the length of the texts.
@@ -42,7 +45,18 @@ NATIONAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9A-Za-z])"
 IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
-ANY = "|".join([EMAIL, SECRET, IBAN, DATE, NATIONAL, PHONE, CARD, IP])
+BEFORE_CARD = [EMAIL, SECRET, IBAN, DATE, NATIONAL, PHONE]
+ANY = "|".join([*BEFORE_CARD, CARD, IP])
+#: Groupings of cards at every place where one may begin; the second is longer by a group than one of the first.
+GROUPED = [
+    rf"(?<![0-9A-Za-z])(?=({g})(?![0-9A-Za-z]))"
+    for g in (
+        "[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}",
+        "[0-9]{4}(?: [0-9]{4}){3} [0-9]{3}|[0-9]{4}(?:-[0-9]{4}){3}-[0-9]{3}",
+    )
+]
+#: Whatever CARD finds has this.
+LONG_NUMBER = r"[0-9](?:[ -]?[0-9]){12}"
 #: Whatever ANY finds has one of these.
 HINT = r"[0-9@]|AKIA|password|passwd|token|secret|api_key"
 
@@ -127,6 +141,24 @@ def _luhn_sum(digits: Column, first_doubled: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+def _is_card(m: Column) -> Column:
+    return (_luhn_sum(digits_of(m), 0) % 10 == 0) & (digits_of(m) != F.repeat(F.lit("0"), F.char_length(digits_of(m))))
+
+
+def grouped_cards(text: Column) -> Column:
+    """The cards of usual grouping in a text; null if there is none."""
+    found = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(g), F.lit(1)) for g in GROUPED)))
+    return F.when(text.rlike(LONG_NUMBER), let(F.filter(found, _is_card), lambda c: F.when(F.size(c) > 0, c)))
+
+
+def pattern_with(cards: Column) -> Column:
+    """ANY for a text with these cards: they match as such, and no looser number reaches into one."""
+    listed = F.array_join(cards, "|")
+    exact = F.concat(F.lit(r"(?<![0-9A-Za-z])(?:"), listed, F.lit(r")(?![0-9A-Za-z])"))
+    apart = F.concat(F.lit(r"(?![0-9](?:[ -]?[0-9]){0,17}[ -](?:"), listed, F.lit(r")(?![0-9A-Za-z]))"))
+    return F.concat_ws("|", F.lit("|".join(BEFORE_CARD)), exact, F.concat(apart, F.lit(CARD)), F.lit(IP))
+
+
 def _mod97(text: Column) -> Column:
     """Of the number that the digits, and letters as 10 to 35, spell out."""
     characters = F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substr(text, i, F.lit(1)))
@@ -150,7 +182,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(_whole(DATE)) & F.coalesce(_day(m).between(F.lit(FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date")), F.lit(False)), "date")
         .when(m.rlike(_whole(NATIONAL)) & (parts[0] != "000") & (parts[0] != "666") & (parts[0] < "900") & (parts[1] != "00") & (parts[2] != "0000"), "national")
         .when(m.rlike(_whole(PHONE)), "phone")
-        .when(m.rlike(_whole(CARD)) & (_luhn_sum(digits_of(m), 0) % 10 == 0) & (digits_of(m) != F.repeat(F.lit("0"), F.char_length(digits_of(m)))), "card")
+        .when(m.rlike(_whole(CARD)) & _is_card(m), "card")
         .when(m.rlike(_whole(IP)) & F.forall(octets, lambda o: o.cast("int") <= 255), "ip")
     )
 
@@ -227,13 +259,15 @@ def _pseudonym(m: Column, kind: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in the text; ``found`` names a column for the kinds replaced, in order."""
-    hits = fresh([*docs.columns, found or ""], "hits")
+    hits, cards = (fresh([*docs.columns, found or ""], x) for x in ("hits", "cards"))
     text = F.col(text_col).cast("string")
-    candidates = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    named = docs.withColumn(hits, F.transform(candidates, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
+    own = pattern_with(F.col(cards))
+    candidates = F.when(F.col(cards).isNotNull(), F.regexp_extract_all(text, own, F.lit(0))).when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    named = docs.withColumn(cards, grouped_cards(text)).withColumn(hits, F.transform(candidates, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
     new = F.transform(F.col(hits), lambda h: _pseudonym(h.m, h.kind, key))
-    rewritten = F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda gap, p: F.concat(gap, F.coalesce(p, F.lit("")))), "")
+    gaps = F.when(F.col(cards).isNotNull(), F.split(text, own, -1)).otherwise(F.split(text, ANY, -1))
+    rewritten = F.array_join(F.zip_with(gaps, new, lambda gap, p: F.concat(gap, F.coalesce(p, F.lit("")))), "")
     out = named.withColumn(text_col, F.when(F.size(F.filter(F.col(hits), lambda h: h.kind.isNotNull())) > 0, rewritten).otherwise(text))
     if found:
         out = out.withColumn(found, F.coalesce(F.transform(F.filter(F.col(hits), lambda h: h.kind.isNotNull()), lambda h: h.kind), F.array().cast("array<string>")))
-    return out.drop(hits)
+    return out.drop(hits, cards)

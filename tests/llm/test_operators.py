@@ -248,6 +248,17 @@ def test_pseudonyms(spark):
     assert out.columns == [*docs.columns, "kinds"]
 
 
+def test_cards_beside_other_numbers(spark):
+    card, plain, other = "4539 1488 0343 6467", "4539148803436467", "5500000000000004"
+    texts = [f"{card} 12/27", f"7 {card}", f"{plain} 123", f"{plain} {other}", f"2024 {card} 123", f"{card} 414-555-7134", "3782 822463 10005 1234", f"{card} {card}", "45391 48803 436467", f"password={plain}", f"{plain}@example.com"]
+    cards = [[card], [card], [plain], [plain, other], [card], [card], ["3782 822463 10005"], [card], ["45391 48803 436467"], [], []]
+    got = by_id(pii.pseudonymise(frame(spark, texts), "k", found="kinds"))
+    assert got.kinds.map(list).tolist() == [["card"]] * 3 + [["card"] * 2, ["card"], ["card", "phone"], ["card"], ["card"] * 2, ["card"], ["secret"], ["email"]]
+    assert not any(c in t for t, cs in zip(got.text, cards, strict=True) for c in cs)
+    assert got.text[0].endswith(" 12/27") and got.text[1].startswith("7 ") and got.text[2].endswith(" 123") and got.text[6].endswith(" 1234")
+    assert got.text[4].startswith("2024 ") and got.text[4].endswith(" 123") and got.text[7][:19] == got.text[7][20:] == got.text[0][:19]
+
+
 def test_number_permutation_is_one(spark):
     df = spark.range(17 * 43).select(pii.permute_number(pii.F.col("id"), 17, 43, "k", "t").alias("v"))
     assert sorted(r.v for r in df.collect()) == list(range(17 * 43))
