@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framewright.functions import geometry as g
 from framewright.functions.kernels import dbscan, traverse
 from framewright.functions.numeric import ratio, uniform
-from framewright.operators.clusters import centres, chains, cluster_points, ego_filter, radial_jitter
+from framewright.operators.clusters import aligned_sigma, centres, chains, cluster_points, ego_filter, radial_jitter
 from framewright.operators.spatial import empty_cells, neighbour_counts
 
 
@@ -85,14 +85,17 @@ def hierarchy(points: DataFrame, boxes: DataFrame, frame: str, a: float = 0.50,
     return _verdict(points, judged.groupBy(frame).agg(F.count_if("adversarial").alias("adversarial")), frame, F.col("adversarial") > 0, "adversarial")
 
 
-def jitter_verdicts(points: DataFrame, scene: str, index: str, window: int = 12, least_history: int = 5, eps: float = 0.7, least: int = 20, tolerance: float = 1.92, limit: float = 0.3, ego: tuple[float, float, float] = (2.0, 2.0, 1.4), ground: float = 0.1) -> DataFrame:
-    """Clusters whose range jitters about a straight line, by frame; frames too early have no verdict."""
+def jitter_verdicts(points: DataFrame, scene: str, index: str, window: int = 12, least_history: int = 5, eps: float = 0.7, least: int = 20, tolerance: float = 1.92, limit: float = 0.3, ego: tuple[float, float, float] = (2.0, 2.0, 1.4), ground: float = 0.1, point_limit: float = 0.08, both: bool = False) -> DataFrame:
+    """Clusters whose range jitters about a straight line, or whose points do about their aligned past, by
+    frame; with ``both`` only clusters of either kind at once.  Frames too early have no verdict."""
     clean = ego_filter(points, *ego).filter(F.col("z") > ground)
     keyed = clean.withColumn("_frame", F.struct(scene, index))
     clustered = cluster_points(keyed, "_frame", "point_idx", eps, least).withColumns({scene: F.col(f"_frame.{scene}"), index: F.col(f"_frame.{index}")})
     summary = clustered.filter("cluster >= 0").groupBy(scene, index, "cluster").agg(F.count("*").alias("n_points"), *(F.avg(a).cast("double").alias(a) for a in "xyz"))
-    tested = radial_jitter(chains(summary, scene, index, window, tolerance, 10))
-    per_frame = tested.groupBy(scene, index).agg(F.count("sigma_centroid").alias("tested"), F.count_if(F.col("sigma_centroid") > limit).alias("flagged"))
+    tested = radial_jitter(chains(summary, scene, index, window, tolerance, 10)).filter("sigma_centroid is not null")
+    tested = tested.join(aligned_sigma(clustered.filter("cluster >= 0"), tested, scene, index), [scene, index, "cluster"], "left")
+    centre, point = F.col("sigma_centroid") > limit, F.coalesce(F.col("sigma_point") > point_limit, F.lit(False))
+    per_frame = tested.groupBy(scene, index).agg(F.count("*").alias("tested"), F.count_if(centre & point if both else centre | point).alias("flagged"))
     frames = points.select(F.col(scene).cast("string").alias(scene), F.col(index).cast("int").alias(index)).distinct()
     out = frames.join(per_frame, [scene, index], "left").na.fill(0, ["tested", "flagged"])
     return out.select(scene, index, "tested", "flagged", F.when(F.col(index) >= least_history, F.col("flagged") > 0).alias("detected"), ratio(F.col("flagged"), F.col("tested")).alias("confidence"))

@@ -32,6 +32,21 @@ def test_curves(spark):
     assert ap.set_index("type").ap.to_dict() == pytest.approx((curve.groupby("type").precision.sum() / 41).to_dict())
 
 
+def test_point_jitter_about_a_steady_centre_is_flagged(spark):
+    import numpy as np
+    from framewright.operators import defenses
+
+    rng, points = np.random.default_rng(0), []
+    for scene, size in (("jitter", 0.1), ("still", 0.0)):
+        for at in range(6):
+            shift = rng.permutation([size, -size] * 24)
+            points += [(scene, at, k, 0.3 * (k % 8), 10.0 + float(shift[k]), 1.0 + 0.3 * (k // 8)) for k in range(48)]
+    df = spark.createDataFrame(points, "scene string, at int, point_idx int, x double, y double, z double")
+    flagged = lambda **o: {(r.scene, r.flagged > 0) for r in defenses.jitter_verdicts(df, "scene", "at", least=5, **o).collect() if r.at == 5}
+    assert flagged() == {("jitter", True), ("still", False)}
+    assert flagged(both=True) == {("jitter", False), ("still", False)}
+
+
 def test_noise_is_a_function_of_the_row(spark):
     from framewright.operators import perturb
     from framewright.plans.views import Views
