@@ -286,6 +286,12 @@ def nulls_last_sort(v: Views) -> DataFrame:
     return results.sort_nulls_last(df, [("k", True), ("event_id", False)]).limit(200)
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value END AS k FROM events ORDER BY k DESC NULLS LAST, event_id")
+def nulls_last_sort_whole(v: Views) -> DataFrame:
+    df = v.table("events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("k"))
+    return results.sort_nulls_last(df, [("k", True), ("event_id", False)])
+
+
 @query("""SELECT event_id, CASE WHEN t IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(t, '[0-9]+') THEN 'int' WHEN regexp_full_match(t, '[0-9]+\\.[0-9]*') THEN 'float' ELSE 'str' END AS kind,
   CASE WHEN regexp_full_match(t, '[0-9]+') THEN CAST(t AS BIGINT) ELSE -1 END AS i FROM (
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN CAST(event_id AS VARCHAR) || '.5' ELSE event_type END AS t FROM events)""")

@@ -47,6 +47,12 @@ def test_point_jitter_about_a_steady_centre_is_flagged(spark):
     assert flagged(both=True) == {("jitter", False), ("still", False)}
 
 
+def test_whole_sort_ends_with_the_nulls(spark, duck):
+    got = [tuple(r) for r in catalogue.QUERIES["nulls_last_sort_whole"](spark, SF).collect()]
+    assert got == duck.execute(catalogue.ORACLES["nulls_last_sort_whole"]).fetchall()
+    assert len(got) > 200 and got[-1][1] is None and got[0][1] is not None
+
+
 def test_noise_is_a_function_of_the_row(spark):
     from framewright.operators import perturb
     from framewright.plans.views import Views
