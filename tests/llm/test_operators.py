@@ -1,6 +1,10 @@
 """The training-data operators: edge cases, round trips, brute force and held-out accuracy."""
 
+import datetime
 import hashlib
+import hmac
+import itertools
+import re
 import zlib
 
 import numpy as np
@@ -260,12 +264,149 @@ def test_cards_beside_other_numbers(spark):
 
 
 def test_number_permutation_is_one(spark):
-    df = spark.range(17 * 43).select(pii.permute_number(pii.F.col("id"), 17, 43, "k", "t").alias("v"))
+    F = pii.F
+    own = F.struct(F.lit(b"i" * 64).alias("inner"), F.lit(b"o" * 64).alias("outer"))
+    df = spark.range(17 * 43).select(pii.permute_number(F.col("id"), F.lit(17).cast("long"), F.lit(43).cast("long"), own).alias("v"))
     assert sorted(r.v for r in df.collect()) == list(range(17 * 43))
-    small = spark.range(1000).select(pii.permute_characters(pii.F.lpad(pii.F.col("id").cast("string"), 3, "0"), "k", "t").alias("v"))
+    small = spark.range(1000).select(pii.permute_characters(F.lpad(F.col("id").cast("string"), 3, "0"), own, F.lit(False)).alias("v"))
     assert sorted(r.v for r in small.collect()) == [f"{k:03d}" for k in range(1000)]
 
 
+def plain_pseudonym(kind: str, m: str, key: str) -> str:
+    """The pseudonym by plain Python."""
+    own = hmac.digest(key.encode(), kind.encode(), "sha256")
+
+    def mac(*parts):
+        return hmac.new(own, "|".join(map(str, parts)).encode(), hashlib.sha256).hexdigest()
+
+    def characters(text):
+        def shift(c, by):
+            for low, high in ([("2", "9"), ("0", "1")] if kind == "phone" else [("0", "9")]) + [("a", "z"), ("A", "Z")]:
+                if low <= c <= high:
+                    return chr(ord(low) + (ord(c) - ord(low) + by) % (ord(high) - ord(low) + 1))
+            return c
+
+        one, two = text[: len(text) // 2], text[len(text) // 2 :]
+        for k in range(1, 9):
+            seed = mac(k, len(one), ",".join(str(ord(c)) for c in two))
+            stream = "".join(hashlib.sha256(f"{seed}|{b}".encode()).hexdigest() for b in range(len(one) // 16 + 1))
+            one, two = two, "".join(shift(c, int(stream[4 * i : 4 * i + 4], 16)) for i, c in enumerate(one))
+        return one + two
+
+    def number(v, high, low):
+        hi, lo = divmod(v, low)
+        for k in range(1, 9):
+            if k % 2:
+                hi = (hi + int(mac(k, lo)[:15], 16)) % high
+            else:
+                lo = (lo + int(mac(k, hi)[:15], 16)) % low
+        return hi * low + lo
+
+    def refill(text):
+        left = iter(text)
+        return "".join(next(left) if c.isalnum() else c for c in m)
+
+    plain = "".join(c for c in m if c.isalnum())
+    if kind == "email":
+        local, _, domain = m.partition("@")
+        return f"{characters(local)}@{domain}"
+    if kind == "secret":
+        head = "AKIA" if m.startswith("AKIA") else re.match("[a-z_]+ ?[=:] ?[\"']?", m).group()
+        return head + characters(m[len(head) :])
+    if kind == "phone":
+        return refill(plain[:-10] + characters(plain[-10:]))
+    if kind == "card":
+        start = plain[0] + characters(plain[1:-1])
+        return refill(next(start + c for c in "0123456789" if luhn(start + c)))
+    if kind == "iban":
+        account = characters(plain[4:])
+        return refill(next(f"{plain[:2]}{c:02d}{account}" for c in range(2, 99) if mod97(f"{account}{plain[:2]}{c:02d}") == 1))
+    if kind == "ip":
+        v = number(int.from_bytes(bytes(map(int, m.split(".")))), 1 << 16, 1 << 16)
+        return ".".join(map(str, v.to_bytes(4)))
+    if kind == "national":
+        area, group, serial = map(int, m.split("-"))
+        v = number(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999)
+        area = v // (99 * 9999) + 1
+        return f"{area + (area >= 666):03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
+    first = datetime.date(1900, 1, 1)
+    sign = m[2]
+    orders = ["%Y-%m-%d"] if "-" in m else [f"%d{sign}%m{sign}%Y", f"%m{sign}%d{sign}%Y"]
+    for k, order in enumerate(orders):
+        try:
+            v = (datetime.datetime.strptime(m, order).date() - first).days
+        except ValueError:
+            continue
+        while True:
+            v = number(v, 17, 4297)
+            day = first + datetime.timedelta(v)
+            if not k or day.day > 12:
+                return day.strftime(order)
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def private_values(rng):
+    """(kind, value) of every kind and many formats."""
+
+    def some(alphabet, n):
+        return "".join(rng.choice(list(alphabet), n))
+
+    digits, letters = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    while True:
+        start = "4" + some(digits, 14)
+        card = next(start + c for c in digits if luhn(start + c))
+        yield "card", [card, " ".join(card[k : k + 4] for k in (0, 4, 8, 12)), "-".join(card[k : k + 4] for k in (0, 4, 8, 12))][rng.integers(3)]
+        country = str(rng.choice(["DE", "GB", "NO", "FR", "MT"]))
+        account = some(digits + letters.upper(), pii.IBAN_LENGTHS[country] - 4)
+        iban = next(f"{country}{c:02d}{account}" for c in range(2, 99) if mod97(f"{account}{country}{c:02d}") == 1)
+        yield "iban", iban if rng.integers(2) else " ".join(iban[k : k + 4] for k in range(0, len(iban), 4))
+        yield "phone", [f"+1 ({some(digits, 3)}) {some(digits, 3)}-{some(digits, 4)}", f"{some(digits, 3)}-{some(digits, 3)}-{some(digits, 4)}", f"+49 {some(digits, 3)} {some(digits, 3)} {some(digits, 4)}"][rng.integers(3)]
+        yield "national", f"{rng.integers(1, 666):03d}-{rng.integers(1, 100):02d}-{rng.integers(1, 10000):04d}"
+        yield "ip", ".".join(map(str, rng.integers(0, 256, 4)))
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(int(rng.integers(73_049)))
+        yield "date", day.strftime(str(rng.choice(["%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y", "%m/%d/%Y"])))
+        yield "email", f"{some(letters + digits + '._%+-', int(rng.choice([1, 8, 64, 70, 300])))}@{'.'.join(some(letters, 5) for _ in range(rng.choice([1, 2, 14])))}.example"
+        yield "secret", [f"password={some(letters + digits, int(rng.choice([8, 17, 520, 600])))}", f'token = "{some(letters + digits + "+/_-", 600)}', "AKIA" + some(digits + letters.upper(), 16), f"api_key: {some(letters, 33)}"][rng.integers(4)]
+
+
+def test_pseudonyms_equal_plain_ones(spark):
+    rng = np.random.default_rng(1)
+    values = list(itertools.islice(private_values(rng), 1200))
+    texts, want, kinds = [], [], []
+    for k in range(0, len(values), 3):
+        parts, new = ["Begin "], ["Begin "]
+        for kind, m in values[k : k + 3]:
+            parts += [m, "\" said word, "]
+            new += [plain_pseudonym(kind, m, "k"), "\" said word, "]
+        texts.append("".join(parts))
+        want.append("".join(new))
+        kinds.append([kind for kind, _ in values[k : k + 3]])
+    got = by_id(pii.pseudonymise(frame(spark, texts), "k", found="kinds"))
+    assert got.kinds.map(list).tolist() == kinds
+    assert got.text.tolist() == want
+    assert not any(m in t for (_, m), t in zip(values, np.repeat(got.text, 3), strict=True) if len(m.partition("@")[0]) > 12)
+
+
+def test_pseudonyms_keep_their_key_and_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "born 12/31/1999 or 31/12/1999", 7)], "doc_id long, text string, hits long")
+    out = pii.pseudonymise(docs, "the key of the test")
+    plan = out._jdf.queryExecution().toString()
+    sub = hmac.digest(b"the key of the test", b"date", "sha256")
+    assert "the key" not in plan and sub.hex()[:12] not in plan.lower() and bytes(b ^ 0x36 for b in sub[:6]).hex() not in plan.lower()
+    (row,) = out.collect()
+    assert row.hits == 7 and out.columns == docs.columns
+    month_first, day_first = row.text[5:15], row.text[19:29]
+    assert int(month_first[3:5]) > 12 and int(day_first[3:5]) <= 12
+    assert pii.pseudonymise(docs.limit(0), "k").count() == 0
+
+
 # op7 and op10
 
 
