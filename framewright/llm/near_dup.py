@@ -2,22 +2,26 @@
 
 A document's shingles are its runs of five words (all its words if fewer).  A shingle weighs
 ``tf * (1 + ln((N + 1) / (df + 1)) / ln(N + 1))``, from 1 to 2 per occurrence.  Document frequencies
-are exact counts of 64-bit shingles over all documents.  Slices of documents send their distinct shingles,
-packed and counted, to parts by hash; a part sums them and returns to each slice the frequencies over 1.
-No task holds more than one slice or one part, and there are as many parts as the corpus needs.
+are exact counts of 64-bit shingles over all documents (held at 2^32 - 1 beyond that).  Slices of documents
+send their distinct shingles, packed and counted, to parts by hash; a part sums them and returns to each slice
+the frequencies in the order sent.  No task holds more than one slice or one part, and there are as many parts as the
+corpus needs.
 
 Improved consistent weighted sampling (Ioffe, 2010) draws for each of ``bands * rows`` samples the
 shingle of least ``ln c - r (t + 1 - b)`` with ``t = floor(ln w / r + b)``.  The draws ``r, b, c`` of a
 shingle are read from two fixed pools at places given by its hash.  Only additions and products of
-doubles take part, so every machine gets the same samples.  A second set of as
-many bands samples distinct shingles by least hash, all weights 1, so that pairs which only the plain measure
-links are searched as well.  Documents that share a band's samples are candidates; candidates are verified by the weighted Jaccard similarity of their whole shingle sets.  A pair
-just below the threshold that reaches it with all weights 1 is linked too, so that a large group's low
-weights for what its members share never part near copies.
-
-Nodes are distinct texts: copies never meet in a bucket.  In a bucket one pivot, later more, is compared
-with all members of other components, until every untested pair lies inside one component.  So no link
-between candidates is lost, and a bucket of thousands of near copies costs one comparison each.
+single-precision numbers take part, so every machine gets the same samples.  Documents that share a band's samples are
+candidates; a link is a candidate pair whose weighted Jaccard similarity, over their whole shingle sets, is
+``threshold`` or more (less 1e-9 for rounding).
+
+Nodes are distinct texts: copies never meet in a bucket.  A bucket is dealt in chunks of bounded size.
+A chunk is searched in full: one member after another is compared with all members of other components, until
+every untested pair lies inside one component, so that a chunk of near copies costs one comparison each.
+A bucket of several chunks sends a few pivots to all of them.  What then is still apart in it is searched
+by prefix: any two similar texts share a shingle among the rarest that make up a fifth of the weight of either,
+so those shingles are buckets of their own.  In prefix buckets of several chunks all that is still apart from
+the component of most members is compared with all members, chunk by chunk.  So no link between candidates is
+lost.
 
 Defined results: null text counts as empty; documents without words form classes by equal text; repeated
 rows and null ids share the class of their text; the class id is the least document id in the class
@@ -33,37 +37,35 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.llm import textkernels as tk
 from framewright.llm.columns import fresh
-from framewright.llm.components import components
+from framewright.llm.components import components, spread_join
 from framewright.llm.reduce import task_number
 from framewright.llm.scratch import discard, materialize, release
 
-#: Size of the table of hashed cells that ``Shingles.weights`` reads; the operator counts exactly.
-DF_CELLS = 1 << 20
 #: Text bytes to one part of the frequency count; a part holds at most about a sixth as many shingles.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 FILTER_BITS = 1 << 23
 POOL = 1 << 12
-#: Members of a bucket that one verifying task takes together.
-CHUNK = 200
+#: Texts of a bucket, and shingles of theirs, that one verifying task takes together.
+CHUNK, CHUNK_SHINGLES = 200, 400_000
+#: Members that a bucket of several chunks sends to all of them.
+FEW_PIVOTS = 8
+#: A bucket of more rows than this, and than a thousandth of all, is joined by broadcast: there are at most 1,000.
+HOT_ROWS = 1_000
+ROUNDING = 1e-9
 
 
 @dataclass(frozen=True)
 class DedupConfig:
     shingle: int = 5
-    #: Bands of each measure, the weighted and the plain one.
     bands: int = 14
     rows: int = 4
     threshold: float = 0.8
-    #: Bands of the first phase; the others only matter to buckets that it leaves open.
-    first_bands: int = 4
-    #: Buckets of up to this many texts are compared in full at once.
-    small: int = 8
     seed: int = 5
 
 
@@ -73,7 +75,7 @@ def pools(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     rng = np.random.default_rng(seed)
     log_c = np.log(rng.gamma(2.0, 1.0, (POOL, samples)))
     r = rng.gamma(2.0, 1.0, (POOL, samples))
-    return log_c, 1 / r, rng.random((POOL, samples)), r
+    return tuple(x.astype(np.float32) for x in (log_c, 1 / r, rng.random((POOL, samples)), r))
 
 
 @dataclass
@@ -109,61 +111,42 @@ class Shingles:
         first = np.flatnonzero(new)
         return cls(doc[first], key[first], np.diff(np.append(first, len(key))), n)
 
-    def weights(self, df: np.ndarray, n_total: int) -> np.ndarray:
-        """By a table of hashed cells."""
-        return self.weigh(df[(self.key >> np.uint64(44)).astype(np.int64)], n_total)
-
     def weigh(self, seen: np.ndarray, n_total: int) -> np.ndarray:
         """By each shingle's own document frequency."""
         scale = np.log(n_total + 1.0)
         return self.tf * (1 + np.maximum(0, np.log((n_total + 1.0) / (seen + 1.0))) / scale)
 
 
-def bands(s: Shingles, weight: np.ndarray, c: DedupConfig, block: int = 20_000) -> np.ndarray:
+def bands(s: Shingles, weight: np.ndarray, c: DedupConfig, block: int = 8_000) -> np.ndarray:
     """Documents x bands: a 64-bit key of each band's samples; rows without shingles are 0."""
     samples = c.bands * c.rows
     log_c, inv_r, b, r = pools(samples, c.seed)
-    least = np.full((s.n_docs, samples), np.inf)
-    log_w = np.log(weight)
+    least = np.full((s.n_docs, samples), np.inf, dtype=np.float32)
+    log_w = np.log(weight).astype(np.float32)
     for a in range(0, len(s.key), block):
         e = min(len(s.key), a + block)
         one = (s.key[a:e] & np.uint64(POOL - 1)).astype(np.int64)
         two = ((s.key[a:e] >> np.uint64(20)) & np.uint64(POOL - 1)).astype(np.int64)
         shift = b[two]
-        t = np.floor(log_w[a:e, None] * inv_r[two] + shift)
-        value = log_c[one] - r[two] * (t + (1 - shift))
+        value = inv_r[two]
+        value *= log_w[a:e, None]
+        value += shift
+        np.floor(value, out=value)
+        value -= shift
+        value += np.float32(1)
+        value *= r[two]
+        np.subtract(log_c[one], value, out=value)
         doc = s.doc[a:e]
         first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         own = doc[first]
         least[own] = np.minimum(least[own], np.minimum.reduceat(value, first, axis=0))
-    bits = least.view(np.uint64).reshape(s.n_docs, c.bands, c.rows)
+    bits = least.view(np.uint32).astype(np.uint64).reshape(s.n_docs, c.bands, c.rows)
     out = np.zeros((s.n_docs, c.bands), dtype=np.uint64)
     for k in range(c.rows):
         out = tk.mix(out ^ bits[:, :, k], k)
     return tk.mix(out ^ np.arange(c.bands, dtype=np.uint64)[None, :], 9)
 
 
-def plain_bands(s: Shingles, c: DedupConfig, block: int = 20_000) -> np.ndarray:
-    """The same of distinct shingles: a band's samples are the least of hashes of their own."""
-    samples = c.bands * c.rows
-    rng = np.random.default_rng(c.seed + 1)
-    shift, odd = (rng.integers(0, 1 << 64, samples, dtype=np.uint64) for _ in range(2))
-    odd |= np.uint64(1)
-    least = np.full((s.n_docs, samples), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for a in range(0, len(s.key), block):
-        value = (s.key[a : a + block, None] ^ shift) * odd
-        value = (value ^ (value >> np.uint64(32))) * odd
-        doc = s.doc[a : a + block]
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        own = doc[first]
-        least[own] = np.minimum(least[own], np.minimum.reduceat(value, first, axis=0))
-    bits = least.reshape(s.n_docs, c.bands, c.rows)
-    out = np.zeros((s.n_docs, c.bands), dtype=np.uint64)
-    for k in range(c.rows):
-        out = tk.mix(out ^ bits[:, :, k], k)
-    return tk.mix(out ^ np.arange(c.bands, 2 * c.bands, dtype=np.uint64)[None, :], 9)
-
-
 def weighted_jaccard(key_a: np.ndarray, w_a: np.ndarray, key_b: np.ndarray, w_b: np.ndarray) -> float:
     """Of two sorted sparse vectors: the sum of minima over the sum of maxima."""
     total = w_a.sum() + w_b.sum()
@@ -176,11 +159,61 @@ def weighted_jaccard(key_a: np.ndarray, w_a: np.ndarray, key_b: np.ndarray, w_b:
     return float(shared / (total - shared))
 
 
-def similar(key_a: np.ndarray, w_a: np.ndarray, key_b: np.ndarray, w_b: np.ndarray, threshold: float) -> bool:
-    """By the weighted measure, or by the plain one over distinct shingles: weights part no plain near copies."""
-    if weighted_jaccard(key_a, w_a, key_b, w_b) >= threshold:
-        return True
-    return weighted_jaccard(key_a, np.ones(len(key_a)), key_b, np.ones(len(key_b))) >= threshold
+def prefix(s: Shingles, weight: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of each document's rarest shingles: those after them weigh less than ``threshold`` of all."""
+    order = np.lexsort((s.key, df, s.doc))
+    doc, w = s.doc[order], weight[order]
+    first = np.searchsorted(doc, np.arange(s.n_docs + 1))
+    upto = np.concatenate([[0.0], np.cumsum(w)])
+    total = upto[first[1:]] - upto[first[:-1]]
+    after = upto[first[1:]][doc] - upto[:-1]  # of this shingle and those after it
+    kept = after >= (threshold - ROUNDING) * total[doc] - ROUNDING
+    return doc[kept], s.key[order][kept]
+
+
+class Search:
+    """The links among texts of which some components are known."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], comps: list[bytes], threshold: float):
+        self.size = np.array([len(k) for k, _ in vectors], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.key = np.concatenate([k for k, _ in vectors])
+        self.weight = np.concatenate([w for _, w in vectors])
+        self.owner = np.repeat(np.arange(len(vectors)), self.size)
+        self.total = np.bincount(self.owner, self.weight, len(vectors))
+        self.label = np.unique(np.array(comps, dtype="S16"), return_inverse=True)[1]
+        self.threshold = threshold - ROUNDING
+        self.links: list[tuple[int, int]] = []
+
+    def compare(self, i: int) -> None:
+        """Text ``i`` with all texts of other components; a link joins theirs."""
+        t = self.threshold
+        other = (self.label != self.label[i]) & (self.total * t <= self.total[i]) & (self.total[i] * t <= self.total)
+        if not other.any():
+            return
+        own = slice(self.first[i], self.first[i + 1])
+        key, weight = self.key[own], self.weight[own]
+        which = other[self.owner]
+        keys, weights, owner = self.key[which], self.weight[which], self.owner[which]
+        at = np.searchsorted(key, keys)
+        at[at == len(key)] = 0
+        both = key[at] == keys
+        shared = np.bincount(owner[both], np.minimum(weights[both], weight[at[both]]), len(self.total))
+        for j in np.flatnonzero(other & (shared >= t * (self.total + self.total[i] - shared))):
+            if self.label[j] != self.label[i]:
+                self.links.append((i, int(j)))
+                self.label[self.label == self.label[j]] = self.label[i]
+
+    def among_all(self) -> None:
+        """Compare until every untested pair lies inside one component."""
+        left = np.ones(len(self.total), dtype=bool)
+        while True:
+            seen, n = np.unique(self.label[left], return_counts=True)
+            if len(seen) < 2:
+                return
+            i = int(np.flatnonzero(left & (self.label != seen[np.argmax(n)]))[0])
+            self.compare(i)
+            left[i] = False
 
 
 def node_of(text: str | None) -> bytes:
@@ -188,47 +221,65 @@ def node_of(text: str | None) -> bytes:
 
 
 def slice_up(docs: DataFrame) -> DataFrame:
-    """``slice, doc_id, text``: documents with the number of the slice that they are counted in."""
+    """``slice, docs, bytes, batch``: documents in numbered slices, each one compressed batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = task_number() << 32
         for part in tk.slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, number)), *part.columns], names=["slice", "doc_id", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, part.num_rows, size)] + [pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "docs", "bytes", "batch"])
             number += 1
 
-    return materialize(docs.mapInArrow(run, "slice long, doc_id long, text string"), "slices")
+    return materialize(docs.mapInArrow(run, "slice long, docs long, bytes long, batch binary"), "slices", codec="uncompressed")
+
+
+def documents_of(batch: bytes) -> pa.Table:
+    return pa.ipc.open_stream(batch).read_all().combine_chunks()
+
+
+def part_of(key: np.ndarray, n_parts: int) -> np.ndarray:
+    """Parts are ranges of shingles, so that those of one part lie close together."""
+    return (((key >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)).astype(np.int32)
+
+
+def packed(key: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as their steps, byte by byte, which compress to what they say."""
+    steps = np.diff(key, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def count_df(sliced: DataFrame, width: int, n_parts: int) -> DataFrame:
-    """``slice, shingles, counts``: each slice's shingles of document frequency over 1, and those frequencies."""
+    """``slice, part, df``: the document frequencies of each slice's distinct shingles of each part, in rising order."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number = batch.column("slice").to_numpy()
-            cuts = np.flatnonzero(np.diff(number)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(number)], strict=True):
-                key, n = np.unique(Shingles.of(batch.column("text").slice(a, b - a), width).key, return_counts=True)
-                part = ((key >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                used, first = np.unique(part[order], return_index=True)
-                ends = [*first[1:], len(key)]
-                packed = [[v[order[i:j]].tobytes() for i, j in zip(first, ends, strict=True)] for v in (key, n.astype(np.uint32))] if len(key) else [[], []]
+            for number, data in zip(batch.column("slice").to_pylist(), batch.column("batch"), strict=True):
+                key, n = np.unique(Shingles.of(documents_of(data.as_py()).column("text").combine_chunks(), width).key, return_counts=True)
+                used, first = np.unique(part_of(key, n_parts), return_index=True)
+                spans = list(zip(first, [*first[1:], len(key)], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array(np.full(len(used), number[a]), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)],
+                    [pa.array(used, pa.int32()), pa.array(np.full(len(used), number)), pa.array([packed(key[i:j]) for i, j in spans], pa.binary()), pa.array([n[i:j].astype(np.uint32).tobytes() for i, j in spans], pa.binary())],
                     names=["part", "slice", "shingles", "counts"],
                 )
 
     def add(group: pa.Table) -> pa.Table:
-        shingles = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        shingles = [unpacked(x) for x in group.column("shingles").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()])
         _, at = np.unique(np.concatenate(shingles), return_inverse=True)
-        df = np.bincount(at, counts).astype(np.uint32)[at]
-        cuts = np.cumsum([len(x) for x in shingles])[:-1]
-        kept = [(x[d > 1], d[d > 1]) for x, d in zip(shingles, np.split(df, cuts), strict=True)]
-        return pa.table({"slice": group.column("slice"), "shingles": pa.array([x.tobytes() for x, _ in kept], pa.binary()), "counts": pa.array([d.tobytes() for _, d in kept], pa.binary())})
+        df = np.minimum(np.bincount(at, counts), (1 << 32) - 1).astype(np.uint32)[at]
+        ends = np.cumsum([len(x) for x in shingles])
+        return pa.table({"slice": group.column("slice"), "part": group.column("part"), "df": pa.array([x.tobytes() for x in np.split(df, ends[:-1])], pa.binary())})
 
-    sent = sliced.select("slice", "text").mapInArrow(send, "part int, slice long, shingles binary, counts binary")
-    return sent.groupBy("part").applyInArrow(add, "slice long, shingles binary, counts binary")
+    sent = sliced.select("slice", "batch").mapInArrow(send, "part int, slice long, shingles binary, counts binary")
+    return sent.groupBy("part").applyInArrow(add, "slice long, part int, df binary")
 
 
 def bit_filter(nodes: DataFrame) -> np.ndarray:
@@ -277,8 +328,8 @@ class NearDuplicates:
         self.docs, self.text_col, self.id_col, self.c = docs, text_col, id_col, config
         self.spark = docs.sparkSession
         sliced = slice_up(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-        size = sliced.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-        self.total = size["n"]
+        size = sliced.agg(F.sum("docs").alias("n"), F.sum("bytes").alias("bytes")).first()
+        self.total = size["n"] or 0
         self.signatures = materialize(self._sign(sliced, -(-(size["bytes"] or 0) // PART_BYTES) or 1), "signatures")
         discard(sliced)
         release(self.spark)
@@ -290,111 +341,160 @@ class NearDuplicates:
         schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("df", pa.binary())])
 
         def run(group: pa.Table) -> pa.Table:
-            counted = group.filter(group.column("shingles").is_valid())
-            key = np.frombuffer(b"".join(counted.column("shingles").to_pylist()), np.uint64)
-            order = np.argsort(key)
-            key, count = key[order], np.frombuffer(b"".join(counted.column("counts").to_pylist()), np.uint32)[order]
-            out = []
-            for part in tk.slices(iter(group.filter(group.column("shingles").is_null()).combine_chunks().to_batches()), "text"):
-                s = Shingles.of(part.column("text"), c.shingle)
-                df = np.ones(len(s.key), np.uint32)
-                if len(key):
-                    at = np.minimum(np.searchsorted(key, s.key), len(key) - 1)
-                    df = np.where(key[at] == s.key, count[at], df)
-                keys = np.hstack([bands(s, s.weigh(df, total), c), plain_bands(s, c)])
-                filled = np.isin(np.arange(s.n_docs), s.doc)
-                lists = [k.tolist() if f else [] for k, f in zip(keys.view(np.int64), filled, strict=True)]
-                nodes = [node_of(t) for t in part.column("text").to_pylist()]
-                own = [x.tobytes() for x in np.split(df, np.searchsorted(s.doc, np.arange(1, s.n_docs)))]
-                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(own, pa.binary())], schema=schema))
-            return pa.Table.from_batches(out, schema)
+            counted = group.filter(group.column("part").is_valid()).sort_by("part")
+            rows = documents_of(group.filter(group.column("part").is_null()).column("batch")[0].as_py())
+            whole = Shingles.of(rows.column("text").combine_chunks(), c.shingle)
+            key = np.unique(whole.key)
+            frequency = np.frombuffer(b"".join(counted.column("df").to_pylist()), np.uint32)
+            df = frequency[np.searchsorted(key, whole.key)]
+            keys = bands(whole, whole.weigh(df, total), c)
+            filled = np.isin(np.arange(whole.n_docs), whole.doc)
+            lists = [k.tolist() if f else [] for k, f in zip(keys.view(np.int64), filled, strict=True)]
+            nodes = [node_of(t) for t in rows.column("text").to_pylist()]
+            own = [x.tobytes() for x in np.split(df, np.searchsorted(whole.doc, np.arange(1, whole.n_docs)))]
+            return pa.table({"doc_id": rows.column("doc_id"), "node": pa.array(nodes, pa.binary()), "keys": pa.array(lists, pa.list_(pa.int64())), "df": pa.array(own, pa.binary())}, schema=schema)
 
         absent = F.lit(None)
-        rows = sliced.select("slice", "doc_id", "text", absent.cast("binary").alias("shingles"), absent.cast("binary").alias("counts"))
-        counted = count_df(sliced, c.shingle, n_parts).select("slice", absent.cast("long").alias("doc_id"), absent.cast("string").alias("text"), "shingles", "counts")
+        rows = sliced.select("slice", "batch", absent.cast("int").alias("part"), absent.cast("binary").alias("df"))
+        counted = count_df(sliced, c.shingle, n_parts).select("slice", absent.cast("binary").alias("batch"), "part", "df")
         return rows.unionByName(counted).groupBy("slice").applyInArrow(run, "doc_id long, node binary, keys array<long>, df binary")
 
     def _link(self) -> DataFrame:
         """``node, comp`` of every text that has a verified link."""
         c = self.c
-        texts = self.signatures.select("node", "keys").dropDuplicates(["node"])
-        rows = texts.select("node", F.posexplode("keys").alias("band", "key"))
-        many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("set"), F.min("band").alias("band")).filter("n > 1")
-        # bands often gather the very same texts: one bucket stands for all of them
-        once = many.groupBy("n", "lo", "hi", "set").agg(F.min(F.struct("band", "key")).alias("first"))
-        buckets = materialize(once.select(F.col("first.key").alias("key"), F.col("first.band").alias("band"), "n"), "buckets")
-        members = materialize(rows.select("node", "key").join(buckets, "key"), "members")
+        texts = self.signatures.select("node", "keys", "df").dropDuplicates(["node"])
+        members, buckets = self._bucketed(texts.select("node", F.octet_length("df").alias("bytes"), F.posexplode("keys").alias("band", "key")))
         candidates = members.select("node").distinct()
         bits = bit_filter(candidates)
         maybe = with_node(self.docs.select(F.col(self.text_col).cast("string").alias("text")), "text", "node", "maybe", bits).filter("maybe").select("node", "text")
         known = self.signatures.select("node", "df").join(candidates, "node", "left_semi").dropDuplicates(["node"])
         self.texts = materialize(maybe.join(candidates, "node", "left_semi").dropDuplicates(["node"]).join(known, "node"), "texts")
-        comps = None
-        for low, high in ((0, c.first_bands), (c.first_bands, 2 * c.bands)):
-            open_rows = members.filter((F.col("band") >= low) & (F.col("band") < high)).select("key", "node", "n", F.lit(False).alias("done"))
-            pivots = 1
-            while True:
-                open_rows, links = self._round(open_rows, comps, pivots)
-                if links is None:
-                    break
-                comps = self._merge(comps, links)
-                pivots *= 8
-                release(self.spark)
-            release(self.spark)
-        return comps if comps is not None else self.spark.createDataFrame([], "node binary, comp binary")
-
-    def _round(self, rows: DataFrame, comps: DataFrame | None, pivots: int) -> tuple[DataFrame, DataFrame | None]:
-        """Compare more pivots of the buckets that are still open; None for links when none is."""
+        comps, apart = self._search(members, buckets, None)
+        if apart is not None:
+            still = self._of_bucket(members, apart.select("key").distinct(), buckets).select("node").distinct()
+            members, buckets = self._bucketed(self._prefixes(still))
+            comps, apart = self._search(members, buckets, comps)
+            if apart is not None:
+                comps = self._merge(comps, self._compare_apart(apart, members, buckets))
+        return comps
+
+    def _bucketed(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of ``node, bytes, band, key``: the members of the keys that several nodes have, and one row per such key."""
+        many = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("set"), F.min("band").alias("band")).filter("n > 1")
+        # bands often gather the very same texts: one bucket stands for all of them
+        once = many.groupBy("n", "lo", "hi", "set").agg(F.min(F.struct("band", "key")).alias("first"), F.max("bytes").alias("bytes"))
+        chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("bytes") / (4 * CHUNK_SHINGLES))).cast("int")
+        buckets = materialize(once.select(F.col("first.key").alias("key"), F.col("first.band").alias("band"), "n", chunks.alias("chunks")), "buckets")
+        return materialize(self._of_bucket(rows.select("node", "key"), buckets, buckets), "members"), buckets
+
+    def _of_bucket(self, rows: DataFrame, per_key: DataFrame, buckets: DataFrame) -> DataFrame:
+        """``rows`` joined with a table that has at most one row per bucket; no hot bucket's rows meet in one task."""
+        whole = buckets.agg(F.max("n"), F.sum("n")).first()
+        hot = max(HOT_ROWS, (whole[1] or 0) // 1000)
+        if (whole[0] or 0) <= hot:
+            return rows.join(per_key, "key")
+        return spread_join(rows, per_key, "key", buckets.filter(F.col("n") > hot).select("key"))
+
+    def _search(self, members: DataFrame, buckets: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """Components after a search of all chunks and of a few pivots, and the members of buckets of several
+        chunks that are still apart from the base, which is the component of most of their bucket."""
+        named = self._named_members(members, comps)
+        if comps is not None:
+            several = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several").select("key")
+            named = materialize(self._of_bucket(named, several, buckets), "named")
+        large = named.filter("chunks > 1")
+        slot = F.pmod(F.xxhash64("node"), F.lit(FEW_PIVOTS))
+        pivots = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "chunks")).alias("p")).select("key", "p.*")
+        comps = self._merge(comps, self._compare(pivots, named))
+        if not buckets.filter("chunks > 1").head(1):
+            return comps, None
+        now = materialize(self._named_members(large.drop("comp"), comps), "named")
+        size = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        base = size.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("base"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+        apart = materialize(self._of_bucket(now, base, buckets).filter("comp <> base"), "apart")
+        return comps, apart if apart.head(1) else None
+
+    def _named_members(self, members: DataFrame, comps: DataFrame | None) -> DataFrame:
         if comps is None:
-            named = rows.withColumn("comp", F.col("node"))
-        else:
-            named = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        named = materialize(named.select("key", "node", "n", "done", "comp"), "named")
-        per_comp = named.groupBy("key", "comp").agg(F.count_if(~F.col("done")).alias("left"))
-        base = per_comp.filter("left > 0").groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("left", "comp")).alias("base")).filter("comps > 1").drop("comps")
-        here = named.join(base, "key")
-        ranked = here.filter("not done and comp <> base").withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("node"), "node")))
-        limit = F.when(F.col("n") <= self.c.small, F.lit(self.c.small)).otherwise(F.lit(pivots))
-        chosen = materialize(ranked.filter(F.col("place") <= limit).select("key", "node", "comp", "n"), "pivots")
-        if not chosen.head(1):
-            return rows, None
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        as_pivots = chosen.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "node", "comp", F.lit(True).alias("pivot"))
-        as_members = here.select("key", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", "comp", F.lit(False).alias("pivot"))
-        tasks = as_pivots.unionByName(as_members).join(self.texts, "node")
-        links = materialize(tasks.groupBy("key", "chunk").applyInArrow(self._verifier(), "a binary, b binary"), "links")
-        marks = chosen.select("key", "node", F.lit(True).alias("now"))
-        after = here.join(marks, ["key", "node"], "left").select("key", "node", "n", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        return after, links
-
-    def _verifier(self):
-        total, c = self.total, self.c
+            return members.select("key", "node", "chunks", F.col("node").alias("comp"))
+        return members.join(comps, "node", "left").select("key", "node", "chunks", F.coalesce("comp", "node").alias("comp"))
+
+    def _compare(self, pivots: DataFrame, members: DataFrame) -> DataFrame:
+        """Links of members with those of their chunk, and with the pivots of their bucket."""
+        chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks"))
+        dealt = members.select("key", chunk.cast("int").alias("chunk"), "node", "comp").join(self.texts, "node")
+        sent = pivots.join(self.texts, "node").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "comp", "text", "df")
+        tasks = dealt.unionByName(sent).withColumn("pivot", F.lit(False))
+        return materialize(tasks.groupBy("key", "chunk").applyInArrow(self._verifier(among_all=True), "a binary, b binary"), "links")
+
+    def _compare_apart(self, apart: DataFrame, members: DataFrame, buckets: DataFrame) -> DataFrame:
+        """Links of all that are apart from their bucket's base with all members of the bucket.
+
+        Both sides are dealt in chunks, and every chunk of the first meets every chunk of the second once.
+        """
+        per_key = apart.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"), F.max("base").alias("base"))
+        block, chunk = (F.pmod(F.xxhash64("node", "key"), F.col(c)).cast("int") for c in ("blocks", "chunks"))
+        others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = self._of_bucket(apart.drop("base"), per_key, buckets).join(self.texts, "node")
+        left = one.select("key", others("chunks").alias("chunk"), block.alias("block"), "node", "comp", F.lit(True).alias("pivot"), "text", "df")
+        all_ = self._of_bucket(members.select("key", "node", "chunks"), per_key, buckets).join(apart.select("key", "node", "comp"), ["key", "node"], "left").join(self.texts, "node")
+        right = all_.select("key", chunk.alias("chunk"), others("blocks").alias("block"), "node", F.coalesce("comp", "base").alias("comp"), F.lit(False).alias("pivot"), "text", "df")
+        tasks = left.unionByName(right)
+        return materialize(tasks.groupBy("key", "chunk", "block").applyInArrow(self._verifier(among_all=False), "a binary, b binary"), "links")
+
+    def _shingled(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Shingles, np.ndarray, np.ndarray]]:
+        """Slices of ``text, df`` with their shingles, weights and frequencies."""
+        for part in tk.slices(batches, "text"):
+            s = Shingles.of(part.column("text"), self.c.shingle)
+            df = np.frombuffer(b"".join(part.column("df").to_pylist()), np.uint32)
+            yield part, s, s.weigh(df, self.total), df
+
+    def _verifier(self, among_all: bool):
+        shingled, threshold = self._kernel()._shingled, self.c.threshold
 
         def verify(group: pa.Table) -> pa.Table:
-            group = group.combine_chunks()
-            nodes, comps, pivot = (group.column(k).to_pylist() for k in ("node", "comp", "pivot"))
-            vectors: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-            at = 0
-            for batch in group.select(["text", "df"]).to_batches():
-                for part in tk.slices(iter([batch]), "text"):
-                    s = Shingles.of(part.column("text"), c.shingle)
-                    weight = s.weigh(np.frombuffer(b"".join(part.column("df").to_pylist()), np.uint32), total)
-                    cuts = np.searchsorted(s.doc, np.arange(s.n_docs + 1))
-                    for k in range(s.n_docs):
-                        vectors[nodes[at + k]] = (s.key[cuts[k] : cuts[k + 1]], weight[cuts[k] : cuts[k + 1]])
-                    at += part.num_rows
-            chosen = {n: k for n, k, p in zip(nodes, comps, pivot, strict=True) if p}
-            pairs = set()
-            for node, comp, is_pivot in zip(nodes, comps, pivot, strict=True):
-                if not is_pivot:
-                    for p, own in chosen.items():
-                        if own != comp and not (node in chosen and node > p):
-                            pairs.add((p, node))
-            found = [(a, b) for a, b in sorted(pairs) if similar(*vectors[a], *vectors[b], c.threshold)]
-            return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+            seen: dict[bytes, int] = {}
+            vectors, comps, pivots = [], [], []
+            for part, s, weight, _ in shingled(iter(group.combine_chunks().to_batches())):
+                cuts = np.searchsorted(s.doc, np.arange(s.n_docs + 1))
+                for k, (node, comp, pivot) in enumerate(zip(*(part.column(x).to_pylist() for x in ("node", "comp", "pivot")), strict=True)):
+                    if node not in seen:
+                        seen[node] = len(vectors)
+                        vectors.append((s.key[cuts[k] : cuts[k + 1]], weight[cuts[k] : cuts[k + 1]]))
+                        comps.append(comp)
+                    if pivot:
+                        pivots.append(seen[node])
+            search = Search(vectors, comps, threshold)
+            if among_all:
+                search.among_all()
+            else:
+                for i in sorted(set(pivots)):
+                    search.compare(i)
+            nodes = list(seen)
+            return pa.table({"a": pa.array([nodes[i] for i, _ in search.links], pa.binary()), "b": pa.array([nodes[j] for _, j in search.links], pa.binary())})
 
         return verify
 
+    def _prefixes(self, nodes: DataFrame) -> DataFrame:
+        """``node, bytes, band, key``: the texts' rarest shingles, one of which any two similar ones share."""
+        shingled, threshold = self._kernel()._shingled, self.c.threshold
+        schema = pa.schema([("node", pa.binary()), ("bytes", pa.int32()), ("band", pa.int32()), ("key", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, s, weight, df in shingled(batches):
+                doc, key = prefix(s, weight, df, threshold)
+                size = pa.array(4 * np.bincount(s.doc, minlength=s.n_docs)[doc], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(doc)), size, pa.array(np.zeros(len(doc)), pa.int32()), pa.array(key.view(np.int64))], schema=schema)
+
+        found = self.texts.join(nodes, "node", "left_semi").mapInArrow(run, "node binary, bytes int, band int, key long")
+        return materialize(found, "prefixes")
+
+    def _kernel(self) -> NearDuplicates:
+        """What tasks need of this object."""
+        out = object.__new__(NearDuplicates)
+        out.total, out.c = self.total, self.c
+        return out
+
     def _merge(self, comps: DataFrame | None, links: DataFrame) -> DataFrame:
         """Components after more links: their graph is over the components so far."""
         if comps is None:

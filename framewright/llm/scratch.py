@@ -22,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/framewright-scratch"
 
 
+#: Bytes of an Arrow batch between the JVM and Python; documents are long, and a batch has copies on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Hold this session's Arrow batches to ``BATCH_BYTES``; an administrator's lower bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import brute
 import numpy as np
 from conftest import SF
 
@@ -10,26 +11,18 @@ from framewright.llm import pii, quality, queries
 
 
 def test_pipeline_equals_brute_force(spark):
-    import re
-
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).toPandas().sort_values("doc_id").reset_index(drop=True)
-    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in good.text]
-    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
-    root = list(range(len(good)))
-    for i in range(len(good)):
-        for j in range(i):
-            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
-                x, y = root[i], root[j]
-                root = [min(x, y) if r in (x, y) else r for r in root]
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
+    words = [brute.words(t) for t in good.text]
+    firsts = sorted(set(brute.classes(len(good), brute.similar_pairs(list(good.text)))))
     windows = set()
-    for t in bench.text:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-        windows |= {tuple(w[k : k + 10]) for k in range(len(w) - 9)}
-    ids = [i for i in sorted(set(root)) if not any(tuple(words[i][k : k + 10]) in windows for k in range(len(words[i]) - 9))]
+    for t in spark.read.parquet(f"{SF}/benchmark.parquet").toPandas().text:
+        w = brute.words(t)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    ids = [i for i in firsts if not any(tuple(words[i][k : k + n]) in windows for n in sizes for k in range(len(words[i]) - n + 1))]
     kept = good.loc[ids, ["doc_id", "text"]]
     new = pii.pseudonymise(spark.createDataFrame(kept), queries.DEMONSTRATION_KEY).toPandas()
     library = Tokenizer.from_file(queries.tokenizer_path())
