@@ -201,6 +201,35 @@ def in_halfspaces(x: Column, y: Column, z: Column, faces: Column) -> Column:
     return F.forall(faces, lambda f: f.nx * x + f.ny * y + f.nz * z <= f.d)
 
 
+def in_footprint(corners: Column, x: Column, y: Column) -> Column:
+    """Inside the footprint that the edges from the first corner to the second and to the fourth span."""
+    a, b, d = (F.get(corners, F.lit(k)) for k in (0, 1, 3))
+
+    def along(end: Column) -> Column:
+        ex, ey = end.x - a.x, end.y - a.y
+        return (ex * (x - a.x) + ey * (y - a.y)).between(0, ex * ex + ey * ey)
+
+    return along(b) & along(d)
+
+
+def beyond_chord(x: Column, y: Column, start_y: Column, angle_deg: float = 10.0) -> Column:
+    """y not further below ``start_y`` than the chord of an angle at the radius of (x, start_y)."""
+    squared = x * x + start_y * start_y
+    return y >= start_y - F.sqrt(2 * squared - 2 * squared * math.cos(math.radians(angle_deg)))
+
+
+def displacement(m_now: Column, m_next: Column, x: Column, y: Column, z: Column) -> Column:
+    """How a point moves with a box between two poses (row-major 4x4), turned by the turn between them."""
+    turning = lambda m: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.when((k % 4 == 3) & (k < 12), F.lit(0.0)).otherwise(F.get(m, k)))
+
+    def moved(t: Column) -> Column:
+        gone = affine(t, x - F.get(m_now, F.lit(3)), y - F.get(m_now, F.lit(7)), z - F.get(m_now, F.lit(11)))
+        return let(gone, lambda p: point(p.x + F.get(m_next, F.lit(3)) - x, p.y + F.get(m_next, F.lit(7)) - y, p.z + F.get(m_next, F.lit(11)) - z))
+
+    back = let(turning(m_now), rigid_inverse)
+    return let(let(F.struct(back.alias("a"), turning(m_next).alias("b")), lambda s: matmul4(s.a, s.b)), moved)
+
+
 def polygon_area(ring: Column) -> Column:
     """Shoelace over an ordered ring of (x, y)."""
     n = F.size(ring)

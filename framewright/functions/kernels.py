@@ -52,25 +52,6 @@ def iou_3d(a: np.ndarray, b: np.ndarray) -> float:
     return float(area * height / union) if union > 0 else 0.0
 
 
-def greedy_match(scores: np.ndarray, iou: np.ndarray, ignored_iou: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """(prediction, target) by falling score; target -1 is a false positive.
-
-    A prediction takes the free target of greatest positive overlap if that reaches the threshold; else it
-    is dropped if it reaches an ignored target.  Equal scores keep their order, equal overlaps the first.
-    """
-    free = np.ones(iou.shape[1], dtype=bool)
-    out = []
-    for k in np.argsort(-scores, kind="stable").tolist():
-        row = np.where(free, iou[k], 0.0)
-        best = int(np.argmax(row)) if len(row) else -1
-        if best >= 0 and row[best] > 0 and row[best] >= threshold:
-            free[best] = False
-            out.append((k, best))
-        elif not (ignored_iou[k] >= threshold).any():
-            out.append((k, -1))
-    return out
-
-
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """A one-to-one assignment of least total cost: shortest augmenting paths with potentials."""
     n, m = cost.shape
@@ -193,44 +174,27 @@ def icp(source: np.ndarray, target: np.ndarray, reach: float = 0.5, rounds: int
     return moved, d <= reach
 
 
-def traverse(start: np.ndarray, end: np.ndarray, size: float, cap: int = 10_000) -> list[tuple[int, int, int]]:
-    """Voxels that the segment passes in order; on equal distances z steps before y before x."""
+def traverse(start: np.ndarray, end: np.ndarray, size: float) -> list[tuple[int, int, int]]:
+    """Voxels that the segment passes in order; on equal distances z steps before y before x.
+
+    There are as many steps as cells lie between both ends along the axes.
+    """
     here = np.floor(start / size).astype(int)
     last = np.floor(end / size).astype(int)
     way = end - start
     step = np.sign(way).astype(int)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        span = np.where(way != 0, size / np.abs(way), np.inf)
-        edge = (here + (step > 0)) * size
-        at = np.where(way != 0, (edge - start) / way, np.inf)
+    ahead = (step > 0).astype(int)
+
+    def crossing(axis: int) -> float:
+        """Where on the way the next side of a cell is met: from the cell's number, so errors don't add up."""
+        return ((here[axis] + ahead[axis]) * size - start[axis]) / way[axis] if here[axis] != last[axis] else np.inf
+
+    at = np.array([crossing(axis) for axis in range(3)])
     out = [tuple(here.tolist())]
-    for _ in range(cap):
-        if (here == last).all():
-            break
+    for _ in range(int(np.abs(last - here).sum())):
         axis = 2 - int(np.argmin(at[::-1]))
-        if at[axis] > 1:
-            break
         here = here.copy()
         here[axis] += step[axis]
-        at[axis] += span[axis]
+        at[axis] = crossing(axis)
         out.append(tuple(here.tolist()))
     return out
-
-
-def recall_thresholds(scores: list[float], n_targets: int, points: int = 41) -> list[float]:
-    """Scores at which recall comes nearest to even steps."""
-    out, level = [], 0.0
-    ordered = sorted(scores, reverse=True)
-    for k, s in enumerate(ordered):
-        here = (k + 1) / n_targets
-        following = (k + 2) / n_targets if k + 1 < len(ordered) else here
-        if k + 1 < len(ordered) and following - level < level - here:
-            continue
-        out.append(s)
-        level += 1 / (points - 1)
-    return out
-
-
-def mean_precision(precision: np.ndarray, points: int = 41) -> float:
-    """Mean over ``points`` samples of the precision made non-increasing; missing samples are 0."""
-    return float(np.maximum.accumulate(precision[::-1]).sum() / points) if len(precision) else 0.0

@@ -73,8 +73,9 @@ def chains(summaries: DataFrame, scene: str, index: str, window: int, tolerance:
     return summaries.select(F.col(scene).cast("string").alias(scene), F.col(index).cast("int").alias(index), "cluster", "n_points", "x", "y", "z").groupBy(scene).applyInPandas(run, schema)
 
 
-def radial_jitter(chained: DataFrame, least_frames: int = 2) -> DataFrame:
-    """Deviation of a chain's range about a straight line over time, in built-in functions; null if short."""
+def radial_jitter(chained: DataFrame, least_frames: int = 2, first_differences: bool = False) -> DataFrame:
+    """Deviation of a chain's range about a straight line over time, or of its first differences, in built-in
+    functions; null if short."""
     r = F.transform("chain", lambda c: g.radius(c.x, c.y, c.z))
     t = F.transform("chain", lambda c: c.idx.cast("double"))
     n = F.size("chain")
@@ -85,17 +86,23 @@ def radial_jitter(chained: DataFrame, least_frames: int = 2) -> DataFrame:
     vt = product(F.col("_t"), F.col("_mt"), F.col("_t"), F.col("_mt"))
     c = product(F.col("_r"), F.col("_mr"), F.col("_t"), F.col("_mt"))
     sigma = F.sqrt(F.greatest(vr - F.coalesce(F.try_divide(c * c, vt), F.lit(0.0)), F.lit(0.0)))
+    if first_differences:
+        steps = F.zip_with(F.slice("_r", 2, F.size("_r")), F.slice("_r", F.lit(1), F.size("_r") - 1), lambda a, b: b - a)
+        mean_step = (F.element_at("_r", 1) - F.element_at("_r", -1)) / (n - 1)
+        sigma = F.sqrt(F.aggregate(steps, F.lit(0.0), lambda s, v: s + (v - mean_step) * (v - mean_step)) / (n - 1))
     return with_means.withColumn("sigma_centroid", F.when(n > least_frames, sigma)).withColumn("n_frames_associated", n).drop("_r", "_t", "_mr", "_mt")
 
 
 def aligned_sigma(clustered: DataFrame, chained: DataFrame, scene: str, index: str, reach: float = 0.5, least_points: int = 10) -> DataFrame:
     """Pooled deviation of range residuals after aligning each past cluster of a chain to the newest one.
 
-    One group is one chain: the points of one cluster over at most the window's frames.
+    One group is one chain: the points of one cluster over at most the window's frames.  Ranges are taken
+    from ``origin``, if the chains have one.
     """
-    steps = chained.select(scene, index, "cluster", F.explode("chain").alias("c")).select(scene, index, "cluster", F.col("c.idx").alias("_at"), F.col("c.cluster").alias("_past"))
+    origin = [F.col(f"origin.{a}") if "origin" in chained.columns else F.lit(0.0) for a in "xyz"]
+    steps = chained.select(scene, index, "cluster", *(o.alias(f"_o{a}") for a, o in zip("xyz", origin, strict=True)), F.explode("chain").alias("c")).select(scene, index, "cluster", "_ox", "_oy", "_oz", F.col("c.idx").alias("_at"), F.col("c.cluster").alias("_past"))
     pts = clustered.select(F.col(scene).cast("string").alias("_s"), F.col(index).cast("int").alias("_i"), F.col("cluster").alias("_c"), *(F.col(a).cast("double").alias(a) for a in "xyz"))
-    rows = steps.join(pts, (steps[scene] == pts["_s"]) & (steps["_at"] == pts["_i"]) & (steps["_past"] == pts["_c"]))
+    rows = steps.join(pts, (steps[scene] == pts["_s"]) & (steps["_at"] == pts["_i"]) & (steps["_past"] == pts["_c"])).withColumns({a: F.col(a) - F.col(f"_o{a}") for a in "xyz"})
     schema = f"{scene} string, {index} int, cluster int, sigma_point double"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -7,12 +7,13 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import geometry as g
 from framewright.functions.kernels import dbscan, traverse
 from framewright.functions.numeric import ratio, uniform
-from framewright.operators.clusters import aligned_sigma, centres, chains, cluster_points, ego_filter, radial_jitter
+from framewright.operators.clusters import aligned_sigma, centres, chains, cluster_points, ego_filter, level, radial_jitter
 from framewright.operators.spatial import empty_cells, neighbour_counts
 
 
@@ -36,16 +37,65 @@ def void_region(points: DataFrame, frame: str, x: tuple[float, float] = (0.0, 30
     return _verdict(points, counted, frame, F.col("obstacles") > 0, "obstacles")
 
 
-def shadow_volume(points: DataFrame, frame: str, ground: float = -1.73, delta: float = 0.2, voxel: float = 0.3, most: float = 15.0, **region) -> DataFrame:
-    """Volume of void cells that no object shades.  The clustering of objects is this engine's own."""
-    x, y = region.get("x", (0.0, 30.0)), region.get("y", (-5.0, 5.0))
+def shadow_volume(points: DataFrame, frame: str, x: tuple[float, float] = (0.0, 30.0), y: tuple[float, float] = (-5.0, 5.0), ground: float = -1.73, delta: float = 0.2, stride: float = 0.6, eps: float = 0.8, least: int = 5, most: float = 15.0, voxel: float = 0.3, ceiling: float = 0.0, object_eps: float = 0.5, object_least: int = 10) -> DataFrame:
+    """Per frame the voids and the greatest volume of one's pyramid that no object shades, in cubic metres.
+
+    A void is a cluster of ground cells without a point; its pyramids, from the sensor to its cells, are
+    filled with voxels up to ``ceiling``.  Objects are clusters above the ground; the clustering is this
+    engine's own.  One group is one frame's void cells and object boxes, both bounded by the region.
+    """
     floor = points.filter(F.abs(F.col("z") - ground) <= delta)
-    holes = empty_cells(floor, frame, x, y, voxel).withColumns({"x": x[0] + (F.col("ix") + 0.5) * voxel, "y": y[0] + (F.col("iy") + 0.5) * voxel, "z": F.lit(ground)})
-    objects = cluster_points(points.filter(F.col("z") > ground + delta), frame, "point_idx", 0.5, 10).filter("cluster >= 0")
-    boxes = objects.groupBy(frame, "cluster").agg(F.struct(*(F.min(a).alias(a) for a in "xyz")).alias("lo"), F.struct(*(F.max(a).alias(a) for a in "xyz")).alias("hi"))
-    shaded = holes.join(boxes, frame).filter(g.segment_hits_box(F.col("x"), F.col("y"), F.col("z"), F.col("lo"), F.col("hi"))).select(frame, "ix", "iy")
-    rest = holes.join(shaded, [frame, "ix", "iy"], "left_anti").groupBy(frame).agg((F.count("*") * voxel**3).alias("residual"))
-    return _verdict(points, rest, frame, F.col("residual") > most, "residual")
+    holes = empty_cells(floor, frame, x, y, stride).withColumns({"x": x[0] + (F.col("ix") + 0.5) * stride, "y": y[0] + (F.col("iy") + 0.5) * stride})
+    voids = cluster_points(holes.withColumn("key", F.col("ix") * 100_000 + F.col("iy")), frame, "key", eps, least, ("x", "y")).filter("cluster >= 0")
+    objects = cluster_points(points.filter(F.col("z") > ground + delta), frame, "point_idx", object_eps, object_least).filter("cluster >= 0")
+    bounds = objects.groupBy(frame, "cluster").agg(*(f(a).cast("double").alias(f"{n}_{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    limits = [f"{n}_{a}" for n in ("lo", "hi") for a in "xyz"]
+    none = F.lit(None).cast("double")
+    rows = voids.select(F.col(frame).cast("string").alias(frame), "cluster", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *(none.alias(c) for c in limits))
+    rows = rows.unionByName(bounds.select(F.col(frame).cast("string").alias(frame), "cluster", none.alias("x"), none.alias("y"), *limits))
+    half = voxel / 2
+    axes = [np.arange(x[0] + half, x[1], voxel), np.arange(y[0] + half, y[1], voxel), np.arange(ground + half, ceiling, voxel)]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        cells = group[group["x"].notna()]
+        centre = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
+        volume = _unshaded(centre, cells[["x", "y"]].to_numpy(), cells["cluster"].to_numpy(), ground, stride, group.loc[group["x"].isna(), limits].to_numpy()) * voxel**3
+        return pd.DataFrame([(group[frame].iloc[0], len(volume), float(volume.max(initial=0.0)))], columns=[frame, "voids", "residual"])
+
+    found = rows.groupBy(frame).applyInPandas(run, f"{frame} string, voids int, residual double")
+    typed = found.withColumn(frame, F.col(frame).cast(points.schema[frame].dataType))
+    return _verdict(points, typed, frame, F.col("residual") > most, "voids", "residual")
+
+
+def _unshaded(centre: np.ndarray, cells: np.ndarray, cluster: np.ndarray, ground: float, side: float, boxes: np.ndarray) -> np.ndarray:
+    """Per cluster of cells how many voxel centres lie in their pyramids and behind no box."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        free = np.ones(len(centre), dtype=bool)
+        for box in boxes:
+            at = np.sort(box.reshape(2, 1, 3) / centre, axis=0)  # where the ray to a centre enters and leaves each slab
+            still = np.abs(centre) <= 1e-9
+            outside = (box[:3] > 0) | (box[3:] < 0)
+            enter = np.where(still, -np.inf, at[0]).max(axis=1)
+            leave = np.where(still, np.where(outside, -np.inf, np.inf), at[1]).min(axis=1)
+            free &= ~((enter <= leave) & (leave > 0) & (enter < 1))
+    seen = centre[free]
+    out = []
+    for k in np.unique(cluster):
+        inside = np.zeros(len(seen), dtype=bool)
+        for cx, cy in cells[cluster == k]:
+            way = np.array([cx, cy, ground])
+            far = np.linalg.norm(way)
+            if far < 1e-6:
+                continue
+            way /= far
+            up = np.array([1.0, 0.0, 0.0]) if abs(way[2]) > 0.999 else np.array([0.0, 0.0, 1.0])
+            u = np.cross(up, way)
+            u /= np.linalg.norm(u)
+            along = seen @ way
+            width = side / 2 * along / far
+            inside |= (along > 0) & (along < far) & (np.abs(seen @ u) < width) & (np.abs(seen @ np.cross(way, u)) < width)
+        out.append(inside.sum())
+    return np.array(out, dtype=float)
 
 
 def penetration(points: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
@@ -85,14 +135,27 @@ def hierarchy(points: DataFrame, boxes: DataFrame, frame: str, a: float = 0.50,
     return _verdict(points, judged.groupBy(frame).agg(F.count_if("adversarial").alias("adversarial")), frame, F.col("adversarial") > 0, "adversarial")
 
 
-def jitter_verdicts(points: DataFrame, scene: str, index: str, window: int = 12, least_history: int = 5, eps: float = 0.7, least: int = 20, tolerance: float = 1.92, limit: float = 0.3, ego: tuple[float, float, float] = (2.0, 2.0, 1.4), ground: float = 0.1, point_limit: float = 0.08, both: bool = False) -> DataFrame:
-    """Clusters whose range jitters about a straight line, or whose points do about their aligned past, by
-    frame; with ``both`` only clusters of either kind at once.  Frames too early have no verdict."""
+def jitter_verdicts(points: DataFrame, scene: str, index: str, window: int = 12, least_history: int = 5, eps: float = 0.7, least: int = 20, tolerance: float = 1.92, limit: float = 0.3, ego: tuple[float, float, float] = (2.0, 2.0, 1.4), ground: float = 0.1, point_limit: float = 0.08, both: bool = False, pose: str | None = None, first_differences: bool = False, axes: tuple[str, ...] = ("x", "y", "z"), least_past: int = 2) -> DataFrame:
+    """Clusters whose range jitters about a straight line (or between frames, with ``first_differences``), or
+    whose points do about their aligned past, by frame; with ``both`` only clusters of either kind at once.
+    Frames too early have no verdict.
+
+    ``pose`` names a row-major 4x4 column that takes a frame's points to the world.  Points are clustered in
+    their own frame, followed in the world, and their ranges taken from where the newest frame's sensor was.
+    Past frames without a pose are skipped; the newest must have one.  Clusters may be found on some ``axes`` only.
+    """
     clean = ego_filter(points, *ego).filter(F.col("z") > ground)
     keyed = clean.withColumn("_frame", F.struct(scene, index))
-    clustered = cluster_points(keyed, "_frame", "point_idx", eps, least).withColumns({scene: F.col(f"_frame.{scene}"), index: F.col(f"_frame.{index}")})
+    clustered = cluster_points(keyed, "_frame", "point_idx", eps, least, axes).withColumns({scene: F.col(f"_frame.{scene}").cast("string"), index: F.col(f"_frame.{index}").cast("int")})
+    origins = None
+    if pose:
+        clustered = level(clustered.filter(F.col(pose).isNotNull()), pose)
+        origins = clustered.groupBy(scene, index).agg(F.first(g.point(*(F.get(pose, F.lit(k)) for k in (3, 7, 11)))).alias("origin"))
     summary = clustered.filter("cluster >= 0").groupBy(scene, index, "cluster").agg(F.count("*").alias("n_points"), *(F.avg(a).cast("double").alias(a) for a in "xyz"))
-    tested = radial_jitter(chains(summary, scene, index, window, tolerance, 10)).filter("sigma_centroid is not null")
+    chained = chains(summary, scene, index, window, tolerance, 10)
+    if origins is not None:
+        chained = chained.join(origins, [scene, index]).withColumn("chain", F.transform("chain", lambda c: F.struct(c.idx.alias("idx"), c.cluster.alias("cluster"), *((c[a] - F.col(f"origin.{a}")).alias(a) for a in "xyz"))))
+    tested = radial_jitter(chained, least_past, first_differences).filter("sigma_centroid is not null")
     tested = tested.join(aligned_sigma(clustered.filter("cluster >= 0"), tested, scene, index), [scene, index, "cluster"], "left")
     centre, point = F.col("sigma_centroid") > limit, F.coalesce(F.col("sigma_point") > point_limit, F.lit(False))
     per_frame = tested.groupBy(scene, index).agg(F.count("*").alias("tested"), F.count_if(centre & point if both else centre | point).alias("flagged"))
@@ -112,26 +175,47 @@ def grid_coherence(points: DataFrame, frame: str, theta: float = math.pi / 2 - 1
     return _verdict(points, counted, frame, (F.col("both") > most) | (F.col("neither") > most), "both", "neither")
 
 
-def transport_verdicts(points: DataFrame, scene: str, index: str, window: int = 6, ground: float = -1.65, eps: float = 0.7, least: int = 10, tolerance: float = 1.0, limit: float = 5.0, floor: float = 1e-4, quantiles: int = 64) -> DataFrame:
-    """Ratio of radial to lateral transport between a cluster's consecutive shapes; above ``limit`` is flagged.
-
-    Shapes are compared by evenly spaced quantiles of their residuals along and across the ray."""
+def recentred(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """Chain steps (``k`` back from the newest, centre x, y, z) with ``shift``: how far a constant velocity,
+    fitted to the chain's centres, carries each step's cluster to the newest."""
+    chain = W.partitionBy(*keys)
+    slope = lambda a: F.coalesce(F.regr_slope(F.col(a), -F.col("k").cast("double")).over(chain), F.lit(0.0))
+    return steps.withColumn("shift", g.point(*(slope(a) * F.col("k") for a in "xyz")))
+
+
+def transport(clustered: DataFrame, chained: DataFrame, scene: str, index: str, floor: float = 1e-4, quantiles: int = 64) -> DataFrame:
+    """``scene, index, cluster, n_past, rho``: of consecutive shapes of a chain, moved together by a fitted
+    velocity, the median ratio of squared transport along the newest centre's ray to that across it.
+
+    Shapes are compared by evenly spaced quantiles of their projections; one group is one cluster's points.
+    """
+    head = [scene, index, "cluster"]
+    opened = chained.select(*head, F.posexplode("chain").alias("k", "c")).select(*head, "k", F.col("c.idx").alias("_at"), F.col("c.cluster").alias("_past"), "c.x", "c.y", "c.z")
+    steps = recentred(opened, head).withColumn("ray", F.first(F.when(F.col("k") == 0, g.unit_ray(F.col("x"), F.col("y"), F.col("z"))), ignorenulls=True).over(W.partitionBy(*head)))
+    steps = steps.drop("x", "y", "z")
+    pts = clustered.select(F.col(scene).cast("string").alias("_s"), F.col(index).cast("int").alias("_i"), F.col("cluster").alias("_c"), *(F.col(a).cast("double").alias(a) for a in "xyz"))
+    rows = steps.join(pts, (F.col(scene) == F.col("_s")) & (F.col("_at") == F.col("_i")) & (F.col("_past") == F.col("_c")))
+    rows = rows.withColumn("p", g.point(*(F.col(a) + F.col(f"shift.{a}") for a in "xyz"))).withColumn("axes", g.basis(F.col("ray"), 0.9))
+    shares = F.array(*(F.lit((j + 0.5) / quantiles) for j in range(quantiles)))
+    sides = {"r": F.col("ray"), "u": F.col("axes.u"), "v": F.col("axes.v")}
+    shapes = rows.groupBy(*head, "k").agg(*(F.percentile(g.dot(F.col("p"), axis), shares).alias(f"q{n}") for n, axis in sides.items()))
+    by_step = W.partitionBy(*head).orderBy("k")
+    gap = lambda q: F.aggregate(F.zip_with(q, F.lag(q).over(by_step), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / quantiles
+    pairs = shapes.withColumns({f"w{n}": gap(F.col(f"q{n}")) for n in sides}).filter("k > 0")
+    return pairs.groupBy(*head).agg(F.count("*").alias("n_past"), F.median(F.col("wr") / (F.col("wu") + F.col("wv") + floor)).alias("rho"))
+
+
+def transport_verdicts(points: DataFrame, scene: str, index: str, window: int = 6, ground: float = -1.65, eps: float = 0.7, least: int = 10, tolerance: float = 1.0, limit: float = 5.0, least_past: int = 2, least_points: int = 10, **options) -> DataFrame:
+    """Per frame the clusters tested, flagged for a transport ratio above ``limit``, and the greatest ratio."""
     clean = ego_filter(points, 3.0, 2.0, 1.4).filter(F.col("z") > ground).withColumn("_frame", F.struct(scene, index))
     clustered = cluster_points(clean, "_frame", "point_idx", eps, least).filter("cluster >= 0").withColumns({scene: F.col(f"_frame.{scene}").cast("string"), index: F.col(f"_frame.{index}").cast("int")})
     summary = clustered.groupBy(scene, index, "cluster").agg(F.count("*").alias("n_points"), *(F.avg(a).cast("double").alias(a) for a in "xyz"))
-    middle = summary.select(scene, index, "cluster", F.struct("x", "y", "z").alias("m"))
-    shares = F.array(*(F.lit((k + 0.5) / quantiles) for k in range(quantiles)))
-    ray = g.unit_ray(F.col("m.x"), F.col("m.y"), F.col("m.z"))
-    rel = clustered.join(middle, [scene, index, "cluster"]).withColumn("ray", ray).withColumn("axes", g.basis(F.col("ray"), 0.9))
-    offset = g.point(F.col("x") - F.col("m.x"), F.col("y") - F.col("m.y"), F.col("z") - F.col("m.z"))
-    shapes = rel.withColumn("o", offset).groupBy(scene, index, "cluster").agg(F.percentile(g.dot(F.col("o"), F.col("ray")), shares).alias("qr"), F.percentile(g.dot(F.col("o"), F.col("axes.u")), shares).alias("qu"))
-    steps = chains(summary, scene, index, window, tolerance, 1).select(scene, F.col(index).alias("at"), F.col("cluster").alias("head"), F.posexplode("chain").alias("k", "c")).select(scene, "at", "head", "k", F.col("c.idx").alias(index), F.col("c.cluster").alias("cluster")).join(shapes, [scene, index, "cluster"])
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(scene, "at", "head").orderBy("k")
-    gap = lambda q: F.sqrt(F.aggregate(F.zip_with(q, F.lag(q).over(w), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / quantiles)
-    ratios = steps.withColumns({"wr": gap("qr"), "wu": gap("qu")}).groupBy(scene, "at", "head").agg((F.median("wr") / (F.median("wu") + floor)).alias("rho"))
-    return ratios.groupBy(scene, F.col("at").alias(index)).agg(F.max("rho").alias("rho")).withColumn("detected", F.coalesce(F.col("rho") > limit, F.lit(False)))
+    chained = chains(summary, scene, index, window, tolerance, least_points).join(summary.filter(F.col("n_points") >= least_points).select(scene, index, "cluster"), [scene, index, "cluster"])
+    tested = transport(clustered, chained.filter(F.size("chain") > least_past), scene, index, **options)
+    per_frame = tested.groupBy(scene, index).agg(F.count("*").alias("tested"), F.count_if(F.col("rho") > limit).alias("flagged"), F.max("rho").alias("rho"))
+    frames = points.select(F.col(scene).cast("string").alias(scene), F.col(index).cast("int").alias(index)).distinct()
+    out = frames.join(per_frame, [scene, index], "left").na.fill(0, ["tested", "flagged"])
+    return out.select(scene, index, "tested", "flagged", "rho", (F.col("flagged") > 0).alias("detected"), ratio(F.col("flagged"), F.col("tested")).alias("confidence"))
 
 
 def _verdict(points: DataFrame, counted: DataFrame, frame: str, rule: F.Column, *columns: str) -> DataFrame:

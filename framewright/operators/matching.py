@@ -1,21 +1,26 @@
 """Detection matching and the curves built on it.
 
-Pairs of boxes are found and measured once per frame.  The order-dependent part of matching runs in one
-Arrow function per (frame, class): these groups are the boxes of one frame, never of a class as a whole.
+Pairs of boxes are found and measured once per frame.  The order-dependent part of matching runs in Arrow
+functions over whole frames and classes, many to a call.  Matching goes by falling score, so what it decides
+above a score does not depend on what lies below it: curves over score thresholds need one matching, and
+are sums over its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.functions.kernels import assign, greedy_match, iou_3d, mean_precision, recall_thresholds, ring_of
+from framewright.functions.kernels import assign, iou_3d, ring_of
 from framewright.functions.numeric import harmonic, ratio
+from framewright.operators.grouped import map_groups, running_sums
 
 # Overlap thresholds by class, difficulty limits.
 KITTI_IOU = {"Car": 0.7, "Pedestrian": 0.5, "Cyclist": 0.5}
@@ -40,114 +45,194 @@ def as_corners(rows: pd.Series) -> list[np.ndarray]:
     return [np.array([[p["x"], p["y"], p["z"]] for p in c], dtype=float) for c in rows]
 
 
+def _flat() -> Column:
+    """A box's corners as one array of numbers."""
+    return F.flatten(F.transform("corners", lambda p: F.array(p.x, p.y, p.z))).alias("corners")
+
+
+def _boxes(table: pa.Table) -> np.ndarray:
+    return table.column("corners").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1, 3)
+
+
+def overlapping(boxes: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, iou) of the pairs with a positive overlap, of rows in groups that begin at ``start``,
+    where rows up to ``first`` are the group's left ones.  Pairs whose hulls are apart are never measured."""
+    end = np.append(start[1:], len(boxes))
+    n_left, n_right = first - start, end - first
+    left = np.concatenate([np.arange(a, f) for a, f in zip(start, first, strict=True)]) if len(start) else np.zeros(0, int)
+    times = np.repeat(n_right, n_left)
+    i = np.repeat(left, times)
+    j = np.repeat(np.repeat(first, n_left), times) + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+    lo, hi = boxes.min(axis=1), boxes.max(axis=1)
+    near = ((lo[i] < hi[j]) & (lo[j] < hi[i])).all(axis=1)
+    i, j = i[near], j[near]
+    iou = np.array([iou_3d(boxes[a], boxes[b]) for a, b in zip(i, j, strict=True)], dtype=float)
+    return i[iou > 0], j[iou > 0], iou[iou > 0]
+
+
 def overlaps(a: DataFrame, b: DataFrame, frame: str) -> DataFrame:
     """``frame, a_idx, b_idx, iou`` of all pairs of a frame with a positive overlap."""
-    schema = f"{frame} string, a_idx int, b_idx int, iou double"
 
-    def measure(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["is_left"]].sort_values("idx"), group[~group["is_left"]].sort_values("idx")
-        ca, cb = as_corners(left["corners"]), as_corners(right["corners"])
-        rows = [(group[frame].iloc[0], int(i), int(j), v) for i, p in zip(left["idx"], ca, strict=True) for j, q in zip(right["idx"], cb, strict=True) if (v := iou_3d(p, q)) > 0]
-        return pd.DataFrame(rows, columns=[frame, "a_idx", "b_idx", "iou"])
+    def measure(table: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+        right = table.column("is_right").to_numpy()
+        end = np.append(start[1:], table.num_rows)
+        first = end - np.add.reduceat(right.astype(int), start)
+        i, j, iou = overlapping(_boxes(table), start, first)
+        names, idx = table.column(frame).combine_chunks(), table.column("idx").combine_chunks()
+        return pa.RecordBatch.from_arrays([names.take(pa.array(i)), idx.take(pa.array(i)), idx.take(pa.array(j)), pa.array(iou)], names=[frame, "a_idx", "b_idx", "iou"])
 
-    side = lambda df, is_left: df.select(frame, "idx", "corners", F.lit(is_left).alias("is_left"))
-    return side(a, True).unionByName(side(b, False)).groupBy(frame).applyInPandas(measure, schema)
+    side = lambda df, is_right: df.select(F.col(frame).cast("string").alias(frame), F.col("idx").cast("int").alias("idx"), _flat(), F.lit(is_right).alias("is_right"))
+    return map_groups(side(a, False).unionByName(side(b, True)), [frame], ["is_right", "idx"], measure, f"{frame} string, a_idx int, b_idx int, iou double")
 
 
-def match(predictions: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float], thresholds: DataFrame | None = None) -> DataFrame:
-    """Greedy matches per frame and class: ``frame, type, threshold, score, is_tp, n_gt`` rows.
+def greedy(order: np.ndarray, left: np.ndarray, right: np.ndarray, iou: np.ndarray, ignored: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Of every left row: 1 true, 0 false, -1 dropped.
 
-    ``labels`` may have a boolean ``ignored``.  ``thresholds`` (``type, threshold``) repeats the matching at
-    each score threshold of a class; without it there is one, null, which takes all predictions.  A frame
-    without any detection gives one row with a null score, which carries its ``n_gt``.
+    In ``order`` a row takes the free right row of greatest overlap if that reaches the row's limit; else it
+    is dropped if it reaches an ignored one.  Of equal overlaps the first right row counts.
+    """
+    verdict = np.zeros(len(limit), dtype=np.int8)
+    enough = iou >= limit[left]
+    left, right, iou = left[enough], right[enough], iou[enough]
+    by_left = np.lexsort((right, -iou, left))
+    left, right = left[by_left], right[by_left].tolist()
+    some = np.unique(left)
+    a, b = np.searchsorted(left, some, "left"), np.searchsorted(left, some, "right")
+    spans = dict(zip(some.tolist(), zip(a.tolist(), b.tolist(), strict=True), strict=True))
+    taken: set[int] = set()
+    for row in order[np.isin(order, some)].tolist():
+        begin, end = spans[row]
+        for other in right[begin:end]:
+            if not ignored[other] and other not in taken:
+                taken.add(other)
+                verdict[row] = 1
+                break
+        else:
+            if any(ignored[other] for other in right[begin:end]):
+                verdict[row] = -1
+    return verdict
+
+
+def match(predictions: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float], limits: list[float] | None = None, levels: list[str] | None = None) -> DataFrame:
+    """Greedy matches per frame and class: ``frame, type, limit, level, score, is_tp, n_gt, leads`` rows.
+
+    ``labels`` may have ``ignored``, a boolean, or an array of one for each of ``levels``.  ``limits`` are
+    overlap thresholds for all classes instead of ``iou_of``.  Overlaps are measured once for all limits and
+    levels.  One row of each frame, class, limit and level ``leads``: sums of ``n_gt`` go over those.  Without
+    any detection it has no score.
     """
-    schema = f"{frame} string, type string, threshold double, score double, is_tp boolean, n_gt int"
     if "ignored" not in labels.columns:
         labels = labels.withColumn("ignored", F.lit(False))
-    p = predictions.select(frame, "type", F.col("idx").alias("idx"), "score", "corners", F.lit(None).cast("boolean").alias("ignored"), F.lit(True).alias("is_pred"))
-    q = labels.select(frame, "type", "idx", F.lit(None).cast("double").alias("score"), "corners", "ignored", F.lit(False).alias("is_pred"))
-    both = p.unionByName(q)
-    if thresholds is not None:
-        per_type = thresholds.groupBy("type").agg(F.sort_array(F.collect_set("threshold")).alias("cuts"))
-        both = both.join(F.broadcast(per_type), "type")
-    else:
-        both = both.withColumn("cuts", F.lit(None).cast("array<double>"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx", kind="stable")
-        name, kind = group[frame].iloc[0], group["type"].iloc[0]
-        preds = group[group["is_pred"]]
-        gt = group[~group["is_pred"]]
-        skip = gt["ignored"].fillna(False).to_numpy(dtype=bool)
-        pc, gc = as_corners(preds["corners"]), as_corners(gt["corners"])
-        iou = np.array([[iou_3d(a, b) for b in gc] for a in pc]).reshape(len(pc), len(gc))
-        scores, limit = preds["score"].to_numpy(dtype=float), iou_of(kind)
-        rows = []
-        cuts = group["cuts"].iloc[0]
-        for cut in [None] if cuts is None else cuts:
-            keep = np.ones(len(scores), bool) if cut is None else scores >= cut
-            found = greedy_match(scores[keep], iou[keep][:, ~skip], iou[keep][:, skip], limit)
-            rows += [(name, kind, cut, float(scores[keep][k]), j >= 0, int((~skip).sum())) for k, j in found]
-            if not found:
-                rows.append((name, kind, cut, None, None, int((~skip).sum())))
-        return pd.DataFrame(rows, columns=[frame, "type", "threshold", "score", "is_tp", "n_gt"])
-
-    return both.groupBy(frame, "type").applyInPandas(run, schema)
-
-
-def target_counts(matches: DataFrame, frame: str) -> DataFrame:
-    """Targets per class: each frame counts once."""
-    return matches.groupBy(frame, "type").agg(F.max("n_gt").alias("n_gt")).groupBy("type").agg(F.sum("n_gt").alias("n_gt"))
-
-
-def score_thresholds(matches: DataFrame, frame: str) -> DataFrame:
-    """``type, n_gt, t_idx, threshold``: the recall-spaced scores of each class.
-
-    Scores of a class are first counted by value, so that the sequential scan reads distinct scores.
+    if levels is None:
+        labels = labels.withColumn("ignored", F.array("ignored"))
+    variants = list(product(limits or [None], enumerate(levels or [None])))
+    q = labels.select(F.col(frame).cast("string").alias(frame), "type", F.col("idx").cast("int").alias("idx"), F.lit(None).cast("double").alias("score"), _flat(), F.transform("ignored", lambda x: F.coalesce(x, F.lit(False))).alias("ignored"), F.lit(False).alias("is_pred"))
+    p = predictions.select(F.col(frame).cast("string").alias(frame), "type", F.col("idx").cast("int").alias("idx"), F.col("score").cast("double").alias("score"), _flat(), F.lit(None).cast("array<boolean>").alias("ignored"), F.lit(True).alias("is_pred"))
+    schema = pa.schema([(frame, pa.string()), ("type", pa.string()), ("limit", pa.float64()), ("level", pa.string()), ("score", pa.float64()), ("is_tp", pa.bool_()), ("n_gt", pa.int32()), ("leads", pa.bool_())])
+
+    def run(table: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+        n, is_pred = table.num_rows, table.column("is_pred").to_numpy()
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+        first = start + np.bincount(group[~is_pred], minlength=len(start))
+        j, i, iou = overlapping(_boxes(table), start, first)
+        score = table.column("score").to_numpy()
+        own_limit = np.array([iou_of(t) for t in table.column("type").take(pa.array(start)).to_pylist()])[group]
+        rows = np.flatnonzero(is_pred)
+        order = rows[np.lexsort((rows, -score[rows], group[rows]))]
+        ignored_by = np.zeros((n, len(levels or [None])), dtype=bool)
+        ignored_by[~is_pred] = table.column("ignored").filter(pa.array(~is_pred)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, ignored_by.shape[1])
+        out = []
+        for limit, (k, level) in variants:
+            bar = own_limit if limit is None else np.full(n, limit)
+            verdict = greedy(order, i, j, iou, ignored_by[:, k], bar)
+            n_gt = np.bincount(group[~is_pred & ~ignored_by[:, k]], minlength=len(start)).astype(np.int32)
+            kept = order[verdict[order] >= 0]
+            empty = start[np.bincount(group[kept], minlength=len(start)) == 0]
+            at = np.concatenate([kept, empty])
+            none = np.arange(len(at)) >= len(kept)
+            leads = np.zeros(len(at), dtype=bool)
+            leads[np.unique(group[at], return_index=True)[1]] = True
+            where = pa.array(at)
+            columns = [table.column(c).take(where).combine_chunks() for c in (frame, "type")]
+            columns += [pa.array(bar[at]), pa.array([level] * len(at), pa.string()), pa.array(score[at], mask=none), pa.array(verdict[at] == 1, mask=none), pa.array(n_gt[group[at]]), pa.array(leads)]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        return pa.Table.from_batches(out, schema).combine_chunks().to_batches()[0]
+
+    return map_groups(p.unionByName(q), [frame, "type"], ["is_pred", "idx"], run, f"{frame} string, type string, limit double, level string, score double, is_tp boolean, n_gt int, leads boolean")
+
+
+POINTS = 41
+#: Scores are summed in cells of this width before they are sorted.
+CELL = 1 / 1024
+
+
+def sampled_rank(sample: Column, n_gt: Column, hits: Column) -> Column:
+    """The rank, from 0, of the hit at which recall comes nearest to ``sample / 40``; one hit serves one sample.
+
+    Of neighbouring ranks k and k + 1 the second is nearer if (k + 1) + (k + 2) < 2 n sample / 40, so the rank
+    is the first k that is at least n sample / 40 - 3/2; the last hit serves whatever lies behind it.
     """
-    totals = target_counts(matches, frame)
-    hits = matches.filter("is_tp").groupBy("type", "score").agg(F.count("*").alias("k")).groupBy("type").agg(F.collect_list(F.struct("score", "k")).alias("scores"))
+    even = F.ceil((sample * n_gt - F.lit(3 * (POINTS - 1) // 2)) / (POINTS - 1))
+    return F.least(hits - 1, F.greatest(sample.cast("long"), even))
 
-    @F.udf("array<double>")
-    def choose(scores, n_gt):
-        if not scores or not n_gt:
-            return []
-        return recall_thresholds([s["score"] for s in scores for _ in range(s["k"])], n_gt)
 
-    return hits.join(totals, "type").select("type", "n_gt", F.posexplode(choose("scores", "n_gt")).alias("t_idx", "threshold"))
+def precision_recall(predictions: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float], levels: list[str] | None = None) -> DataFrame:
+    """``type, level, t_idx, threshold, tp, fp, n_gt, precision, recall`` at recall-spaced score thresholds."""
+    return curve(match(predictions, labels, frame, iou_of, levels=levels))
 
 
-def precision_recall(predictions: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float]) -> DataFrame:
-    """``type, t_idx, threshold, tp, fp, precision, recall``: matched anew at every threshold."""
-    cuts = score_thresholds(match(predictions, labels, frame, iou_of), frame)
-    again = match(predictions, labels, frame, iou_of, cuts.select("type", "threshold"))
-    counted = again.groupBy("type", "threshold").agg(F.count_if("is_tp").alias("tp"), F.count_if(~F.col("is_tp")).alias("fp"))
-    rows = cuts.join(counted, ["type", "threshold"])
+def curve(matches: DataFrame) -> DataFrame:
+    """The curve of each class and level, from counts by distinct score."""
+    part = matches.withColumn("part", F.struct("type", "level"))
+    stats = part.groupBy("part", "score").agg(F.count_if("is_tp").alias("hit"), F.count_if(~F.col("is_tp")).alias("miss"), F.sum(F.when(F.col("leads"), F.col("n_gt")).otherwise(0)).alias("n"))
+    whole = stats.groupBy("part").agg(F.sum("n").alias("n_gt"), F.sum("hit").alias("hits")).filter("hits > 0 and n_gt > 0")
+    summed = running_sums(stats.filter("score is not null"), "part", "score", {"tp": "hit", "fp": "miss"}, CELL).join(whole, "part")
+    sample = lambda s: (sampled_rank(s, F.col("n_gt"), F.col("hits")) >= F.col("tp") - F.col("hit")) & (sampled_rank(s, F.col("n_gt"), F.col("hits")) < F.col("tp")) & ((s == 0) | (sampled_rank(s - 1, F.col("n_gt"), F.col("hits")) < F.col("hits") - 1))
+    rows = summed.filter("hit > 0").withColumn("t_idx", F.explode(F.filter(F.sequence(F.lit(0), F.lit(POINTS)), sample)))
     raw = F.col("tp") / (F.col("tp") + F.col("fp") + EPSILON)
-    envelope = F.max("raw").over(W.partitionBy("type").orderBy("t_idx").rowsBetween(0, W.unboundedFollowing))
-    return rows.withColumn("raw", raw).withColumn("precision", envelope).withColumn("recall", F.col("tp") / (F.col("n_gt") + EPSILON)).drop("raw")
+    envelope = F.max("raw").over(W.partitionBy("part").orderBy("t_idx").rowsBetween(0, W.unboundedFollowing))
+    found = rows.withColumn("raw", raw).withColumn("precision", envelope).withColumn("recall", F.col("tp") / (F.col("n_gt") + EPSILON))
+    return found.select("part.type", "part.level", "t_idx", F.col("score").alias("threshold"), "tp", "fp", "n_gt", "precision", "recall")
 
 
-def average_precision(predictions: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float], points: int = 41, true_40: bool = False) -> DataFrame:
+def average_precision(predictions: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float], points: int = POINTS, true_40: bool = False) -> DataFrame:
     """``type, ap``: the mean of ``points`` samples of the falling envelope; classes without targets give 0.
 
     With ``true_40`` the sample at recall 0 is left out, as the 40-point rule has it.
     """
-    curve = precision_recall(predictions, labels, frame, iou_of)
-    taken = curve.filter(F.col("t_idx") > 0) if true_40 else curve
+    rows = precision_recall(predictions, labels, frame, iou_of)
+    taken = rows.filter(F.col("t_idx") > 0) if true_40 else rows
     found = taken.groupBy("type").agg((F.sum("precision") / (points - 1 if true_40 else points)).alias("ap"))
     return labels.select("type").distinct().join(found, "type", "left").select("type", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def map_table(predictions: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float] = lambda t: KITTI_IOU.get(t, DEFAULT_IOU), fields: tuple[str, str, str] = ("bbox_height", "occluded", "truncated")) -> DataFrame:
+    """``type, level, ap`` of every class of the labels at every difficulty and "all"; type "mAP" is their mean.
+
+    Labels that are too hard for a level are ignored there; labels without the fields never are.
+    """
+    levels = [*DIFFICULTY, "all"]
+    have = [F.col(c) if c in labels.columns else F.lit(None).cast("double") for c in fields]
+    ignored = F.array(*(~passes_difficulty(*have, level) for level in DIFFICULTY), F.lit(False))
+    found = precision_recall(predictions, labels.withColumn("ignored", ignored), frame, iou_of, levels).groupBy("type", "level").agg((F.sum("precision") / POINTS).alias("ap"))
+    every = labels.select("type").distinct().withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    table = every.join(found, ["type", "level"], "left").select("type", "level", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return table.unionByName(table.groupBy("level").agg(F.avg("ap").alias("ap")).select(F.lit("mAP").alias("type"), "level", "ap"))
+
+
+def ap_degradation(clean: DataFrame, attacked: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float] = lambda t: KITTI_IOU.get(t, DEFAULT_IOU)) -> DataFrame:
+    """``type, level, clean, attacked, degradation``: the table before and after, and what was lost."""
+    before = map_table(clean, labels, frame, iou_of).withColumnRenamed("ap", "clean")
+    after = map_table(attacked, labels, frame, iou_of).withColumnRenamed("ap", "attacked")
+    joined = before.join(after, ["type", "level"], "left").withColumn("attacked", F.coalesce("attacked", F.lit(0.0)))
+    return joined.withColumn("degradation", F.col("clean") - F.col("attacked"))
+
+
 def recall_vs_iou(predictions: DataFrame, labels: DataFrame, frame: str, ious: list[float], least_score: float) -> DataFrame:
-    """``type, iou, recall`` at a fixed score: one matching per overlap threshold."""
-    picked = predictions.filter(F.col("score") >= least_score)
-    out = None
-    for limit in ious:
-        m = match(picked, labels, frame, lambda _, limit=limit: limit)
-        one = m.groupBy("type").agg(F.count_if("is_tp").alias("tp")).join(target_counts(m, frame), "type").select("type", F.lit(limit).alias("iou"), ratio(F.col("tp"), F.col("n_gt")).alias("recall"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``type, iou, recall`` at a fixed score, for all overlap thresholds in one pass."""
+    m = match(predictions.filter(F.col("score") >= least_score), labels, frame, lambda _: 0.0, limits=ious)
+    n_gt = F.sum(F.when(F.col("leads"), F.col("n_gt")))
+    return m.groupBy("type", "limit").agg(F.count_if("is_tp").alias("tp"), n_gt.alias("n_gt")).select("type", F.col("limit").alias("iou"), ratio(F.col("tp"), F.col("n_gt")).alias("recall"))
 
 
 def detection_rate(clean: DataFrame, attacked: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float] = lambda t: NUSCENES_IOU.get(t, DEFAULT_IOU)) -> DataFrame:
@@ -234,4 +319,4 @@ def removal_success(clean: DataFrame, attacked: DataFrame, frames: DataFrame, fr
     return frames.select(frame).join(lost, frame, "left").select(frame, F.coalesce("success", F.lit(False)).alias("success"))
 
 
-__all__ = ["match", "precision_recall", "average_precision", "recall_vs_iou", "detection_rate", "clustering_quality", "flag_effectiveness", "removal_success", "overlaps", "passes_difficulty", "mean_precision"]
+__all__ = ["match", "precision_recall", "average_precision", "recall_vs_iou", "detection_rate", "clustering_quality", "flag_effectiveness", "removal_success", "overlaps", "passes_difficulty", "map_table", "ap_degradation"]

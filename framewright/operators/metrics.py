@@ -140,3 +140,54 @@ def running_share(df: DataFrame, order: str, weight: str, cells: int = 256) -> D
     before = per_cell.select("_cell", (F.sum("_w").over(W.orderBy("_cell")) - F.col("_w")).alias("_before"), F.sum("_w").over(W.partitionBy()).alias("_total"))
     inside = F.sum(weight).over(W.partitionBy("_cell").orderBy(order))
     return placed.join(F.broadcast(before), "_cell").select(order, F.col(weight), ((F.col("_before") + inside) / F.col("_total")).alias("share"))
+
+
+def equal_as_text(df: DataFrame, wanted: dict[str, list]) -> DataFrame:
+    """Rows whose columns, as text, are among the wanted values; a column without any is not tested."""
+    for column, values in wanted.items():
+        if values:
+            df = df.filter(F.col(column).cast("string").isin([str(v) for v in values]))
+    return df
+
+
+def by_token_prefix(df: DataFrame, tokens: DataFrame, frame: str, token: str, length: int = 16) -> DataFrame:
+    """Rows whose frame begins with the first ``length`` characters of a token."""
+    heads = tokens.select(F.substring(token, 1, length).alias("_head")).distinct()
+    return df.withColumn("_head", F.substring(frame, 1, length)).join(heads, "_head", "left_semi").drop("_head")
+
+
+def occlusion_histogram(labels: DataFrame, classes: list[str] = ("Car", "Pedestrian", "Cyclist"), levels: int = 4) -> DataFrame:
+    """``type`` and how many labels of it have each occlusion; classes without labels have zeros."""
+    counts = [F.count_if(F.col("occluded") == k).alias(f"occluded_{k}") for k in range(levels)]
+    found = labels.filter(F.col("type").isin(list(classes))).groupBy("type").agg(*counts)
+    every = labels.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, classes))).alias("type"))
+    return every.join(found, "type", "left").na.fill(0)
+
+
+# The least speed of each level, in metres a second.
+SPEED_LEVELS = (0.0, 5.0, 20.0)
+
+
+def class_weights(df: DataFrame, column: str) -> DataFrame:
+    """``value, n, ratio, weight``: the share of every value, and a weight that falls with it."""
+    counted = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("_total"))
+    ratio_of = F.col("n") / F.col("_total")
+    return counted.join(F.broadcast(total)).select("value", "n", ratio_of.alias("ratio"), F.exp(-ratio_of).alias("weight"))
+
+
+def speed_level(speed: Column) -> Column:
+    """0, 1 or 2: still and slow, moderate, fast."""
+    out = F.lit(0)
+    for level, least in enumerate(SPEED_LEVELS):
+        out = F.when(speed >= least, F.lit(level)).otherwise(out)
+    return out
+
+
+def cell_motion(points: DataFrame, frame: str, size: float, seconds: float) -> DataFrame:
+    """``frame, ix, iy, type, dx, dy, level`` of every occupied cell: the class of most of its points (the least
+    name among equals), the mean displacement of that class's points, and the speed level of it."""
+    keyed = points.withColumns({"ix": F.floor(F.col("x") / size).cast("int"), "iy": F.floor(F.col("y") / size).cast("int")})
+    kinds = keyed.groupBy(frame, "ix", "iy", "type").agg(F.count("*").alias("n"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
+    first = kinds.groupBy(frame, "ix", "iy").agg(F.min(F.struct((-F.col("n")).alias("n"), "type", "dx", "dy")).alias("k"))
+    return first.select(frame, "ix", "iy", "k.type", "k.dx", "k.dy", speed_level(F.hypot("k.dx", "k.dy") / seconds).alias("level"))

@@ -19,7 +19,8 @@ from framewright.operators.spatial import within_angle
 
 @dataclass(frozen=True)
 class Noise:
-    """Distance noise of a spoofing device: kind, spread, share of points kept, common and frame spreads."""
+    """Distance noise of a spoofing device: kind, standard deviation, share of points kept, and the deviations
+    of a point's and of a frame's common shift."""
 
     kind: str
     spread: float
@@ -53,18 +54,22 @@ def inject_noise(points: DataFrame, frame: str, key: str, noise: Noise, seed: in
     size = F.count("*").over(W.partitionBy(frame))
     chance = F.row_number().over(W.partitionBy(frame).orderBy(uniform(seed, F.lit("keep"), F.col(frame), F.col(key)), key))
     kept = points.withColumns({"_size": size, "_n": chance}).filter(F.col("_n") <= F.greatest(F.lit(1), F.bround(F.col("_size") * noise.keep))).drop("_size", "_n")
-    own = {"none": F.lit(0.0), "uniform": (2 * uniform(seed, F.lit("own"), F.col(frame), F.col(key)) - 1) * noise.spread, "gaussian": normal(seed, F.lit("own"), F.col(frame), F.col(key)) * noise.spread}[noise.kind]
+    own = {"none": F.lit(0.0), "uniform": (2 * uniform(seed, F.lit("own"), F.col(frame), F.col(key)) - 1) * (noise.spread * math.sqrt(3)), "gaussian": normal(seed, F.lit("own"), F.col(frame), F.col(key)) * noise.spread}[noise.kind]
     shift = own + normal(seed, F.lit("inner"), F.col(frame), F.col(key)) * noise.inner + normal(seed, F.lit("inter"), F.col(frame)) * noise.inter
     ray = g.unit_ray(F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double"))
     return kept.withColumns({"_ray": ray, "_shift": shift}).withColumns({a: F.col(a) + F.col("_shift") * F.col(f"_ray.{a}") for a in "xyz"}).drop("_ray", "_shift")
 
 
-def remove_objects(points: DataFrame, boxes: DataFrame, frame: str, budget: int = 200, cone_deg: float = 10.0, extra: tuple[float, float] = (2.5, 2.5), seed: int = 0) -> DataFrame:
+def remove_objects(points: DataFrame, boxes: DataFrame, frame: str, budget: int = 200, cone_deg: float = 10.0, extra: tuple[float, float] = (2.5, 2.5), seed: int = 0, noise: Noise | None = None, targets: list[str] | None = None) -> DataFrame:
     """Object removal: points of each box within a cone about its azimuth, ``budget`` at most, move outward.
 
-    Boxes (``frame, order, lo, hi, x, y``) are taken in order, and a moved point can be taken again by a
-    later box, so a frame's boxes run in one function; a group is one frame.
+    Boxes (``frame, order, lo, hi, x, y``, and ``type`` if only ``targets`` count) are taken in order, and a
+    moved point can be taken again by a later box, so a frame's boxes run in one function; a group is one
+    frame.  With ``noise`` only its share of each box's moved points comes back, one at least, moved further
+    along their rays; the frame's common shift is the same for all boxes.
     """
+    if targets is not None:
+        boxes = boxes.filter(F.col("type").isin(targets))
     schema = points.select("*", F.lit(0).cast("int").alias("n_moved")).schema
     columns = points.columns
     half = math.radians(cone_deg)
@@ -74,24 +79,38 @@ def remove_objects(points: DataFrame, boxes: DataFrame, frame: str, budget: int
             return pd.DataFrame(columns=[*columns, "n_moved"])
         p = p.sort_values("point_idx", kind="stable").reset_index(drop=True)
         xyz = p[["x", "y", "z"]].to_numpy(dtype=float)
-        moved = np.zeros(len(p), dtype="int32")
+        moved, gone = np.zeros(len(p), dtype="int32"), np.zeros(len(p), dtype=bool)
+        common = np.random.default_rng([seed, *str(p[frame].iloc[0]).encode()]).normal(0.0, noise.inter) if noise else 0.0
         for r in b.sort_values("order").itertuples() if len(b) else ():
             lo, hi = np.array([r.lo["x"], r.lo["y"], r.lo["z"]]), np.array([r.hi["x"], r.hi["y"], r.hi["z"]])
             inside = ((xyz >= lo) & (xyz <= hi)).all(axis=1)
             turn = np.mod(np.arctan2(xyz[:, 1], xyz[:, 0]) - math.atan2(r.y, r.x) + math.pi, 2 * math.pi) - math.pi
-            found = np.flatnonzero(inside & (np.abs(turn) <= half))
+            found = np.flatnonzero(inside & (np.abs(turn) <= half) & ~gone)
             rng = np.random.default_rng([seed, int(r.order), *str(p[frame].iloc[0]).encode()])
             if len(found) > budget:
                 found = np.sort(rng.choice(found, budget, replace=False))
-            norm = np.linalg.norm(xyz[found], axis=1, keepdims=True)
-            xyz[found] += xyz[found] / np.where(norm == 0, 1, norm) * rng.uniform(*extra, (len(found), 1))
+            xyz[found] += _rays(xyz[found]) * rng.uniform(*extra, (len(found), 1))
             moved[found] += 1
+            if noise and len(found):
+                back = np.sort(rng.choice(found, max(1, round(len(found) * noise.keep)), replace=False))
+                gone[np.setdiff1d(found, back)] = True
+                xyz[back] += _rays(xyz[back]) * (common + _shifts(noise, len(back), rng))[:, None]
         p[["x", "y", "z"]] = xyz.astype(p["x"].dtype)
-        return p.assign(n_moved=moved)[[*columns, "n_moved"]]
+        return p.assign(n_moved=moved).loc[~gone, [*columns, "n_moved"]]
 
     return points.groupBy(frame).cogroup(boxes.groupBy(frame)).applyInPandas(run, schema)
 
 
+def _rays(xyz: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(xyz, axis=1, keepdims=True)
+    return xyz / np.where(norm == 0, 1, norm)
+
+
+def _shifts(noise: Noise, n: int, rng: np.random.Generator) -> np.ndarray:
+    own = {"none": lambda: np.zeros(n), "uniform": lambda: rng.uniform(-1, 1, n) * noise.spread * math.sqrt(3), "gaussian": lambda: rng.normal(0, noise.spread, n)}[noise.kind]()
+    return own + rng.normal(0, noise.inner, n)
+
+
 def remove_objects_at_once(points: DataFrame, boxes: DataFrame, frame: str, cone_deg: float, extra: tuple[float, float], seed: int) -> DataFrame:
     """The planned variant: which points move is read off the original cloud, in built-in functions."""
     from framewright.operators.spatial import points_in_boxes

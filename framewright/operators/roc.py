@@ -9,12 +9,40 @@ from pyspark.sql import functions as F
 from framewright.functions.numeric import ratio
 
 
+#: Cells that values are counted in before any are sorted.
+CELLS = 4096
+
+
+def _celled(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with the cell of ``value`` between its least and greatest, and the number of rows."""
+    span = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    cell = F.floor(F.try_divide(F.col(value) - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))) * CELLS)
+    return df.crossJoin(F.broadcast(span)).withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int")).drop("_lo", "_hi")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """``place, quantile``: exact, between neighbours in proportion; no rows without values.
+
+    Values are counted by cell; only cells that hold a wanted rank are sorted, each by itself.
+    """
+    v = _celled(df.select(F.col(value).cast("double").alias("v")).filter("v is not null"), "v")
+    counted = v.groupBy("_cell", "_n").agg(F.count("*").alias("k"))  # at most CELLS + 1 rows
+    before = counted.withColumn("before", F.sum("k").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("k"))
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(s).alias("share")) for i, s in enumerate(shares)))).alias("q")
+    at = (F.col("_n") - 1) * F.col("q.share")
+    ranks = before.select("_cell", "k", "before", "_n", asked).select("_cell", "before", "k", F.col("q.place").alias("place"), (at - F.floor(at)).alias("part"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("rank"))
+    ranks = ranks.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("k")))
+    wanted = F.broadcast(ranks.select("_cell", (F.col("rank") - F.col("before") + 1).alias("nth"), "place", "part", "rank"))  # two rows per share
+    placed = v.join(F.broadcast(ranks.select("_cell").distinct()), "_cell").withColumn("nth", F.row_number().over(W.partitionBy("_cell").orderBy("v")))
+    return placed.join(wanted, ["_cell", "nth"]).groupBy("place", "part").agg(F.min("v").alias("a"), F.max("v").alias("b")).select("place", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
+
+
 def quantile_axis(df: DataFrame, value: str, n: int, name: str, low: float, high: float) -> DataFrame:
     """``n`` thresholds at evenly spaced exact quantiles of the observed values, or evenly from ``low``
     to ``high`` if there are none."""
-    shares = F.array(*(F.lit(k / (n - 1)) for k in range(n)))
-    even = F.array(*(F.lit(low + (high - low) * k / (n - 1)) for k in range(n)))
-    return df.agg(F.coalesce(F.percentile(value, shares), even).alias("axis")).select(F.posexplode("axis").alias(f"{name}_idx", f"{name}_threshold"))
+    found = exact_quantiles(df, value, [k / (n - 1) for k in range(n)])
+    even = df.sparkSession.range(n).select(F.col("id").cast("int").alias("place"), (F.lit(low) + (high - low) * F.col("id") / (n - 1)).alias("even"))
+    return even.join(found, "place", "left").select(F.col("place").alias(f"{name}_idx"), F.coalesce("quantile", "even").alias(f"{name}_threshold"))
 
 
 def roc_grid(clusters: DataFrame, frame: str, attacked: str, point: str, centroid: str, n: int = 50, condition: str = "or", frames: DataFrame | None = None) -> DataFrame:
@@ -78,12 +106,15 @@ def envelope_auc(envelope: DataFrame) -> DataFrame:
 def pareto_front(df: DataFrame, first: str, second: str) -> DataFrame:
     """Rows that no other row beats in one objective and equals or beats in the other.
 
-    Only the best ``second`` for each ``first`` can be on it, and of those the ones above every row with
-    a greater ``first``; the ordered pass is over distinct values of ``first`` at most.
+    Only the best ``second`` for each ``first`` can be on it, and of those the ones above every row with a
+    greater ``first``: above all greater cells of ``first`` and above the greater values in its own cell.
     """
-    best = df.groupBy(first).agg(F.max(second).alias(second))
-    ahead = F.max(second).over(W.orderBy(F.desc(first)).rowsBetween(W.unboundedPreceding, -1))
-    front = best.withColumn("ahead", ahead).filter(F.col("ahead").isNull() | (F.col(second) > F.col("ahead"))).select(first, second)
+    best = _celled(df.groupBy(first).agg(F.max(second).alias(second)), first)
+    cells = best.groupBy("_cell").agg(F.max(second).alias("_most"))  # at most CELLS + 1 rows
+    beyond = cells.select("_cell", F.max("_most").over(W.orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)).alias("_beyond"))
+    inside = F.max(second).over(W.partitionBy("_cell").orderBy(F.desc(first)).rowsBetween(W.unboundedPreceding, -1))
+    ahead = F.greatest("_beyond", "_inside")
+    front = best.join(F.broadcast(beyond), "_cell").withColumn("_inside", inside).filter(ahead.isNull() | (F.col(second) > ahead)).select(first, second)
     return df.join(front, [first, second], "left_semi")
 
 

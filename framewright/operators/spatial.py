@@ -7,10 +7,13 @@ touch, so a pair is found once per point: a point has one cell.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import geometry as g
+from framewright.functions.numeric import wrap_angle
 
 
 def cell(value: Column, size: float) -> Column:
@@ -135,6 +138,39 @@ def cloud_difference(left: DataFrame, right: DataFrame, frame: str, scale: float
     return keys(left).join(keys(right).select(frame, "_rx", "_ry", "_rz"), [frame, "_rx", "_ry", "_rz"], "left_anti").drop("_rx", "_ry", "_rz")
 
 
+def cloud_intersection(left: DataFrame, right: DataFrame, frame: str, scale: float = 1000.0) -> DataFrame:
+    """Points of ``left`` that ``right`` has too after rounding to 1/scale."""
+    keys = lambda df: df.withColumns({f"_r{a}": F.round(F.col(a) * scale).cast("long") for a in "xyz"})
+    return keys(left).join(keys(right).select(frame, "_rx", "_ry", "_rz"), [frame, "_rx", "_ry", "_rz"], "left_semi").drop("_rx", "_ry", "_rz")
+
+
+def sorted_voxels(cells: DataFrame, frame: str) -> DataFrame:
+    """Voxels by their indices; every task sorts a range of frames and cells."""
+    return cells.orderBy(frame, "ix", "iy", "iz")
+
+
+def cluster_labels(clustered: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
+    """``frame, cluster, labels``: for every cluster the boxes that hold any of its points, in order."""
+    inside = g.in_box(F.col("x"), F.col("y"), F.col("z"), F.col("lo"), F.col("hi"))
+    found = points_in_boxes(clustered.filter("cluster >= 0"), boxes.select(frame, F.col("idx").alias("label"), "lo", "hi"), frame, inside)
+    some = found.groupBy(frame, "cluster").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    every = clustered.filter("cluster >= 0").select(frame, "cluster").distinct()
+    none = F.array().cast(some.schema["labels"].dataType)
+    return every.join(some, [frame, "cluster"], "left").withColumn("labels", F.coalesce("labels", none))
+
+
+def bearing_pairs(left: DataFrame, right: DataFrame, frame: str, most_deg: float = 20.0, reach: float = 10.0) -> DataFrame:
+    """``frame, a, b`` of rows (``idx, x, y``) of one frame that are seen under bearings less than ``most_deg`` apart
+    and lie less than ``reach`` apart."""
+    shift = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    a = left.select(frame, F.col("idx").alias("a"), "x", "y", cell(F.col("x"), reach).alias("_cx"), cell(F.col("y"), reach).alias("_cy"))
+    b = right.select(F.col(frame).alias("_f"), F.col("idx").alias("b"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(shift).alias("_sx"))
+    b = b.withColumn("_sy", F.explode(shift)).withColumns({"_dx": cell(F.col("_x"), reach) + F.col("_sx"), "_dy": cell(F.col("_y"), reach) + F.col("_sy")})
+    turn = F.abs(wrap_angle(F.atan2("y", "x") - F.atan2("_y", "_x")))
+    near = (F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) < reach) & (turn < math.radians(most_deg))
+    return a.join(b, (F.col(frame) == F.col("_f")) & (F.col("_cx") == F.col("_dx")) & (F.col("_cy") == F.col("_dy")) & near).select(frame, "a", "b")
+
+
 def pillars(points: DataFrame, frame: str, key: str, size: float, most: int, seed: int = 0) -> DataFrame:
     """Up to ``most`` points of each pillar, chosen by hash, with their offsets from the pillar's mean."""
     from pyspark.sql import Window as W

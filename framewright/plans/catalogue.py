@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import geometry as g
@@ -12,7 +14,7 @@ from framewright.functions.numeric import clip, digitize, parse_literal, ratio,
 from framewright.operators import clusters, defenses, matching, metrics, perturb, roc, spatial, temporal
 from framewright.plans import sweeps
 from framewright.plans.views import Views, oracle
-from framewright.sources import results
+from framewright.sources import reports, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -516,10 +518,16 @@ def cloud_diff(v: Views) -> DataFrame:
     return spatial.cloud_difference(p, p.filter("point_idx % 5 <> 0"), "frame_id").select("frame_id", "point_idx")
 
 
-@query("""SELECT frame_id, count(*) FILTER (low AND high) AS both, count(*) FILTER (high AND NOT low) AS only_high FROM (SELECT frame_id, floor(atan2(y, x) / 0.5) AS ip, bool_or(z <= 0) AS low, bool_or(z > 0) AS high FROM v_points GROUP BY 1, 2) GROUP BY 1""")
+@query("""
+, s AS (SELECT *, sqrt(x*x + y*y + z*z) AS r, z <= -2 AS low FROM v_points),
+cell AS (SELECT *, floor(acos(z / r) / 0.4) AS it, floor((atan2(y, x) + 2.0) / 0.5) AS ip FROM s WHERE r > 0 AND atan2(y, x) BETWEEN -2.0 AND 2.0 AND acos(z / r) >= 0.5),
+kinds AS (SELECT frame_id, it, ip, bool_or(low) AS has_ground FROM cell GROUP BY 1, 2, 3),
+tops AS (SELECT * FROM cell WHERE NOT low),
+dense AS (SELECT a.frame_id, a.point_idx FROM tops a JOIN tops b ON a.frame_id = b.frame_id AND a.point_idx <> b.point_idx AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 64 GROUP BY 1, 2 HAVING count(*) >= 2),
+groups AS (SELECT DISTINCT frame_id, it, ip, has_ground FROM dense JOIN cell USING (frame_id, point_idx) JOIN kinds USING (frame_id, it, ip))
+SELECT frame_id, count(it) FILTER (has_ground) AS both, count(it) FILTER (NOT has_ground) AS neither, count(it) FILTER (has_ground) > 1 OR count(it) FILTER (NOT has_ground) > 1 AS detected FROM (SELECT DISTINCT frame_id FROM v_points) LEFT JOIN groups USING (frame_id) GROUP BY 1""")
 def grid_coherence(v: Views) -> DataFrame:
-    cells = v.points().groupBy("frame_id", F.floor(F.atan2("y", "x") / 0.5).alias("ip")).agg(F.bool_or(F.col("z") <= 0).alias("low"), F.bool_or(F.col("z") > 0).alias("high"))
-    return cells.groupBy("frame_id").agg(F.count_if(F.col("low") & F.col("high")).alias("both"), F.count_if(F.col("high") & ~F.col("low")).alias("only_high"))
+    return defenses.grid_coherence(v.points(), "frame_id", theta=0.5, step_theta=0.4, phi=(-2.0, 2.0), step_phi=0.5, least=2, reach=8.0, most=1, ground=-2.0)
 
 
 # sweeps
@@ -543,71 +551,172 @@ def sweep_resume(v: Views) -> DataFrame:
     return rounded(sweeps.sweep_thresholds(v.verdicts(), left, "threshold", "x", "is_attacked"), *RATES)
 
 
-# what SQL does not express: tests hold these against brute force
+# detection matching.  The SQL walks the predictions of a frame and class one after another.
 
 
-def _detections(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Labels and shifted predictions, ten boxes to a frame."""
+def _detections(v: Views, turned: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Shifted predictions and labels, ten boxes to a frame; turned boxes have a yaw by label."""
     kind = F.concat(F.lit("class"), (F.col("label") % 3).cast("string"))
     b = v.boxes().withColumns({"frame": F.floor(F.col("box_id") / 10).cast("string"), "idx": (F.col("box_id") % 10).cast("int"), "type": kind})
-    corners = lambda dx: g.corners_yaw(F.col("x") + dx, F.col("y"), F.col("z"), F.col("length"), F.col("width"), F.col("height"), F.col("label").cast("double"))
+    yaw = F.col("label").cast("double") if turned else F.lit(0.0)
+    corners = lambda dx: g.corners_yaw(F.col("x") + dx, F.col("y"), F.col("z"), F.col("length"), F.col("width"), F.col("height"), yaw)
     base = b.select("frame", "idx", "type", "score", "x", "y", "z", "box_id", "label", "length", "width", "height")
-    shift = (F.col("box_id") % 5) * 0.4
-    return base.withColumn("corners", corners(shift)), base.withColumn("corners", corners(F.lit(0.0)))
+    graded = base.withColumns({"bbox_height": F.when(F.col("box_id") % 11 > 0, 20 + F.col("box_id") * 7 % 40), "occluded": F.col("box_id") % 4, "truncated": F.col("box_id") % 6 / 10})
+    return base.withColumn("corners", corners((F.col("box_id") % 5) * 0.4)), graded.withColumn("corners", corners(F.lit(0.0)))
 
 
 def _half(_: str) -> float:
     return 0.5
 
 
-@query()
-def iou_rotated(v: Views) -> DataFrame:
-    p, q = _detections(v)
-    return rounded(matching.overlaps(p, q, "frame"), "iou")
+DETECTIONS_SQL = """
+gt AS (SELECT box_id, (box_id // 10)::VARCHAR AS frame, (box_id % 10)::INT AS idx, 'class' || (label % 3) AS type, score, x, y, z,
+  CASE WHEN box_id % 11 > 0 THEN 20 + box_id * 7 % 40 END AS h, box_id % 4 AS o, box_id % 6 / 10 AS t FROM v_boxes),
+pairs AS (SELECT a.frame, a.type, b.type AS other, a.idx AS p, b.idx AS q, i / (24 - i) AS iou FROM (SELECT k.frame, k.idx AS kp, l.idx AS lq,
+    greatest(0, 4 - abs(k.x + (k.box_id % 5) * 0.4 - l.x)) * greatest(0, 2 - abs(k.y - l.y)) * greatest(0, 1.5 - abs(k.z - l.z)) AS i FROM gt k JOIN gt l USING (frame))
+  JOIN gt a USING (frame) JOIN gt b USING (frame) WHERE a.idx = kp AND b.idx = lq AND i > 0),
+grades AS (SELECT level, frame, type, idx, h IS NOT NULL AND NOT (h >= least_h AND o <= most_o AND t <= most_t) AS ignored FROM gt,
+  (VALUES ('Easy', 40, 0, 0.15), ('Moderate', 25, 1, 0.30), ('Hard', 25, 2, 0.50), ('all', -1, 99, 99.0)) c(level, least_h, most_o, most_t))"""
+
+
+def match_sql(name: str, keep: str = "true", limits: str = "0.5", levels: str = "'all'") -> str:
+    """Views for greedy matching: ``{name}`` has a row per prediction, ``{name}_n`` the targets of each class."""
+    by = "lim, level, frame, type"
+    return f""",
+{name}_turn AS (SELECT {by}, idx, score, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, idx) AS k, open, shut FROM (
+  SELECT {by}, idx, score, coalesce(list(q ORDER BY iou DESC, q) FILTER (iou >= lim AND NOT ignored), []) AS open, coalesce(bool_or(iou >= lim AND ignored), false) AS shut FROM (
+    SELECT lim, l.level, g.frame, g.type, g.idx, g.score, p.q, p.iou, r.ignored FROM gt g, (SELECT unnest([{limits}]) AS lim), (SELECT unnest([{levels}]) AS level) l
+    LEFT JOIN pairs p ON p.frame = g.frame AND p.type = g.type AND p.other = g.type AND p.p = g.idx LEFT JOIN grades r ON r.level = l.level AND r.frame = p.frame AND r.idx = p.q WHERE {keep})
+  GROUP BY {by}, idx, score)),
+{name}_walk AS (SELECT {by}, k, score, open[1] AS got, shut, open[1:1] AS used FROM {name}_turn WHERE k = 1
+  UNION ALL SELECT lim, level, frame, type, k, score, got, shut, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END FROM (
+    SELECT t.lim, t.level, t.frame, t.type, t.k, t.score, t.shut, w.used, list_filter(t.open, lambda c: NOT list_contains(w.used, c))[1] AS got
+    FROM {name}_walk w JOIN {name}_turn t ON t.lim = w.lim AND t.level = w.level AND t.frame = w.frame AND t.type = w.type AND t.k = w.k + 1)),
+{name} AS (SELECT {by}, score, got IS NOT NULL AS is_tp FROM {name}_walk WHERE got IS NOT NULL OR NOT shut),
+{name}_n AS (SELECT level, type, count(*) FILTER (NOT ignored) AS n_gt FROM grades GROUP BY 1, 2)"""
+
+
+def detections_oracle(*parts: str) -> str:
+    return oracle(f", {DETECTIONS_SQL.strip()}" + "".join(parts)).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+CURVE_SQL = """,
+hits AS (SELECT level, type, score, row_number() OVER (PARTITION BY level, type ORDER BY score DESC) - 1 AS r, count(*) OVER (PARTITION BY level, type) AS hits FROM m WHERE is_tp),
+ranks AS (SELECT level, type, s, hits, least(hits - 1, greatest(s, ceil((s * n_gt - 60) / 40.0)))::BIGINT AS r, n_gt FROM m_n JOIN (SELECT DISTINCT level, type, hits FROM hits) USING (level, type), range(42) t(s)),
+picked AS (SELECT level, type, s AS t_idx, r, n_gt FROM (SELECT *, lag(r) OVER (PARTITION BY level, type ORDER BY s) AS before FROM ranks) WHERE before IS NULL OR before < hits - 1),
+cuts AS (SELECT level, type, t_idx, score AS threshold, n_gt FROM picked JOIN hits USING (level, type, r)),
+counted AS (SELECT c.level, c.type, t_idx, threshold, n_gt, count(*) FILTER (is_tp) AS tp, count(*) FILTER (NOT is_tp) AS fp FROM cuts c JOIN m ON m.level = c.level AND m.type = c.type AND score >= threshold GROUP BY ALL),
+curve AS (SELECT level, type, t_idx, threshold, tp, fp, n_gt, max(tp / (tp + fp + 1e-9)) OVER (PARTITION BY level, type ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS precision, tp / (n_gt + 1e-9) AS recall FROM counted)"""
+LEVELS_SQL = "'Easy', 'Moderate', 'Hard', 'all'"
+TABLE_SQL = """ap AS (SELECT level, type, coalesce(sum(precision) / 41, 0.0) AS ap FROM m_n LEFT JOIN curve USING (level, type) GROUP BY 1, 2),
+mean AS (SELECT * FROM ap UNION ALL SELECT level, 'mAP', avg(ap) FROM ap GROUP BY 1)"""
+
+
+@query(
+    detections_oracle(match_sql("m"), " SELECT frame, type, lim AS limit, score, is_tp, n_gt FROM (SELECT frame, type, count(*) FILTER (NOT ignored)::INT AS n_gt FROM grades WHERE level = 'all' GROUP BY 1, 2) LEFT JOIN m USING (frame, type)"), shared=False
+)
+def greedy_match(v: Views) -> DataFrame:
+    return matching.match(*_detections(v), "frame", _half).select("frame", "type", "limit", "score", "is_tp", "n_gt")
 
 
 @query()
-def greedy_match(v: Views) -> DataFrame:
-    return matching.match(*_detections(v), "frame", _half)
+def greedy_match_turned(v: Views) -> DataFrame:
+    return matching.match(*_detections(v, turned=True), "frame", _half).drop("level", "leads")
 
 
 @query()
+def iou_rotated(v: Views) -> DataFrame:
+    p, q = _detections(v, turned=True)
+    return rounded(matching.overlaps(p, q, "frame"), "iou")
+
+
+@query(detections_oracle(match_sql("m"), CURVE_SQL, " SELECT type, round(coalesce(sum(precision) / 41, 0.0), 6) AS ap FROM m_n LEFT JOIN curve USING (level, type) WHERE level = 'all' GROUP BY 1"), shared=False)
 def ap_mean41(v: Views) -> DataFrame:
-    return matching.average_precision(*_detections(v), "frame", _half)
+    return rounded(matching.average_precision(*_detections(v), "frame", _half), "ap")
 
 
-@query()
+@query(detections_oracle(match_sql("m"), CURVE_SQL, " SELECT type, t_idx::INT AS t_idx, threshold, tp, fp, n_gt, round(precision, 6) AS precision, round(recall, 6) AS recall FROM curve"), shared=False)
 def pr_curve(v: Views) -> DataFrame:
-    return matching.precision_recall(*_detections(v), "frame", _half)
+    return rounded(matching.precision_recall(*_detections(v), "frame", _half).drop("level"), "precision", "recall")
 
 
-@query()
-def recall_vs_iou(v: Views) -> DataFrame:
-    return matching.recall_vs_iou(*_detections(v), "frame", [0.3, 0.5, 0.7], 0.2)
+@query(detections_oracle(match_sql("m", levels=LEVELS_SQL), CURVE_SQL, f", {TABLE_SQL} SELECT type, level, round(ap, 6) AS ap FROM mean"), shared=False)
+def map_table(v: Views) -> DataFrame:
+    return rounded(matching.map_table(*_detections(v), "frame", _half), "ap")
 
 
-@query()
+def _degradation_sql() -> str:
+    side = lambda name, keep: detections_oracle(match_sql("m", keep, levels=LEVELS_SQL), CURVE_SQL, f", {TABLE_SQL} SELECT * FROM mean")
+    return f"SELECT type, level, round(c.ap, 6) AS clean, round(a.ap, 6) AS attacked, round(c.ap - a.ap, 6) AS degradation FROM ({side('c', 'true')}) c JOIN ({side('a', 'g.box_id % 3 > 0')}) a USING (type, level)"
+
+
+@query(_degradation_sql(), shared=False)
+def ap_degradation(v: Views) -> DataFrame:
+    p, q = _detections(v)
+    return rounded(matching.ap_degradation(p, p.filter("box_id % 3 > 0"), q, "frame", _half), "clean", "attacked", "degradation")
+
+
+RECALL_LIMITS = [round(0.1 + 0.05 * k, 2) for k in range(17)]
+
+
+@query(
+    detections_oracle(match_sql("m", "g.score >= 0.2", ", ".join(map(str, RECALL_LIMITS))), " SELECT type, lim::DOUBLE AS iou, round(tp / n_gt, 6) AS recall FROM (SELECT type, lim, count(*) FILTER (is_tp) AS tp FROM m GROUP BY 1, 2) JOIN m_n USING (type) WHERE level = 'all'"), shared=False
+)
+def recall_vs_iou(v: Views) -> DataFrame:
+    return rounded(matching.recall_vs_iou(*_detections(v), "frame", RECALL_LIMITS, 0.2), "recall")
+
+
+@query(
+    detections_oracle(
+        match_sql("m"),
+        match_sql("w", "g.box_id % 3 > 0"),
+        """, f AS (SELECT frame, type, n_gt, coalesce(c, 0) AS c, coalesce(a, 0) AS a FROM (SELECT frame, type, count(*) AS n_gt FROM gt GROUP BY 1, 2) LEFT JOIN (SELECT frame, type, count(*) FILTER (is_tp) AS c FROM m GROUP BY 1, 2) USING (frame, type)
+  LEFT JOIN (SELECT frame, type, count(*) FILTER (is_tp) AS a FROM w GROUP BY 1, 2) USING (frame, type))
+SELECT coalesce(type, 'overall') AS type, sum(n_gt)::BIGINT AS n_gt, round(sum(c) / sum(n_gt), 6) AS clean_rate, round(sum(a) / sum(n_gt), 6) AS attacked_rate, round((sum(c) - sum(a)) / sum(n_gt), 6) AS absolute_drop,
+  round(coalesce((sum(c) - sum(a)) / nullif(sum(c), 0), 0.0), 6) AS relative_drop, count(*) AS n_frames, count(DISTINCT frame) AS n_distinct_frames FROM f GROUP BY ROLLUP (type)""",
+    ),
+    shared=False,
+)
 def detection_rate(v: Views) -> DataFrame:
     p, q = _detections(v)
-    return matching.detection_rate(p, p.filter("box_id % 3 > 0"), q, "frame", _half)
+    return rounded(matching.detection_rate(p, p.filter("box_id % 3 > 0"), q, "frame", _half), "clean_rate", "attacked_rate", "absolute_drop", "relative_drop")
 
 
-@query()
+@query(
+    detections_oracle(
+        """ SELECT frame, bool_or(lost) AS success FROM (SELECT k.frame, NOT coalesce(bool_or(i / (24 - i) >= 0.5), false) AS lost FROM gt k LEFT JOIN (SELECT k.box_id, greatest(0, 4 - abs(k.x + (k.box_id % 5) * 0.4 - l.x - (l.box_id % 5) * 0.4)) * greatest(0, 2 - abs(k.y - l.y)) * greatest(0, 1.5 - abs(k.z - l.z)) AS i
+  FROM gt k JOIN gt l USING (frame) WHERE l.box_id % 7 > 0) USING (box_id) GROUP BY k.frame, k.box_id) GROUP BY 1"""
+    ),
+    shared=False,
+)
 def removal_success(v: Views) -> DataFrame:
     p, _ = _detections(v)
-    return matching.removal_success(p, p.filter("box_id % 7 > 0"), p.select("frame").distinct(), "frame", ["class0"])
+    return matching.removal_success(p, p.filter("box_id % 7 > 0"), p.select("frame").distinct(), "frame", ["class0", "class1", "class2"])
+
+
+# what SQL does not express
 
 
 @query()
 def hungarian_quality(v: Views) -> DataFrame:
-    p, q = _detections(v)
+    p, q = _detections(v, turned=True)
     centres = p.withColumn("x", F.col("x") + 0.3)
     return matching.clustering_quality(centres, q.filter("idx < 3"), q.filter("idx >= 3"), "frame")
 
 
-@query()
+DBSCAN_SQL = """
+near AS (SELECT a.frame_id, a.point_idx AS i, b.point_idx AS j FROM v_points a JOIN v_points b USING (frame_id) WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 64),
+core AS (SELECT frame_id, i FROM near GROUP BY 1, 2 HAVING count(*) >= 3),
+tied AS (SELECT n.frame_id, n.i, n.j FROM near n JOIN core c ON c.frame_id = n.frame_id AND c.i = n.i JOIN core d ON d.frame_id = n.frame_id AND d.i = n.j),
+reach AS (SELECT frame_id, i, j FROM tied UNION SELECT r.frame_id, r.i, t.j FROM reach r JOIN tied t ON t.frame_id = r.frame_id AND t.i = r.j),
+numbered AS (SELECT frame_id, i, (dense_rank() OVER (PARTITION BY frame_id ORDER BY head) - 1)::INT AS cluster FROM (SELECT frame_id, i, min(j) AS head FROM reach GROUP BY 1, 2)),
+clustered AS (SELECT p.*, coalesce(c.cluster, e.cluster, -1)::INT AS cluster FROM v_points p LEFT JOIN numbered c ON c.frame_id = p.frame_id AND c.i = p.point_idx
+  LEFT JOIN (SELECT n.frame_id, n.i, min(c.cluster) AS cluster FROM near n JOIN numbered c ON c.frame_id = n.frame_id AND c.i = n.j GROUP BY 1, 2) e ON e.frame_id = p.frame_id AND e.i = p.point_idx)"""
+
+
+@query(oracle(f", {DBSCAN_SQL.strip()} SELECT frame_id, point_idx, round(x, 6) AS x, cluster FROM clustered").replace("WITH ", "WITH RECURSIVE ", 1), shared=False)
 def dbscan(v: Views) -> DataFrame:
-    return clusters.cluster_points(v.points(), "frame_id", "point_idx", 8.0, 3)
+    return rounded(clusters.cluster_points(v.points(), "frame_id", "point_idx", 8.0, 3).select("frame_id", "point_idx", "x", "cluster"), "x")
 
 
 def _scene_points(v: Views) -> DataFrame:
@@ -627,11 +736,18 @@ def jitter_verdicts(v: Views) -> DataFrame:
     return defenses.jitter_verdicts(_scene_points(v), "scene", "at", eps=10.0, least=3, tolerance=15.0, ground=-100.0)
 
 
-@query()
+SLAB = "CASE WHEN p.{a} = 0 THEN {inf} ELSE {f}((b.{a} - 10) / p.{a}, (b.{a} + 10) / p.{a}) END"
+ENTER_SQL = "greatest(" + ", ".join(SLAB.format(a=a, f="least", inf="'-inf'::DOUBLE") for a in "xyz") + ")"
+LEAVE_SQL = "least(" + ", ".join(SLAB.format(a=a, f="greatest", inf="'inf'::DOUBLE") for a in "xyz") + ")"
+
+
+@query(f"""SELECT frame_id, 0 AS idx, count(*) FILTER (leave < 1) AS behind, count(*) FILTER (enter <= 1 AND leave >= 1) AS inside, count(*) FILTER (enter > 1) AS front,
+  round(coalesce(count(*) FILTER (leave < 1) / nullif(count(*) FILTER (enter <= 1), 0), 0.0), 6) AS lpd, round(coalesce(count(*) FILTER (enter <= 1 AND leave >= 1) / nullif(count(*) FILTER (leave >= 1), 0), 0.0), 6) AS share
+  FROM (SELECT p.frame_id, {ENTER_SQL} AS enter, {LEAVE_SQL} AS leave FROM v_points p JOIN v_boxes b ON b.box_id = p.frame_id) WHERE enter <= leave AND leave >= 0 GROUP BY 1""")
 def penetration_ratio(v: Views) -> DataFrame:
     side = F.lit(20.0)
     b = v.boxes().select(F.col("box_id").alias("frame_id"), F.lit(0).alias("idx"), F.struct("x", "y", "z", side.alias("length"), side.alias("width"), side.alias("height"), F.lit(0.0).alias("yaw")).alias("box"))
-    return defenses.penetration(v.points(), b, "frame_id").withColumn("share", ratio(F.col("inside"), F.col("inside") + F.col("front")))
+    return rounded(defenses.penetration(v.points(), b, "frame_id").withColumn("share", ratio(F.col("inside"), F.col("inside") + F.col("front"))), "lpd", "share")
 
 
 @query()
@@ -650,7 +766,132 @@ def ora_perturb(v: Views) -> DataFrame:
     return perturb.remove_objects(v.points(), boxes, "frame_id", seed=3)
 
 
-@query()
+@query("""
+, beams AS (SELECT *, atan2(y, x) AS az, atan2(z, sqrt(x*x + y*y)) AS el FROM v_points),
+ghost AS (SELECT * FROM beams WHERE frame_id = 0)
+SELECT frame_id, point_idx, round(x, 6) AS x, round(z, 6) AS z, false AS injected FROM beams b WHERE NOT EXISTS (FROM ghost g WHERE sqrt((g.az-b.az)*(g.az-b.az) + (g.el-b.el)*(g.el-b.el)) < 0.05)
+UNION ALL SELECT f.frame_id, ((1 << 24) + row_number() OVER (PARTITION BY f.frame_id ORDER BY x, y, z))::INT, round(x, 6), round(z, 6), true FROM (SELECT DISTINCT frame_id FROM v_points) f, ghost""")
 def ghost_inject(v: Views) -> DataFrame:
     ghost = v.points().filter("frame_id = 0").select("x", "y", "z", "intensity")
-    return perturb.inject_ghost(v.points(), ghost, "frame_id", 0.05)
+    return rounded(perturb.inject_ghost(v.points(), ghost, "frame_id", 0.05).select("frame_id", "point_idx", "x", "z", "injected"), "x", "z")
+
+
+@query()
+def shadow_volume(v: Views) -> DataFrame:
+    return defenses.shadow_volume(v.points(), "frame_id", (-10.0, 10.0), (-10.0, 10.0), ground=-10.0, delta=5.0, stride=4.0, eps=6.0, least=2, voxel=2.0, object_eps=10.0, object_least=2)
+
+
+@query()
+def transport_verdicts(v: Views) -> DataFrame:
+    return rounded(defenses.transport_verdicts(_scene_points(v), "scene", "at", eps=10.0, least=3, tolerance=15.0, ground=-100.0, least_points=3), "rho")
+
+
+@query()
+def icp_sigma(v: Views) -> DataFrame:
+    c = clusters.cluster_points(_scene_points(v), "frame_id", "point_idx", 10.0, 3).filter("cluster >= 0")
+    s = c.groupBy("scene", "at", "cluster").agg(F.count("*").alias("n_points"), *(F.avg(a).alias(a) for a in "xyz"))
+    return clusters.aligned_sigma(c, clusters.chains(s, "scene", "at", 6, 15.0, 3), "scene", "at", reach=5.0, least_points=3)
+
+
+@query()
+def carlo_verdicts(v: Views) -> DataFrame:
+    side = F.lit(20.0)
+    b = v.boxes().select(F.col("box_id").alias("frame_id"), F.lit(0).alias("idx"), F.struct("x", "y", "z", side.alias("length"), side.alias("width"), side.alias("height"), F.lit(0.0).alias("yaw")).alias("box"))
+    return defenses.hierarchy(v.points(), b, "frame_id", voxel=2.0)
+
+
+# selections, pairs and small reports
+
+
+@query("""SELECT c.frame_id, c.cluster, coalesce(string_agg(DISTINCT b.box_id::VARCHAR, ',' ORDER BY b.box_id::VARCHAR), '') AS labels FROM (SELECT *, point_idx % 4 AS cluster FROM v_points) c
+  LEFT JOIN v_boxes b ON b.box_id // 10 = c.frame_id // 10 AND abs(c.x - b.x) <= 6 AND abs(c.y - b.y) <= 6 AND abs(c.z - b.z) <= 6 GROUP BY 1, 2""")
+def cluster_labels(v: Views) -> DataFrame:
+    corner = lambda sign: F.struct(*((F.col(a) + sign * 6.0).alias(a) for a in "xyz"))
+    p = v.points().withColumn("cluster", F.col("point_idx") % 4)
+    first = F.floor(F.col("box_id") / 10).cast("long") * 10
+    boxes = v.boxes().select(F.explode(F.sequence(first, first + 9)).alias("frame_id"), F.col("box_id").alias("idx"), corner(-1).alias("lo"), corner(1).alias("hi"))
+    found = spatial.cluster_labels(p, boxes, "frame_id")
+    return found.withColumn("labels", F.array_join(F.array_sort(F.col("labels").cast("array<string>")), ","))
+
+
+@query("""SELECT a.frame_id, a.point_idx AS a, b.point_idx AS b FROM v_points a JOIN v_points b USING (frame_id) WHERE a.point_idx < 8 AND b.point_idx >= 8 AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) < 10
+  AND least(abs(atan2(a.y, a.x) - atan2(b.y, b.x)), 2 * pi() - abs(atan2(a.y, a.x) - atan2(b.y, b.x))) < radians(20)""")
+def bearing_pairs(v: Views) -> DataFrame:
+    p = v.points().withColumnRenamed("point_idx", "idx")
+    return spatial.bearing_pairs(p.filter("idx < 8"), p.filter("idx >= 8"), "frame_id")
+
+
+@query("""SELECT frame_id, point_idx FROM v_points WHERE point_idx % 5 <> 0""")
+def cloud_intersection(v: Views) -> DataFrame:
+    p = v.points()
+    return spatial.cloud_intersection(p, p.filter("point_idx % 5 <> 0"), "frame_id").select("frame_id", "point_idx")
+
+
+@query("""SELECT *, row_number() OVER (ORDER BY frame_id, ix, iy, iz) AS place FROM (SELECT DISTINCT frame_id, floor(x::FLOAT / 2.5::FLOAT)::INT AS ix, floor(y::FLOAT / 2.5::FLOAT)::INT AS iy, floor(z::FLOAT / 4::FLOAT)::INT AS iz FROM v_points WHERE frame_id < 50)""")
+def voxel_order(v: Views) -> DataFrame:
+    ordered = spatial.sorted_voxels(spatial.voxels(v.points().filter("frame_id < 50"), "frame_id", (2.5, 2.5, 4.0)), "frame_id")
+    # the place of a row in the sorted output: partitions ascend, and rows ascend in them
+    placed = ordered.withColumn("_id", F.monotonically_increasing_id())
+    return placed.withColumn("place", F.row_number().over(W.orderBy("_id"))).drop("_id")
+
+
+@query("""SELECT p.frame_id, p.point_idx FROM v_points p JOIN v_boxes b ON b.box_id = p.frame_id WHERE abs((p.x - b.x - 3) * cos(0.5) + (p.y - b.y) * sin(0.5)) <= 10 AND abs((p.y - b.y) * cos(0.5) - (p.x - b.x - 3) * sin(0.5)) <= 6""")
+def footprint_members(v: Views) -> DataFrame:
+    turned = lambda l, w: F.struct(*(e.alias(a) for a, e in zip("xyz", (F.col("bx") + 3 + l * math.cos(0.5) - w * math.sin(0.5), F.col("by") + l * math.sin(0.5) + w * math.cos(0.5), F.lit(0.0)), strict=True)))
+    b = v.boxes().select(F.col("box_id").alias("frame_id"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("corners", F.array(turned(-10, -6), turned(10, -6), turned(10, 6), turned(-10, 6)))
+    return v.points().join(b, "frame_id").filter(g.in_footprint(F.col("corners"), F.col("x"), F.col("y"))).select("frame_id", "point_idx")
+
+
+@query("""SELECT frame_id, point_idx FROM v_points WHERE y >= -2 - sqrt(2 * (x*x + 4) - 2 * (x*x + 4) * cos(radians(10)))""")
+def chord_members(v: Views) -> DataFrame:
+    return v.points().filter(g.beyond_chord(F.col("x"), F.col("y"), F.lit(-2.0))).select("frame_id", "point_idx")
+
+
+@query("""SELECT doc_id, source, lang FROM documents WHERE lang IN ('en', 'de') AND doc_id::VARCHAR IN ('1', '2', '3', '5', '8', '13', '21', '34', '55')""")
+def equality_filters(v: Views) -> DataFrame:
+    return metrics.equal_as_text(v.table("documents").select("doc_id", "source", "lang"), {"lang": ["en", "de"], "doc_id": [1, 2, 3, 5, 8, 13, 21, 34, 55], "source": []})
+
+
+@query("""SELECT page_id, url FROM pages WHERE substr(url, 1, 16) IN (SELECT substr(url, 1, 16) FROM pages WHERE page_id % 7 = 0)""")
+def token_prefix(v: Views) -> DataFrame:
+    p = v.table("pages")
+    return metrics.by_token_prefix(p.select("page_id", "url"), p.filter("page_id % 7 = 0").select(F.col("url").alias("token")), "url", "token")
+
+
+@query("""SELECT type, count(*) FILTER (n AND o = 0) AS occluded_0, count(*) FILTER (n AND o = 1) AS occluded_1, count(*) FILTER (n AND o = 2) AS occluded_2, count(*) FILTER (n AND o = 3) AS occluded_3
+  FROM (SELECT c.type, b.box_id IS NOT NULL AS n, b.box_id % 4 AS o FROM (VALUES ('class0'), ('class1'), ('none')) c(type) LEFT JOIN v_boxes b ON 'class' || (b.label % 3) = c.type) GROUP BY 1""")
+def occlusion_histogram(v: Views) -> DataFrame:
+    _, labels = _detections(v)
+    return metrics.occlusion_histogram(labels, ["class0", "class1", "none"])
+
+
+@query("""SELECT value, n, round(n / t, 6) AS ratio, round(exp(-n / t), 6) AS weight FROM (SELECT label AS value, count(*) AS n, (SELECT count(*) FROM v_boxes) AS t FROM v_boxes GROUP BY 1)""")
+def class_weights(v: Views) -> DataFrame:
+    return rounded(metrics.class_weights(v.boxes(), "label"), "ratio", "weight")
+
+
+@query("""SELECT frame_id, ix, iy, type, round(dx, 6) AS dx, round(dy, 6) AS dy, CASE WHEN s < 5 THEN 0 WHEN s < 20 THEN 1 ELSE 2 END AS level FROM (SELECT *, sqrt(dx*dx + dy*dy) / 0.5 AS s, row_number() OVER (PARTITION BY frame_id, ix, iy ORDER BY n DESC, type) AS r FROM (
+  SELECT frame_id, floor(x / 4)::INT AS ix, floor(y / 4)::INT AS iy, 'k' || (point_idx % 3) AS type, count(*) AS n, avg(z) AS dx, avg(intensity) AS dy FROM v_points GROUP BY ALL)) WHERE r = 1""")
+def cell_motion(v: Views) -> DataFrame:
+    p = v.points().withColumns({"type": F.concat(F.lit("k"), (F.col("point_idx") % 3).cast("string")), "dx": F.col("z"), "dy": F.col("intensity")})
+    return rounded(metrics.cell_motion(p, "frame_id", 4.0, 0.5), "dx", "dy")
+
+
+@query("""SELECT frame_id, point_idx, round(x*cos(0.3) - y*sin(0.3) + 2 - (1*cos(0.3) - 2*sin(0.3)) - x, 6) AS dx, round(x*sin(0.3) + y*cos(0.3) + 5 - (1*sin(0.3) + 2*cos(0.3)) - y, 6) AS dy, 1.5::DOUBLE AS dz FROM v_points""")
+def displacement_vectors(v: Views) -> DataFrame:
+    pose = lambda yaw, x, y, z: F.array(*map(F.lit, (math.cos(yaw), -math.sin(yaw), 0.0, x, math.sin(yaw), math.cos(yaw), 0.0, y, 0.0, 0.0, 1.0, z, 0.0, 0.0, 0.0, 1.0)))
+    d = g.displacement(pose(0.4, 1.0, 2.0, 0.0), pose(0.7, 2.0, 5.0, 1.5), F.col("x"), F.col("y"), F.col("z"))
+    return rounded(v.points().withColumn("d", d).select("frame_id", "point_idx", F.col("d.x").alias("dx"), F.col("d.y").alias("dy"), F.col("d.z").alias("dz")), "dx", "dy", "dz")
+
+
+@query("""SELECT user_id, event_id, round(b * (m - i), 6) + 0.0 AS shift FROM (SELECT *, regr_slope(value, i::DOUBLE) OVER (PARTITION BY user_id) AS b, max(i) OVER (PARTITION BY user_id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events))""")
+def velocity_shift(v: Views) -> DataFrame:
+    newest_first = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    steps = v.table("events").withColumn("k", F.row_number().over(newest_first) - 1).select("user_id", "event_id", "k", F.col("value").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return rounded(defenses.recentred(steps, ["user_id"]).select("user_id", "event_id", F.col("shift.x").alias("shift")), "shift")
+
+
+@query("""SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'NaN'::DOUBLE ELSE json_extract_string(props, '$.k')::DOUBLE END AS detection_f1, 'NaN'::DOUBLE AS detection_precision, 'NaN'::DOUBLE AS detection_recall, 'NaN'::DOUBLE AS tpr, 'NaN'::DOUBLE AS fpr FROM events""")
+def metric_rows(v: Views) -> DataFrame:
+    nested = F.concat(F.lit('{"defense_effectiveness": {"f1": '), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.lit("}}"))
+    return reports.metric_rows(v.table("events").select("event_id", nested.alias("summary")), "event_id", "defense_effectiveness")

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from framewright.functions import geometry as g
 
-# Annotation categories by detection class.
+# Annotation categories by detection class; others are not kept.
 CLASSES = {
     "vehicle.car": "car", "vehicle.truck": "truck", "vehicle.bus.bendy": "bus", "vehicle.bus.rigid": "bus",
-    "vehicle.trailer": "trailer", "vehicle.construction": "construction_vehicle", "vehicle.motorcycle": "motorcycle",
-    "vehicle.bicycle": "bicycle", "human.pedestrian.adult": "pedestrian", "human.pedestrian.child": "pedestrian",
-    "human.pedestrian.construction_worker": "pedestrian", "human.pedestrian.police_officer": "pedestrian",
-    "movable_object.trafficcone": "traffic_cone", "movable_object.barrier": "barrier",
+    "vehicle.motorcycle": "motorcycle", "vehicle.bicycle": "bicycle", "vehicle.trailer": "trailer",
+    "vehicle.construction": "construction_vehicle", "human.pedestrian.adult": "pedestrian",
+    "human.pedestrian.child": "pedestrian", "human.pedestrian.wheelchair": "pedestrian",
+    "human.pedestrian.stroller": "pedestrian", "human.pedestrian.personal_mobility": "pedestrian",
+    "human.pedestrian.police_officer": "pedestrian", "human.pedestrian.construction_worker": "pedestrian",
+    "movable_object.barrier": "barrier", "movable_object.trafficcone": "traffic_cone",
+    "movable_object.pushable_pullable": "traffic_cone", "movable_object.debris": "traffic_cone",
 }
 
 

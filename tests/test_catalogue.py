@@ -18,18 +18,103 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_matches_count_every_target_once(spark):
-    m = catalogue.QUERIES["greedy_match"](spark, SF).toPandas()
+    m = catalogue.QUERIES["greedy_match_turned"](spark, SF).toPandas()
     assert m.groupby(["frame", "type"]).n_gt.first().sum() == 500
     assert set(m.dropna().is_tp) <= {True, False}
 
 
-def test_curves(spark):
-    curve = catalogue.QUERIES["pr_curve"](spark, SF).toPandas().sort_values(["type", "t_idx"])
-    for _, c in curve.groupby("type"):
-        assert c.precision.is_monotonic_decreasing and c.threshold.is_monotonic_decreasing
-    ap = catalogue.QUERIES["ap_mean41"](spark, SF).toPandas()
-    assert ap.ap.between(0, 1).all()
-    assert ap.set_index("type").ap.to_dict() == pytest.approx((curve.groupby("type").precision.sum() / 41).to_dict())
+def polygon_iou(a, b, n=200):
+    """Of two boxes of equal height, by counting the points of a fine grid."""
+    import numpy as np
+
+    def inside(c, p):
+        u, v = c[1] - c[0], c[3] - c[0]
+        s, t = (p - c[0]) @ u / (u @ u), (p - c[0]) @ v / (v @ v)
+        return (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
+
+    lo, hi = np.minimum(a.min(0), b.min(0)), np.maximum(a.max(0), b.max(0))
+    p = np.stack(np.meshgrid(*(np.linspace(l, h, n) for l, h in zip(lo, hi, strict=True))), -1).reshape(-1, 2)
+    one, two = inside(a, p), inside(b, p)
+    return (one & two).sum() / (one | two).sum()
+
+
+def test_turned_overlaps(spark):
+    import numpy as np
+
+    from framewright.functions import kernels
+    from framewright.operators.matching import as_corners
+    from framewright.plans.views import Views
+
+    p, q = (d.toPandas() for d in catalogue._detections(Views(spark, SF), turned=True))
+    pc, qc = as_corners(p.corners), as_corners(q.corners)
+    got = {(r.frame, r.a_idx, r.b_idx): r.iou for r in catalogue.QUERIES["iou_rotated"](spark, SF).collect()}
+    seen = 0
+    for i, a in enumerate(pc):
+        for j, b in enumerate(qc):
+            if p.frame[i] != q.frame[j]:
+                continue
+            iou = got.get((p.frame[i], p.idx[i], q.idx[j]), 0.0)
+            ra, rb = kernels.ring_of(a)[::2], kernels.ring_of(b)[::2]  # top and bottom coincide from above
+            height = max(0.0, min(a[:, 2].max(), b[:, 2].max()) - max(a[:, 2].min(), b[:, 2].min()))
+            flat = polygon_iou(ra, rb, 80) if height and (ra.max(0) > rb.min(0)).all() and (rb.max(0) > ra.min(0)).all() else 0.0
+            shared = flat / (1 + flat) * 16 * height  # two areas of 8
+            assert iou == pytest.approx(shared / (24 - shared), abs=0.03)
+            seen += iou > 0
+    assert seen == len(got) > 40
+
+
+def sampled(scores, n):
+    """Thresholds as the rule has them, one hit after another, in whole numbers."""
+    out = []
+    for k, s in enumerate(sorted(scores, reverse=True)):
+        level = len(out)
+        if k + 1 == len(scores) or (2 * k + 3) * 40 >= 2 * level * n:
+            out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("n_gt", [1, 7, 39, 40, 41, 100, 333])
+def test_curves(spark, n_gt):
+    import numpy as np
+
+    from framewright.operators import matching
+
+    rng = np.random.default_rng(n_gt)
+    hits, misses = rng.integers(1, n_gt + 1), 60
+    scores = np.round(rng.random(hits + misses), 2 if n_gt > 50 else 6).tolist()
+    rows = [("f", "c", None, s, bool(k < hits), n_gt, k == 0) for k, s in enumerate(scores)]
+    got = matching.curve(spark.createDataFrame(rows, "frame string, type string, level string, score double, is_tp boolean, n_gt int, leads boolean")).orderBy("t_idx").collect()
+    cuts = sampled(scores[:hits], n_gt)
+    assert [r.threshold for r in got] == cuts and [r.t_idx for r in got] == list(range(len(cuts))) and len(cuts) <= 41
+    raw = []
+    for r, cut in zip(got, cuts, strict=True):
+        tp, fp = sum(s >= cut for s in scores[:hits]), sum(s >= cut for s in scores[hits:])
+        assert (r.tp, r.fp, r.n_gt) == (tp, fp, n_gt)
+        raw.append(tp / (tp + fp + 1e-9))
+    assert [r.precision for r in got] == pytest.approx([max(raw[k:]) for k in range(len(raw))])
+
+
+def test_matching_against_plain_rules(spark):
+    """Random overlaps, equal scores, ignored targets and empty sides."""
+    import numpy as np
+
+    from framewright.operators import matching
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n, m = rng.integers(0, 7, 2)
+        iou = np.where(rng.random((n, m)) < 0.6, np.round(rng.random((n, m)), 1), 0.0)
+        ignored, score = rng.random(m) < 0.3, np.round(rng.random(n), 1)
+        free, want = set(range(m)), {}
+        for i in sorted(range(n), key=lambda i: (-score[i], i)):
+            good = [j for j in range(m) if iou[i, j] >= 0.4]
+            open_ = sorted((j for j in good if j in free and not ignored[j]), key=lambda j: (-iou[i, j], j))
+            want[i] = 1 if open_ else -1 if any(ignored[j] for j in good) else 0
+            free -= set(open_[:1])
+        i, j = np.nonzero(iou)
+        order = np.array(sorted(range(n), key=lambda i: (-score[i], i)), dtype=int)
+        got = matching.greedy(order, i, j, iou[i, j], ignored, np.full(n, 0.4))
+        assert dict(enumerate(got.tolist())) == want
 
 
 def test_point_jitter_about_a_steady_centre_is_flagged(spark):
@@ -63,22 +148,94 @@ def test_noise_is_a_function_of_the_row(spark):
     assert rows(a) == rows(b) and (a.groupby("frame_id").size() == 3).all()
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_uniform_noise_has_the_stated_deviation(spark):
+    from framewright.operators import perturb
+
+    p = spark.range(20_000).selectExpr("id % 2 frame", "id point_idx", "100.0D x", "0.0D y", "0.0D z")
+    still = perturb.Noise("uniform", 0.333, 1.0, 0.0, 0.0)
+    x = perturb.inject_noise(p, "frame", "point_idx", still, 1).toPandas().x - 100
+    assert x.std() == pytest.approx(0.333, rel=0.03) and x.abs().max() <= 0.333 * 3**0.5 and x.abs().max() > 0.55
+    boxes = spark.sql("select 0L frame, 0 `order`, struct(99D as x, -1D as y, -1D as z) lo, struct(101D as x, 1D as y, 1D as z) hi, 100D x, 0D y, 'Car' type")
+    args = {"frame": "frame", "budget": 1000, "extra": (2.0, 2.0), "noise": perturb.Noise("uniform", 0.333, 0.25, 0.0, 0.0)}
+    got = perturb.remove_objects(p, boxes, targets=["Car"], **args).toPandas()
+    moved = got[got.n_moved > 0].x - 102
+    assert len(got) == 19_250 and len(moved) == 250 and moved.std() == pytest.approx(0.333, rel=0.15)
+    assert perturb.remove_objects(p, boxes, targets=["Van"], **args).filter("n_moved > 0").count() == 0
+
+
+def stream_of(spark, schema, tmp_path):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def run_to_the_end(frames, tmp_path, seen=None):
+    from framewright.streaming.scenes import scene_history
+
+    out = scene_history(frames, "sequence_id", "idx", "x", 5, "ts", idle="1000 days", seen=seen)
+    q = out.writeStream.trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+
+
+def test_stream_equals_batch_and_resumes(spark, tmp_path):
     from framewright.plans.views import Views
-    from framewright.streaming.scenes import scene_history, scene_history_batch
+    from framewright.streaming.scenes import scene_history_batch
 
-    f = Views(spark, SF).frames().select("sequence_id", "idx", "x")
+    f = Views(spark, SF).frames().selectExpr("sequence_id", "idx", "x", "x + 1 as received", "timestamp(ts) as ts")
     want = scene_history_batch(f, "sequence_id", "idx", "x", 5).toPandas()
     f.filter("idx < 20").coalesce(1).write.parquet(str(tmp_path / "in"))
+    run_to_the_end(stream_of(spark, f.schema, tmp_path), tmp_path, seen="received")
+    first = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert first.idx.max() == 19
     f.filter("idx >= 20").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    # processing-time timeouts keep a continuous query busy for ever; this trigger ends with the input
-    q = scene_history(stream, "sequence_id", "idx", "x", 5).writeStream.trigger(availableNow=True).format("memory").queryName("scenes").option("checkpointLocation", str(tmp_path / "cp")).start()
+    run_to_the_end(stream_of(spark, f.schema, tmp_path), tmp_path, seen="received")  # from the checkpoint's state
+    got = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    both = got.merge(first, on=["sequence_id", "idx"], how="inner")
+    assert len(both) == len(first) and len(got) == len(want)
+    assert (got.seen_sum - got.history_sum).round(6).equals(got.history_size.astype(float)) and (got.seen_previous - got.previous).dropna().round(6).eq(1).all()
+    assert rows(got[want.columns].round(6)) == rows(want.round(6))
+
+
+def test_idle_scenes_leave_the_state(spark, tmp_path):
+    import pandas as pd
+
+    from framewright.streaming.scenes import scene_history, scene_history_batch
+
+    days = [("a", 1), ("a", 2), ("b", 2), ("a", 9), ("b", 10), ("b", 11)]
+    for k, (scene, day) in enumerate(days):
+        spark.createDataFrame(pd.DataFrame({"scene": [scene], "idx": [day], "x": [1.0], "ts": [pd.Timestamp(2024, 1, day)]})).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p={k}"))
+    schema = "scene string, idx long, x double, ts timestamp"
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = scene_history(files, "scene", "idx", "x", 5, "ts", idle="2 days").writeStream.trigger(availableNow=True).format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         assert q.awaitTermination(120)
     finally:
         q.stop()
-    assert rows(spark.table("scenes").toPandas().round(6)) == rows(want.round(6))
+    got = {(r.scene, r.idx): r.history_size for r in spark.table("idle").collect()}
+    assert got == dict(zip(days, [0, 1, 0, 0, 0, 1], strict=True))
+    batch = scene_history_batch(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), "scene", "idx", "x", 5, "ts", "2 days")
+    assert {(r.scene, r.idx): r.history_size for r in batch.collect()} == got
+
+
+def test_shadow_of_a_hole(spark):
+    """A bare stretch of ground far away: its pyramids' volume is a third of base times height each, unless an object is in front."""
+    import numpy as np
+
+    from framewright.operators import defenses
+
+    x, y = np.meshgrid(np.arange(0.3, 30, 0.6), np.arange(-4.7, 5, 0.6))
+    ground = np.stack([x.ravel(), y.ravel(), np.full(x.size, -1.73)], -1)
+    hole = (ground[:, 0] > 15) & (ground[:, 0] < 25) & (np.abs(ground[:, 1]) < 3)
+    rows_ = [("holed", k, *map(float, p)) for k, p in enumerate(ground[~hole])]
+    rows_ += [("shaded", k, *map(float, p)) for k, p in enumerate(ground[~hole])]
+    rows_ += [("shaded", 10_000 + k, 4.0, float(py), float(pz)) for k, (py, pz) in enumerate((a, b) for a in np.arange(-1.2, 1.2, 0.1) for b in np.arange(-1.5, 0.0, 0.1))]
+    rows_ += [("whole", k, *map(float, p)) for k, p in enumerate(ground)]
+    df = spark.createDataFrame(rows_, "frame string, point_idx int, x double, y double, z double")
+    got = {r.frame: r for r in defenses.shadow_volume(df, "frame").collect()}
+    assert got["whole"].voids == 0 and not got["whole"].detected
+    assert got["holed"].voids == 1 and got["holed"].residual > 15 and got["holed"].detected
+    assert got["shaded"].residual < 0.3 * got["holed"].residual
 
 
 def test_point_files_round_trip(spark, tmp_path):
@@ -107,12 +264,30 @@ def test_kitti_text(spark, tmp_path):
 
 
 def test_verdicts_hide_the_truth_and_fail_benign(spark):
+    import json
+
     from framewright.operators import judges
 
-    df = spark.createDataFrame([(1, True, '{"verdict": "ATTACKED", "suspected_attacks": [{"attack_type": "ORA", "confidence": "HIGH"}]}'), (2, True, "?")], "id int, is_attacked boolean, answer string")
+    def answer(verdict, *levels, kind="OBJECT_HIDING"):
+        rest = {"affected_region": {"bev": "left"}, "evidence": [], "alternatives_ruled_out": []}
+        return json.dumps({"verdict": verdict, "suspected_attacks": [{"attack_type": kind, "confidence": c, **rest} for c in levels]})
+
+    texts = [answer("ATTACK_SUSPECTED", "LOW", "HIGH"), answer("ATTACK_SUSPECTED", "MEDIUM"), answer("ATTACK_SUSPECTED"), answer("UNCERTAIN", "LOW"), answer("BENIGN"), answer("ATTACKED", "HIGH"), answer("ATTACK_SUSPECTED", "SURE"), answer("ATTACK_SUSPECTED", "HIGH", kind="ORA"), "?", None, '{"verdict": "BENIGN"}']
+    df = spark.createDataFrame([(k, True, t) for k, t in enumerate(texts)], "id int, is_attacked boolean, answer string")
     assert "is_attacked" not in judges.judge_view(df).columns
-    got = {r.id: (r.detected, r.error, r.confidence) for r in judges.parse_verdict(df, "answer").collect()}
-    assert got == {1: (True, False, 1.0), 2: (False, True, 0.0)}
+    got = [tuple(r) for r in judges.parse_verdict(df, "answer").orderBy("id").select("detected", "error", "confidence").collect()]
+    assert got == [(True, False, 1.0), (True, False, 0.66), (True, False, 0.0), (False, False, 0.33), (False, False, 0.0), *[(False, True, 0.0)] * 5, (False, False, 0.0)]
+    strict = [r.detected for r in judges.parse_verdict(df, "answer", high_confidence=True).orderBy("id").collect()]
+    assert strict == [False, True, *[False] * 9]
+
+
+def test_judge_is_asked_what_the_cache_lacks(spark):
+    from framewright.operators import judges
+
+    frames = spark.createDataFrame([(k, f"q{k}", True) for k in range(6)], "id int, question string, is_attacked boolean")
+    cache = spark.createDataFrame([(1, "cached"), (4, "cached")], "id int, answer string")
+    got = {r.id: r.answer for r in judges.answers(frames, cache, ["id"], lambda q: q.upper(), "question", per_minute=1000, workers=2).collect()}
+    assert got == {0: "Q0", 1: "cached", 2: "Q2", 3: "Q3", 4: "cached", 5: "Q5"}
 
 
 def test_zero_denominators(spark):

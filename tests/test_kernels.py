@@ -86,18 +86,6 @@ def test_dbscan():
             assert (k.dbscan(p, 0.9, 4) == brute_dbscan(p, 0.9, 4)).all()
 
 
-def test_greedy_takes_equal_scores_in_order_and_skips_ignored():
-    iou = np.array([[0.9, 0.0], [0.9, 0.0], [0.0, 0.0]])
-    ignored = np.array([[0.0], [0.0], [0.8]])
-    assert k.greedy_match(np.array([0.5, 0.5, 0.4]), iou, ignored, 0.5) == [(0, 0), (1, -1)]
-
-
-def test_thresholds_and_mean_precision():
-    assert k.recall_thresholds([], 5) == []
-    assert k.recall_thresholds([0.9, 0.8], 2) == [0.9, 0.8]
-    assert k.mean_precision(np.array([0.5, 1.0])) == pytest.approx(2 / 41)
-
-
 def test_icp_recovers_a_shift():
     p = np.random.default_rng(3).uniform(0, 2, (80, 3))
     moved, close = k.icp(p + [0.05, 0.02, 0], p)
@@ -106,3 +94,9 @@ def test_icp_recovers_a_shift():
 
 def test_traverse_reaches_negative_cells():
     assert k.traverse(np.zeros(3), np.array([-0.9, 0.0, 0.0]), 0.5) == [(0, 0, 0), (-1, 0, 0), (-2, 0, 0)]
+
+
+def test_traverse_has_no_cap():
+    way = k.traverse(np.zeros(3), np.array([3000.0, 4000.0, -5000.0]), 0.5)
+    assert len(way) > 20_000 and way[-1] == (6000, 8000, -10000)
+    assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for p, q in zip(way, way[1:], strict=False))
