@@ -1,21 +1,24 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-Documents are taken in shards of a few megabytes.  A shard's words become codes of the benchmark's
-vocabulary (0: a word that no item has).  Suffixes that start inside a run of known words at least
-as long as the shortest window go into the shard's suffix array; any other suffix has an unknown
-word inside every window and can't match.  Every test suffix is then binary-searched in the array,
-which gives the interval of training suffixes that begin with its window, hence all locations;
-neighbouring locations on one diagonal join into maximal verbatim matches.
+Documents are taken in shards of some tens of megabytes, whole tasks where those are smaller.  A shard's words
+become codes of the benchmark's vocabulary (0: a word that no item has).  Suffixes that start inside a run of
+known words at least as long as the shortest window go into the shard's suffix array; any other suffix has an
+unknown word inside every window and can't match.  Every test suffix whose first and last words the shard has is
+then binary-searched in the array, word by word within the interval that the words before it have left.  What
+remains is the interval of training suffixes that begin with its window, hence all locations; neighbouring
+locations on one diagonal join into maximal verbatim matches.
 
 A *window* is ``width`` consecutive item words; an item of fewer words, but not none, is one window.
 
 Scale: nothing is shuffled.  The benchmark is cut into blocks of bounded bytes; each block is sent
-to the executors and all documents are passed over once per block, so no bound on the benchmark's
-size is assumed.  A passage that a third of the documents hold costs its own length in each of them.
+to the executors and all documents are passed over once per block, with a stored table between two blocks, so no
+bound on the benchmark's size is assumed.  A passage that a third of the documents hold costs its own length in
+each of them.  Item sets follow from distinct windows by document; only ``matches``, which may be left out, has a
+row for each text that a passage comes from.
 
 Defined results: null or wordless texts have no words and no hits; repeated rows each get their own
 result; an empty benchmark or document table gives no hits or no rows; null item ids count as the
-string ``null``; columns of the documents pass through, whatever their names.
+string ``null``; columns of the documents pass through, and one that is named like the result is an error.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 
 from framewright.llm import textkernels as tk
 from framewright.llm.columns import fresh
+from framewright.llm.scratch import materialize
 
+#: Bytes of text to a shard; its arrays take a few times this at most.
+SHARD_BYTES = 32 << 20
 #: Bytes of item text in a block sent to executors: a few times this in memory there.
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 18
@@ -90,10 +96,10 @@ class TestSet:
 
 @dataclass
 class WindowSet:
-    """The distinct windows of one width, sorted, and where in the distinct texts each occurs."""
+    """The distinct windows of one width, as rows of codes, and where in the distinct texts each occurs."""
 
     width: int
-    keys: np.ndarray
+    rows: np.ndarray
     starts: np.ndarray
     text: np.ndarray
     at: np.ndarray
@@ -103,9 +109,9 @@ class WindowSet:
         rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(own, width) for _, own in found])
         text = np.concatenate([np.full(len(own) - width + 1, k) for k, own in found])
         at = np.concatenate([np.arange(len(own) - width + 1) for _, own in found])
-        keys, inverse = np.unique(as_keys(rows), return_inverse=True)
+        _, first, inverse = np.unique(as_keys(rows), return_index=True, return_inverse=True)
         order = np.argsort(inverse, kind="stable")
-        return cls(width, keys, np.searchsorted(inverse[order], np.arange(len(keys) + 1)), text[order], at[order])
+        return cls(width, rows[first], np.searchsorted(inverse[order], np.arange(len(first) + 1)), text[order], at[order])
 
 
 def as_keys(rows: np.ndarray) -> np.ndarray:
@@ -127,7 +133,7 @@ def second_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 class SuffixShard:
     """A suffix array over the runs of known words of one shard."""
 
-    def __init__(self, codes: np.ndarray, offsets: np.ndarray, shortest: int, depth: int):
+    def __init__(self, codes: np.ndarray, offsets: np.ndarray, n_codes: int, shortest: int, depth: int):
         start, end = known_runs(codes, offsets)
         keep = end - start >= shortest
         start, end = start[keep], end[keep]
@@ -139,19 +145,35 @@ class SuffixShard:
         self.text = codes[np.minimum(index, max(0, len(codes) - 1))] if total else np.zeros(0, np.int32)
         self.text[last] = 0
         self.order = sort_suffixes(self.text, depth)
-
-    def prefixes(self, width: int) -> np.ndarray:
-        padded = np.concatenate([self.text, np.zeros(width, np.int32)])
-        return as_keys(np.lib.stride_tricks.sliding_window_view(padded, width)[self.order])
+        self.has = np.zeros(n_codes + 1, dtype=bool)
+        self.has[self.text] = True
+
+    def narrowed(self, low: np.ndarray, high: np.ndarray, ahead: int, word: np.ndarray, after: bool) -> np.ndarray:
+        """By bisection, where in each interval of suffixes the first is whose word ``ahead`` is not less than
+        ``word``, or greater than it if ``after``."""
+        low, high = low.copy(), high.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            own = self.text[np.minimum(self.order[middle] + ahead, len(self.text) - 1)]
+            up = own <= word[open_] if after else own < word[open_]
+            low[open_[up]] = middle[up] + 1
+            high[open_[~up]] = middle[~up]
+            open_ = open_[low[open_] < high[open_]]
+        return low
 
     def find(self, windows: WindowSet) -> tuple[np.ndarray, np.ndarray]:
         """(number of the window, place of its word in the shard) of every occurrence."""
-        keys = self.prefixes(windows.width)
-        low = np.searchsorted(keys, windows.keys, "left")
-        count = np.searchsorted(keys, windows.keys, "right") - low
-        which = np.repeat(np.arange(len(count)), count)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        return which, self.word[self.order[low[which] + inside]]
+        which = np.flatnonzero(self.has[windows.rows[:, 0]] & self.has[windows.rows[:, -1]])
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), len(self.order))
+        for ahead in range(windows.width):
+            word = windows.rows[which, ahead]
+            low, high = self.narrowed(low, high, ahead, word, False), self.narrowed(low, high, ahead, word, True)
+            some = low < high
+            which, low, high = which[some], low[some], high[some]
+        count = high - low
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(which, count), self.word[self.order[np.repeat(low, count) + inside]]
 
 
 def known_runs(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,51 +197,68 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def scan_shard(texts: pa.Array, tests: TestSet) -> list[dict]:
-    """Per document: words hit as packed bits, items found, and maximal matches."""
+def coded(texts: pa.Array, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of some documents, and the documents' offsets into them."""
     w = tk.words(texts)
     codes = tests.codes(w)
-    found_at = np.flatnonzero(codes)
-    if len(found_at) and tests.windows:
+    if len(codes) and tests.windows:
         start, end = known_runs(codes, w.offsets)
         long = end - start >= tests.windows[0].width
         size = (end - start)[long]
         at = np.repeat(start[long] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         wrong = second_hash(w.data, w.start[at], w.end[at]) != tests.check[codes[at] - 1]
         codes[at[wrong]] = 0
-    n_docs = len(texts)
-    rows = [{"n_words": int(b - a), "items": [], "hit": None, "matches": []} for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
+    return codes, w.offsets
+
+
+def scan_shard(codes: np.ndarray, offsets: np.ndarray, tests: TestSet, matches: bool = True) -> list[dict]:
+    """Per document: words hit as packed bits, items found, and maximal matches."""
+    rows = [{"n_words": int(n), "items": [], "hit": None, "matches": []} for n in np.diff(offsets)]
     if not tests.windows or not codes.any():
         return rows
-    shard = SuffixShard(codes, w.offsets, tests.windows[0].width, tests.longest)
-    doc_of = np.searchsorted(w.offsets, np.arange(len(codes)), "right") - 1 if len(shard.order) else None
-    edge = np.zeros(len(codes) + 1, dtype=np.int64)
+    shard = SuffixShard(codes, offsets, len(tests.vocabulary), tests.windows[0].width, tests.windows[-1].width)
+    doc_at = lambda places: np.searchsorted(offsets, places, "right") - 1
+    edge = np.zeros(len(codes) + 1, dtype=np.int32)
+    found: list[np.ndarray] = []
     pairs: list[np.ndarray] = []
     for windows in tests.windows if len(shard.order) else ():
         which, place = shard.find(windows)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + windows.width, -1)
-        times = windows.starts[which + 1] - windows.starts[which]
-        slot = np.repeat(windows.starts[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        place = np.repeat(place, times)
-        pairs.append(maximal(windows.text[slot], windows.at[slot], place, doc_of[place], windows.width))
+        if not len(which):
+            continue
+        for places, step in ((place, 1), (place + windows.width, -1)):
+            at, n = np.unique(places, return_counts=True)
+            edge[at] += (step * n).astype(np.int32)
+        docs = doc_at(place)
+        both = np.unique(np.stack([docs, which]), axis=1)
+        doc, slot = _owned(windows, both[1], both[0])
+        found.append(np.unique(np.stack([doc, windows.text[slot]]), axis=1))
+        if matches:
+            place, slot = _owned(windows, which, place)
+            pairs.append(maximal(windows.text[slot], windows.at[slot], place, doc_at(place), windows.width))
+    if not found:
+        return rows
     hit = np.cumsum(edge[:-1]) > 0
-    hit_docs = np.unique(doc_of[hit]) if hit.any() else []
-    for d in hit_docs:
-        rows[d]["hit"] = np.packbits(hit[w.offsets[d] : w.offsets[d + 1]]).tobytes()
+    found_in = np.unique(np.concatenate(found, axis=1), axis=1)
+    for d, t in zip(*found_in.tolist(), strict=True):
+        rows[d]["items"].extend(tests.owners[t])
+    for d in np.unique(found_in[0]).tolist():
+        rows[d]["items"] = sorted(set(rows[d]["items"]))
+        rows[d]["hit"] = np.packbits(hit[offsets[d] : offsets[d + 1]]).tobytes()
     if pairs:
         text, item_at, place, length = np.concatenate(pairs, axis=1)
-        docs = doc_of[place]
+        docs = doc_at(place)
         for d, t, i, p, n in sorted(zip(docs.tolist(), text.tolist(), item_at.tolist(), place.tolist(), length.tolist(), strict=True)):
-            owners = tests.owners[t]
-            rows[d]["items"].extend(owners)
-            rows[d]["matches"].append({"item": owners[0], "item_at": i, "at": int(p - w.offsets[d]), "words": n})
-    for d in hit_docs:
-        rows[d]["items"] = sorted(set(rows[d]["items"]))
-    assert len(rows) == n_docs
+            rows[d]["matches"].append({"item": tests.owners[t][0], "item_at": i, "at": int(p - offsets[d]), "words": n})
     return rows
 
 
+def _owned(windows: WindowSet, which: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``beside`` repeated for each place in the tests where its window occurs, and those places' numbers."""
+    times = windows.starts[which + 1] - windows.starts[which]
+    slot = np.repeat(windows.starts[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    return np.repeat(beside, times), slot
+
+
 def maximal(text: np.ndarray, item_at: np.ndarray, place: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
     """Joins window matches that follow each other both in the text and in the document."""
     order = np.lexsort((place, place - item_at, text, doc))
@@ -245,7 +284,7 @@ def _merge(old: dict | None, new: dict) -> dict:
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[pa.Table]:
     """The items in blocks of about ``block_bytes`` each (one item at least)."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     if blocks == 1:
@@ -255,8 +294,8 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
         yield items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow()
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, name: str = "contamination", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a struct column ``name``: n_words, n_hit, items, hit, matches.
+def annotate(docs: DataFrame, benchmark: DataFrame, name: str = "contamination", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, matches: bool = True) -> DataFrame:
+    """``docs`` with a struct column ``name``: n_words, n_hit, items, hit, matches; raises if they have such a column.
 
     ``hit`` packs one bit per word (null: none).  ``matches`` are maximal verbatim matches with their
     places in the item and in the document, in words; of items with equal texts the first is named.
@@ -266,24 +305,42 @@ def annotate(docs: DataFrame, benchmark: DataFrame, name: str = "contamination",
     spark = docs.sparkSession
     words_col = fresh(docs.columns, "plain_text")
     out = docs.withColumn(words_col, F.col(text_col).cast("string")).withColumn(name, F.lit(None).cast(RESULT))
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
+    for k, block in enumerate(benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)):
         sent = spark.sparkContext.broadcast(TestSet.build(block.column("item").to_pylist(), block.column("text").to_pylist(), width))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tests, held, size = sent.value, [], 0
             for part in tk.slices(batches, words_col):
-                at = part.schema.get_field_index(name)
-                got = scan_shard(part.column(words_col), sent.value)
-                merged = [_merge(a, b) for a, b in zip(part.column(at).to_pylist(), got, strict=True)]
-                yield part.set_column(at, pa.field(name, _RESULT), pa.array(merged, _RESULT))
-
+                held.append((part, *coded(part.column(words_col), tests)))
+                size += part.nbytes
+                if size >= shard_bytes:
+                    yield from _annotated(held, tests, name, matches)
+                    held, size = [], 0
+            yield from _annotated(held, tests, name, matches)
+
+        if k:
+            out = materialize(out, "contamination")
         out = out.mapInArrow(run, out.schema)
     return out.drop(words_col)
 
 
+def _annotated(held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], tests: TestSet, name: str, matches: bool) -> Iterator[pa.RecordBatch]:
+    """The slices of one shard with their results."""
+    if not held:
+        return
+    begins = np.cumsum([0, *(len(codes) for _, codes, _ in held)])
+    offsets = np.concatenate([o[:-1] + b for (_, _, o), b in zip(held, begins[:-1], strict=True)] + [begins[-1:]])
+    rows = iter(scan_shard(np.concatenate([codes for _, codes, _ in held]), offsets, tests, matches))
+    for part, _, _ in held:
+        at = part.schema.get_field_index(name)
+        merged = [_merge(old, next(rows)) for old in part.column(at).to_pylist()]
+        yield part.set_column(at, pa.field(name, _RESULT), pa.array(merged, _RESULT))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit word, with their own columns."""
     name = fresh(docs.columns, "contamination")
-    return annotate(docs, benchmark, name=name, **options).filter(F.col(f"{name}.n_hit") == 0).select(*docs.columns)
+    return annotate(docs, benchmark, name=name, matches=False, **options).filter(F.col(f"{name}.n_hit") == 0).select(*docs.columns)
 
 
 ORACLE = """
