@@ -1,7 +1,7 @@
 """Media columns: lossless 8-bit audio, polyphase resampling, log-mel frames, energy segments.
 
 ``encode`` stores every text's padded UTF-8 bytes as the unsigned 8-bit samples of a RIFF/WAVE
-file; ``analyse`` reads stored files back and computes, per file,
+file; ``store_features`` reads stored files back and computes, per file,
 
 * a resampled signal (rational factor ``up/down``, windowed-sinc prototype split into ``up`` phases),
 * overlapped log-mel frames, cut into tensors of one fixed shape ``(tensor_frames, mels)``, each with
@@ -9,10 +9,15 @@ file; ``analyse`` reads stored files back and computes, per file,
   many rows are real,
 * segments where the frame's energy without its mean rose above the upper threshold until it fell below the lower one.
 
-Features are held in hundredths as integers, so that equal samples give equal values on every
-machine.  Null text counts as empty and gives 64 zero bytes; repeated rows give repeated results;
+A row of a feature table holds a slice of files: three Arrow streams, of the files, of their tensors (Arrow's
+fixed-shape tensor type, with time spans) and of their segments.  ``analyse`` reads those back and
+digests them; ``mel_tensors`` and ``energy_segments`` give them as rows.
+
+Features are held in hundredths as integers: equal samples give equal values on machines whose numpy computes
+alike.  Null text counts as empty and gives 64 zero bytes; repeated rows, null and equal ids give results each;
 an empty table gives an empty one.  Extra columns are dropped by ``encode`` except the id.
-Each file is handled alone in blocks of ``BLOCK`` output samples: memory stays bounded for any length.
+Files are handled in slices of bounded bytes, each alone and in blocks of ``BLOCK_FRAMES`` frames: memory follows
+the longest file, not the number of rows.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm import textkernels as tk
+
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 UNIT = 64
 
@@ -196,108 +203,147 @@ def tensors(mels: np.ndarray, c: AudioConfig) -> np.ndarray:
 
 
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
+FEATURE_SCHEMA = "files binary, tensors binary, segments binary"
 TENSOR_SCHEMA = "doc_id long, tensor_no int, start_s double, end_s double, frames int, tensor array<float>"
+FILES = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64())]
+)
+RESULT = pa.schema([*list(FILES)[:-1], ("feature", pa.string()), ("n_segments", pa.int32()), ("active_s", pa.float64())])
+
+
+def tensor_schema(c: AudioConfig) -> pa.Schema:
+    """A file's number in its slice, the tensor's in its file, its time span, its real rows and hundredths."""
+    return pa.schema([("file", pa.int32()), ("tensor_no", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("tensor", pa.fixed_shape_tensor(pa.int16(), (c.tensor_frames, c.mels)))])
+
+
+SEGMENTS = pa.schema([("file", pa.int32()), ("segment_no", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
 def encode(docs: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
     """``doc_id, n_bytes, media``: the media table's rows for ``doc_id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = part.column("text").to_pylist()
-                sizes = [len((t or "").encode("utf-8")) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([write_wav(payload(t), config.rate) for t in texts], pa.binary())],
-                    names=["doc_id", "n_bytes", "media"],
-                )
+        for part in tk.slices(batches, "text"):
+            texts = part.column("text").to_pylist()
+            sizes = [len((t or "").encode("utf-8")) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([write_wav(payload(t), config.rate) for t in texts], pa.binary())],
+                names=["doc_id", "n_bytes", "media"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MEDIA_SCHEMA)
 
 
-def analyse(media: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
-    """Per stored file: sizes and digests of what was read back, and a digest of its features.
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(stream: bytes) -> pa.Table:
+    return pa.ipc.open_stream(stream).read_all().combine_chunks()
+
+
+def store_features(media: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
+    """``files, tensors, segments``: Arrow streams of slices of stored files, to be written as a table."""
+    c = config
+    kind = tensor_schema(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tk.slices(batches, "media"):
+            files, cubes, spans = [], [], []
+            for doc_id, n_bytes, media in zip(*(part.column(k).to_pylist() for k in ("doc_id", "n_bytes", "media")), strict=True):
+                got = features(media, c)
+                samples = got["samples"]
+                files.append((doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), len(got["mels"])))
+                cubes.append(tensors(got["mels"], c).astype(np.int16))
+                spans.append(np.array(got["segments"], dtype=np.int64).reshape(-1, 2))
+            n_frames = np.array([f[-1] for f in files], dtype=np.int64)
+            owner, number = _numbered([len(x) for x in cubes])
+            rows = np.minimum(c.tensor_frames, n_frames[owner] - number * c.tensor_frames)
+            start = number * (c.tensor_frames * c.hop / c.out_rate)
+            end = start + ((rows - 1) * c.hop + c.frame) / c.out_rate
+            cube = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(np.concatenate(cubes)))
+            stored = pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array(number, pa.int32()), pa.array(start), pa.array(end), pa.array(rows, pa.int32()), cube.cast(kind.field("tensor").type)], schema=kind)
+            seg_owner, seg_number = _numbered([len(x) for x in spans])
+            span = np.concatenate(spans)
+            times = span * (c.hop / c.out_rate)
+            segs = pa.RecordBatch.from_arrays([pa.array(seg_owner, pa.int32()), pa.array(seg_number, pa.int32()), pa.array(span[:, 0]), pa.array(span[:, 1]), pa.array(times[:, 0]), pa.array(times[:, 1])], schema=SEGMENTS)
+            listed = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*files, strict=True), FILES, strict=True)], schema=FILES)
+            yield pa.RecordBatch.from_arrays([pa.array([_stream(x)], pa.binary()) for x in (listed, stored, segs)], names=["files", "tensors", "segments"])
+
+    return media.mapInArrow(run, FEATURE_SCHEMA)
+
+
+def _numbered(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, number within the owner) of so many things each."""
+    n = np.array(counts, dtype=np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _rows_of(column: pa.ChunkedArray, owner: np.ndarray, n: int) -> Iterator[slice]:
+    """The rows of each file among rows that are sorted by file."""
+    bounds = np.searchsorted(owner, np.arange(n + 1)).tolist()
+    return (slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def analyse(stored: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
+    """Per file, from a stored feature table: sizes and digests of what was read back, and a digest of its features.
 
     ``feature`` reads ``<frames>x<mels>:<tensors>:<segments>:<sha256>``; the digest is over the
-    tensors and the segments' frame spans.
+    tensors, their time spans and the segments' frame spans.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments int, active_s double"
+    c = config
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, n_bytes, media in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n_bytes", "media")), strict=True):
-                got = features(media, config)
-                cube = tensors(got["mels"], config)
-                spans = np.array(got["segments"], dtype="<i8").reshape(-1, 2)
-                digest = hashlib.sha256(cube.astype("<i4").tobytes() + spans.tobytes()).hexdigest()
-                rows.append(
-                    {
-                        "doc_id": doc_id,
-                        "n_bytes": n_bytes,
-                        "payload_bytes": len(got["samples"]),
-                        "payload_sha256": hashlib.sha256(got["samples"]).hexdigest(),
-                        "tail_crc32": zlib.crc32(got["samples"][-UNIT:]),
-                        "media_bytes": len(media),
-                        "media_sha256": hashlib.sha256(media).hexdigest(),
-                        "feature": f"{len(got['mels'])}x{config.mels}:{len(cube)}:{len(spans)}:{digest}",
-                        "n_segments": len(spans),
-                        "active_s": float((spans[:, 1] - spans[:, 0]).sum() * config.hop / config.out_rate),
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW_FEATURES)
-
-    return media.mapInArrow(run, schema)
-
-
-ARROW_FEATURES = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_segments", pa.int32()), ("active_s", pa.float64())]
-)
-
-
-def mel_tensors(media: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
-    """One row per fixed-shape tensor with its time span; ``tensor`` is row-major decibels."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("tensor_no", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("tensor", pa.list_(pa.float32()))])
+            for row in batch.to_pylist():
+                files, cubes, spans = (_table(row[k]) for k in ("files", "tensors", "segments"))
+                n = files.num_rows
+                cube = cubes.column("tensor").combine_chunks()
+                values = cube.to_numpy_ndarray()
+                times = np.stack([cubes.column(k).to_numpy() for k in ("start_s", "end_s")], axis=1)
+                frames = np.stack([spans.column(k).to_numpy() for k in ("first", "last")], axis=1)
+                active = np.bincount(spans.column("file").to_numpy(), spans.column("end_s").to_numpy() - spans.column("start_s").to_numpy(), n)
+                texts, counts = [], []
+                of_file = zip(_rows_of(cubes, cubes.column("file").to_numpy(), n), _rows_of(spans, spans.column("file").to_numpy(), n), files.column("n_frames").to_pylist(), strict=True)
+                for own, segs, n_frames in of_file:
+                    digest = hashlib.sha256(values[own].tobytes() + times[own].tobytes() + frames[segs].tobytes()).hexdigest()
+                    texts.append(f"{n_frames}x{c.mels}:{own.stop - own.start}:{segs.stop - segs.start}:{digest}")
+                    counts.append(segs.stop - segs.start)
+                columns = [files.column(k).combine_chunks() for k in RESULT.names[:7]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(active)], schema=RESULT)
+
+    return stored.select("files", "tensors", "segments").mapInArrow(run, schema)
+
+
+def mel_tensors(stored: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
+    """One row per stored tensor with its time span; ``tensor`` is row-major decibels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                mels = features(media, config)["mels"]
-                cube = tensors(mels, config)
-                first = np.arange(len(cube)) * config.tensor_frames
-                frames = np.minimum(config.tensor_frames, len(mels) - first)
-                start = first * config.hop / config.out_rate
-                end = ((first + frames - 1) * config.hop + config.frame) / config.out_rate
-                flat = pa.array((cube.reshape(-1) / 100).astype(np.float32))
-                each = config.tensor_frames * config.mels
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cube) + 1) * each, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(cube), pa.int64()), pa.array(np.arange(len(cube)), pa.int32()), pa.array(start), pa.array(end), pa.array(frames, pa.int32()), lists], schema=arrow)
+            for row in batch.to_pylist():
+                ids, cubes = _table(row["files"]).column("doc_id").combine_chunks(), _table(row["tensors"])
+                flat = (cubes.column("tensor").combine_chunks().to_numpy_ndarray().reshape(-1) / 100).astype(np.float32)
+                size = config.tensor_frames * config.mels
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(cubes.num_rows + 1) * size, pa.int32()), pa.array(flat))
+                columns = [cubes.column(k).combine_chunks() for k in ("tensor_no", "start_s", "end_s", "frames")]
+                yield pa.RecordBatch.from_arrays([ids.take(cubes.column("file").combine_chunks()), *columns, lists], names=["doc_id", "tensor_no", "start_s", "end_s", "frames", "tensor"])
 
-    return media.mapInArrow(run, TENSOR_SCHEMA)
+    return stored.select("files", "tensors").mapInArrow(run, TENSOR_SCHEMA)
 
 
-def energy_segments(media: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
-    """One row per active segment: ``doc_id, segment_no, start_s, end_s``."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("segment_no", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+def energy_segments(stored: DataFrame) -> DataFrame:
+    """One row per stored segment: ``doc_id, segment_no, start_s, end_s``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                spans = np.array(features(media, config)["segments"], dtype=np.int64).reshape(-1, 2)
-                times = spans * config.hop / config.out_rate
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(spans), pa.int64()), pa.array(np.arange(len(spans)), pa.int32()), pa.array(times[:, 0]), pa.array(times[:, 1])], schema=arrow)
-
-    return media.mapInArrow(run, "doc_id long, segment_no int, start_s double, end_s double")
-
-
-def as_tensor_table(table: pa.Table, config: AudioConfig = AudioConfig()) -> pa.Table:
-    """An Arrow table of :func:`mel_tensors` rows with ``tensor`` as Arrow's fixed-shape tensor type."""
-    shape = (config.tensor_frames, config.mels)
-    kind = pa.fixed_shape_tensor(pa.float32(), shape)
-    at = table.schema.get_field_index("tensor")
-    chunks = []
-    for chunk in table.column(at).cast(pa.list_(pa.float32())).chunks:
-        fixed = pa.FixedSizeListArray.from_arrays(chunk.flatten(), shape[0] * shape[1])
-        chunks.append(pa.ExtensionArray.from_storage(kind, fixed))
-    return table.set_column(at, pa.field("tensor", kind), pa.chunked_array(chunks, type=kind))
+            for row in batch.to_pylist():
+                ids, spans = _table(row["files"]).column("doc_id").combine_chunks(), _table(row["segments"])
+                columns = [spans.column(k).combine_chunks() for k in ("segment_no", "start_s", "end_s")]
+                yield pa.RecordBatch.from_arrays([ids.take(spans.column("file").combine_chunks()), *columns], names=["doc_id", "segment_no", "start_s", "end_s"])
+
+    return stored.select("files", "segments").mapInArrow(run, "doc_id long, segment_no int, start_s double, end_s double")

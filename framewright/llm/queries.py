@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import audio, bpe, chat, decontam, licenses, near_dup, pii, quality, token_files, toxicity
-from framewright.llm.scratch import materialize
+from framewright.llm.scratch import bound_batches, materialize
 from framewright.llm.training import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes as a stored 8-bit audio file, read back and analysed."""
+    """Every document's bytes as a stored 8-bit audio file; its features from there, stored as tensors and read back."""
     media = materialize(audio.encode(table(spark, sf_dir, "documents")), "media")
-    return audio.analyse(media)
+    return audio.analyse(materialize(audio.store_features(media), "features"))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -69,7 +69,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of every document lie in windows of which benchmark items."""
-    found = decontam.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontam.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), matches=False)
     c = F.col("contamination")
     return found.select(
         "doc_id",
