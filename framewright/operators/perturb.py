@@ -128,8 +128,9 @@ def inject_ghost(points: DataFrame, ghost: DataFrame, frame: str, tolerance: flo
 
     ``ghost`` (x, y, z, intensity) is one object's scan, a few thousand points; it meets each frame once.
     """
+    cloud = ghost.agg(F.collect_list(F.struct(*ghost.columns))).scalar()
     frames = points.select(frame).distinct()
-    added = frames.crossJoin(ghost).withColumn("point_idx", (F.row_number().over(W.partitionBy(frame).orderBy("x", "y", "z")) + (1 << 24)).cast("int"))
+    added = frames.withColumn("_g", F.explode(cloud)).select(frame, "_g.*").withColumn("point_idx", (F.row_number().over(W.partitionBy(frame).orderBy("x", "y", "z")) + (1 << 24)).cast("int"))
     with_beam = lambda df: df.withColumn("_b", g.beam(F.col("x"), F.col("y"), F.col("z"))).withColumns({"az": F.col("_b.az"), "el": F.col("_b.el")}).drop("_b")
     blocked = within_angle(with_beam(points), with_beam(added), frame, "point_idx", tolerance)
     kept = points.join(blocked, [frame, "point_idx"], "left_anti").withColumn("injected", F.lit(False))

@@ -46,7 +46,7 @@ def read_split(spark: SparkSession, path: str, head: int | None = None) -> DataF
 
 def dataset(points: DataFrame, labels: DataFrame, calibration: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """One row per frame that has points: counts and its calibration; ``wanted`` limits the ids first."""
-    p = points if wanted is None else points.join(F.broadcast(wanted.select("frame_id")), "frame_id", "left_semi")
+    p = points if wanted is None else points.join(wanted.select("frame_id"), "frame_id", "left_semi")
     frames = p.groupBy("frame_id").agg(F.count("*").alias("n_points"))
     counts = labels.groupBy("frame_id").agg(F.count("*").alias("n_labels"))
     return frames.join(counts, "frame_id", "left").join(calibration, "frame_id", "left").na.fill(0, ["n_labels"])

@@ -28,7 +28,7 @@ def frames(sweeps: DataFrame, samples: DataFrame, scenes: DataFrame, key_frames_
     scene_token; ``scenes``: token, name.  Scenes are limited before anything else is read for them.
     """
     picked = scenes if scene_names is None else scenes.filter(F.col("name").isin(scene_names))
-    s = samples.join(F.broadcast(picked.select(F.col("token").alias("scene_token"), F.col("name").alias("sequence_id"))), "scene_token").select(F.col("token").alias("sample_token"), "sequence_id")
+    s = samples.join(picked.select(F.col("token").alias("scene_token"), F.col("name").alias("sequence_id")), "scene_token").select(F.col("token").alias("sample_token"), "sequence_id")
     rows = sweeps.join(s, "sample_token").select(F.col("token").alias("frame_id"), "sequence_id", (F.col("timestamp") / 1e6).alias("ts"), F.col("is_key_frame").alias("is_keyframe"), "sample_token")
     if key_frames_only:
         rows = rows.filter("is_keyframe")
@@ -56,11 +56,13 @@ def labels(annotations: DataFrame, frames: DataFrame) -> DataFrame:
 def accumulate(frames: DataFrame, points: DataFrame, sweeps: int = 10, span: float = 0.5) -> DataFrame:
     """Points of up to ``sweeps`` frames within ``span`` seconds, moved into the newest frame, with their lag.
 
-    Earlier frames without a pose are skipped; the frame's own points have lag 0.
+    Earlier frames without a pose are skipped; the frame's own points have lag 0.  Frames meet by scene and
+    time cell: an earlier frame within ``span`` is in the newest one's cell or the one before.
     """
-    now = frames.select(F.col("frame_id").alias("into"), "sequence_id", F.col("ts").alias("now"), F.col("ego_pose").alias("here"))
-    past = frames.select("frame_id", F.col("sequence_id").alias("_s"), F.col("ts"), F.col("ego_pose"))
-    pairs = now.join(past, (F.col("sequence_id") == F.col("_s")) & (F.col("ts") <= F.col("now")) & (F.col("ts") >= F.col("now") - span)).filter((F.col("frame_id") == F.col("into")) | (F.col("ego_pose").isNotNull() & F.col("here").isNotNull()))
+    cell = F.floor(F.col("ts") / span)
+    now = frames.select(F.col("frame_id").alias("into"), "sequence_id", F.col("ts").alias("now"), F.col("ego_pose").alias("here"), cell.alias("cell"))
+    past = frames.select("frame_id", F.col("sequence_id").alias("_s"), "ts", "ego_pose", F.explode(F.array(cell, cell + 1)).alias("_c"))
+    pairs = now.join(past, (F.col("sequence_id") == F.col("_s")) & (F.col("cell") == F.col("_c")) & (F.col("ts") <= F.col("now")) & (F.col("ts") >= F.col("now") - span)).filter((F.col("frame_id") == F.col("into")) | (F.col("ego_pose").isNotNull() & F.col("here").isNotNull()))
     rank = F.row_number().over(W.partitionBy("into").orderBy(F.desc("ts"), "frame_id"))
     chosen = pairs.withColumn("_n", rank).filter(F.col("_n") <= sweeps)
     move = F.when(F.col("frame_id") != F.col("into"), g.matmul4(g.rigid_inverse(F.col("here")), F.col("ego_pose")))

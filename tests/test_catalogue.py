@@ -290,6 +290,74 @@ def test_judge_is_asked_what_the_cache_lacks(spark):
     assert got == {0: "Q0", 1: "cached", 2: "Q2", 3: "Q3", 4: "cached", 5: "Q5"}
 
 
+def test_sweeps_are_gathered_within_their_span(spark):
+    import numpy as np
+
+    from framewright.sources import scenes
+
+    rng = np.random.default_rng(4)
+    frames, points = [], []
+    for scene in "ab":
+        for k, ts in enumerate(np.sort(rng.uniform(0, 4, 25)).tolist()):
+            pose = [1.0, 0.0, 0.0, float(k), 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0] if k % 5 else None
+            frames.append((f"{scene}{k}", scene, ts, pose))
+            points.append((f"{scene}{k}", 0, 1.0, 2.0, 3.0, 0.5))
+    f = spark.createDataFrame(frames, "frame_id string, sequence_id string, ts double, ego_pose array<double>")
+    p = spark.createDataFrame(points, "frame_id string, point_idx int, x double, y double, z double, intensity double")
+    got = {(r.frame_id, r.from_frame): (round(r.x, 6), round(r.lag, 6)) for r in scenes.accumulate(f, p, sweeps=3, span=0.5).collect()}
+    want = {}
+    for into, scene, now, here in frames:
+        past = [(ts, name, pose) for name, s, ts, pose in frames if s == scene and now - 0.5 <= ts <= now and (name == into or (pose and here))]
+        for ts, name, pose in sorted(past, key=lambda r: (-r[0], r[1]))[:3]:
+            want[into, name] = (round(1.0 if name == into else 1.0 + pose[3] - here[3], 6), round(now - ts, 6))
+    assert got == want
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from framewright.sources import reports
+
+    runs = [{"attack_effectiveness": {"attacked_map": {"Car": {"Easy": 0.5}}}, "detection_rate": {"overall": {"absolute_drop": 0.25}}, "timing_metrics": {"n_frames": 3, "total": {"mean": 1.5}}}, {"defense_effectiveness": {"f1": 0.75, "tpr": None}}]
+    s = spark.createDataFrame([(k + 1, json.dumps(r)) for k, r in enumerate(runs)], "budget int, summary string")
+    reports.write_reports(s, "budget", "b", str(tmp_path), ["Car"], ["Easy", "Hard"])
+    read = lambda kind: spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / f"sweep_b_{kind}")).toPandas()
+    ap = read("ap")
+    assert ap.columns.tolist() == ["budget", "car_ap_easy", "car_ap_hard"] and ap.car_ap_easy[0] == 0.5 and ap.iloc[1, 1:].isna().all() and ap.car_ap_hard.isna().all()
+    assert read("defense_effectiveness").detection_f1[1] == 0.75 and read("detection_rate").absolute_drop[0] == 0.25
+    assert read("timing_metrics").columns.tolist() == ["budget", "n_frames", "total_mean", "total_median", "total_std"]
+    assert len(reports.KINDS) == 10
+    lines = spark.createDataFrame([(1, 0.9, 0.1), (1, 0.1, 0.8), (2, 0.5, 0.5)], "budget int, recall double, precision double")
+    got = [json.loads(r.value) for r in spark.createDataFrame([(r,) for r in reports.curves(lines, "budget", "recall").toJSON().collect()], "value string").collect()]
+    assert sorted((g["budget"], [p["recall"] for p in g["curves"]]) for g in got) == [(1, [0.1, 0.9]), (2, [0.5])]
+    whole = reports.summary(a=spark.range(3).selectExpr("count(*) as n"), b=spark.range(2).selectExpr("max(id) as m")).first()
+    assert (whole.a.n, whole.b.m) == (3, 1)
+    meta = json.loads(reports.run_metadata(spark, {"budget": 3, "noise": runs, "seed": 1}, "budget", {"preset": runs}).first()[0])
+    assert meta["args"] == {"noise": "preset", "seed": 1} and meta["sweep_param"] == "budget"
+    named = spark.createDataFrame([("x/ap_budget_20.csv", 1), ("x/ap_budget_100.csv", 2), ("x/none.csv", 3)], "path string, v int")
+    assert [r.v for r in reports.by_budget(named, "path").collect()] == [1, 2]
+
+
+def test_spoofed_counts_and_resume(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    from framewright.sources import reports
+
+    meta = json.dumps({"removed_per_obj": [{"label_type": "Car", "n_removed": 3, "reinjected_centroid": [1, 2, 3]}, {"label_type": "Car", "n_removed": 0}]})
+    verdict = json.dumps({"cluster_details": [{"centroid": [1.5, 2, 3]}, {"centroid": [9, 9, 9]}]})
+    f = spark.createDataFrame([("r", "f1", True, meta, (True, 1.0, verdict)), ("r", "f2", False, None, (False, 0.0, verdict))], "run string, frame_id string, is_attacked boolean, attack_metadata string, defense_result struct<is_attack_detected: boolean, confidence: double, metadata: string>")
+    row = reports.spoofed_summary(f, 1.0).first()
+    assert (row.attacked_objects, row.attacked_frames, row.spoofed_clusters, row.missing, row.missing_percent) == (2, 1, 1, 1, 50.0)
+    scenes = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("q", "a", 3)], "run string, sequence_id string, x int")
+    reports.write_scenes(scenes.filter("run = 'r' and sequence_id = 'a'"), str(tmp_path / "done"))
+    left = reports.remaining_scenes(scenes, spark.read.parquet(str(tmp_path / "done")))
+    assert sorted(r.x for r in left.collect()) == [2, 3]
+    np.save(tmp_path / "ghost.npy", np.arange(8.0).reshape(2, 4))
+    assert [tuple(r) for r in reports.read_ghost(spark, str(tmp_path / "ghost.npy")).collect()] == [(0, 1, 2, 3), (4, 5, 6, 7)]
+
+
 def test_zero_denominators(spark):
     from framewright.operators import metrics
 
