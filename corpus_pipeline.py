@@ -2,6 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes it as Parquet in the
 shared folder and the next stage reads it.  All stages but the last return the columns of ``documents``.
+
+Defined results, as the operators have them: null text counts as empty; repeated rows and null ids are of the
+class of their text, of which one row stays; an empty table gives an empty one; columns that are named like an
+operator's own pass through, up to the last stage, which returns ids, counts and digests.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import bpe, decontam, near_dup, pii, quality
 from framewright.llm.queries import DEMONSTRATION_KEY, table, tokenizer_path
-from framewright.llm.scratch import materialize
+from framewright.llm.scratch import discard, materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(before)  # the next stage's table is whole
     return docs

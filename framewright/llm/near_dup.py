@@ -17,11 +17,10 @@ candidates; a link is a candidate pair whose weighted Jaccard similarity, over t
 Nodes are distinct texts: copies never meet in a bucket.  A bucket is dealt in chunks of bounded size.
 A chunk is searched in full: one member after another is compared with all members of other components, until
 every untested pair lies inside one component, so that a chunk of near copies costs one comparison each.
-A bucket of several chunks sends a few pivots to all of them.  What then is still apart in it is searched
-by prefix: any two similar texts share a shingle among the rarest that make up a fifth of the weight of either,
-so those shingles are buckets of their own.  In prefix buckets of several chunks all that is still apart from
-the component of most members is compared with all members, chunk by chunk.  So no link between candidates is
-lost.
+A bucket of several chunks sends a few pivots to all of them.  What then is still apart from the component of
+most members, the base, is compared with all members of all buckets of that base, chunk by chunk.  Where that
+is very much it is first searched by prefix: any two similar texts share a shingle among the rarest that make up a
+fifth of the weight of either, so those shingles are buckets of their own.  So no link between candidates is lost.
 
 Defined results: null text counts as empty; documents without words form classes by equal text; repeated
 rows and null ids share the class of their text; the class id is the least document id in the class
@@ -55,6 +54,8 @@ POOL = 1 << 12
 CHUNK, CHUNK_SHINGLES = 200, 400_000
 #: Members that a bucket of several chunks sends to all of them.
 FEW_PIVOTS = 8
+#: Chunks of texts apart from one base beyond which they are searched by prefix first.
+MOST_BLOCKS = 32
 #: A bucket of more rows than this, and than a thousandth of all, is joined by broadcast: there are at most 1,000.
 HOT_ROWS = 1_000
 ROUNDING = 1e-9
@@ -264,7 +265,7 @@ def count_df(sliced: DataFrame, width: int, n_parts: int) -> DataFrame:
             for number, data in zip(batch.column("slice").to_pylist(), batch.column("batch"), strict=True):
                 key, n = np.unique(Shingles.of(documents_of(data.as_py()).column("text").combine_chunks(), width).key, return_counts=True)
                 used, first = np.unique(part_of(key, n_parts), return_index=True)
-                spans = list(zip(first, [*first[1:], len(key)], strict=True))
+                spans = list(zip(first, np.append(first, len(key))[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used, pa.int32()), pa.array(np.full(len(used), number)), pa.array([packed(key[i:j]) for i, j in spans], pa.binary()), pa.array([n[i:j].astype(np.uint32).tobytes() for i, j in spans], pa.binary())],
                     names=["part", "slice", "shingles", "counts"],
@@ -334,6 +335,7 @@ class NearDuplicates:
         discard(sliced)
         release(self.spark)
         self.comps = self._link()
+        discard(self.texts)
 
     def _sign(self, sliced: DataFrame, n_parts: int) -> DataFrame:
         """``doc_id, node, keys, df``: band keys, and the frequencies of the sorted distinct shingles."""
@@ -362,20 +364,25 @@ class NearDuplicates:
     def _link(self) -> DataFrame:
         """``node, comp`` of every text that has a verified link."""
         c = self.c
-        texts = self.signatures.select("node", "keys", "df").dropDuplicates(["node"])
-        members, buckets = self._bucketed(texts.select("node", F.octet_length("df").alias("bytes"), F.posexplode("keys").alias("band", "key")))
+        texts = self.signatures.select("node", "keys", F.octet_length("df").alias("bytes")).dropDuplicates(["node"])
+        members, buckets = self._bucketed(texts.select("node", "bytes", F.posexplode("keys").alias("band", "key")))
         candidates = members.select("node").distinct()
         bits = bit_filter(candidates)
         maybe = with_node(self.docs.select(F.col(self.text_col).cast("string").alias("text")), "text", "node", "maybe", bits).filter("maybe").select("node", "text")
         known = self.signatures.select("node", "df").join(candidates, "node", "left_semi").dropDuplicates(["node"])
         self.texts = materialize(maybe.join(candidates, "node", "left_semi").dropDuplicates(["node"]).join(known, "node"), "texts")
-        comps, apart = self._search(members, buckets, None)
-        if apart is not None:
-            still = self._of_bucket(members, apart.select("key").distinct(), buckets).select("node").distinct()
-            members, buckets = self._bucketed(self._prefixes(still))
-            comps, apart = self._search(members, buckets, comps)
+        comps, now, apart = self._search(members, buckets, None)
+        if apart is None:
+            return comps
+        left, right, sizes = self._by_base(now, apart, buckets)
+        many = sizes.filter(F.col("blocks") > MOST_BLOCKS)
+        comps = self._merge(comps, self._compare_apart(left, right, sizes.filter(F.col("blocks") <= MOST_BLOCKS)))
+        if many.head(1):
+            nodes = right.join(many.select("base"), "base", "left_semi").select("node").distinct()
+            members, buckets = self._bucketed(self._prefixes(nodes))
+            comps, now, apart = self._search(members, buckets, comps)
             if apart is not None:
-                comps = self._merge(comps, self._compare_apart(apart, members, buckets))
+                comps = self._merge(comps, self._compare_apart(*self._by_base(now, apart, buckets)))
         return comps
 
     def _bucketed(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -385,7 +392,7 @@ class NearDuplicates:
         once = many.groupBy("n", "lo", "hi", "set").agg(F.min(F.struct("band", "key")).alias("first"), F.max("bytes").alias("bytes"))
         chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("bytes") / (4 * CHUNK_SHINGLES))).cast("int")
         buckets = materialize(once.select(F.col("first.key").alias("key"), F.col("first.band").alias("band"), "n", chunks.alias("chunks")), "buckets")
-        return materialize(self._of_bucket(rows.select("node", "key"), buckets, buckets), "members"), buckets
+        return materialize(self._of_bucket(rows.select("node", "bytes", "key"), buckets, buckets), "members"), buckets
 
     def _of_bucket(self, rows: DataFrame, per_key: DataFrame, buckets: DataFrame) -> DataFrame:
         """``rows`` joined with a table that has at most one row per bucket; no hot bucket's rows meet in one task."""
@@ -395,9 +402,9 @@ class NearDuplicates:
             return rows.join(per_key, "key")
         return spread_join(rows, per_key, "key", buckets.filter(F.col("n") > hot).select("key"))
 
-    def _search(self, members: DataFrame, buckets: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-        """Components after a search of all chunks and of a few pivots, and the members of buckets of several
-        chunks that are still apart from the base, which is the component of most of their bucket."""
+    def _search(self, members: DataFrame, buckets: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """Components after a search of all chunks and of a few pivots; of buckets of several chunks all members,
+        and those that are still apart from the base, which is the component of most of their bucket."""
         named = self._named_members(members, comps)
         if comps is not None:
             several = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several").select("key")
@@ -407,17 +414,17 @@ class NearDuplicates:
         pivots = large.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "chunks")).alias("p")).select("key", "p.*")
         comps = self._merge(comps, self._compare(pivots, named))
         if not buckets.filter("chunks > 1").head(1):
-            return comps, None
+            return comps, None, None
         now = materialize(self._named_members(large.drop("comp"), comps), "named")
         size = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
         base = size.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("base"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
         apart = materialize(self._of_bucket(now, base, buckets).filter("comp <> base"), "apart")
-        return comps, apart if apart.head(1) else None
+        return comps, now, apart if apart.head(1) else None
 
     def _named_members(self, members: DataFrame, comps: DataFrame | None) -> DataFrame:
         if comps is None:
-            return members.select("key", "node", "chunks", F.col("node").alias("comp"))
-        return members.join(comps, "node", "left").select("key", "node", "chunks", F.coalesce("comp", "node").alias("comp"))
+            return members.select("key", "node", "bytes", "chunks", F.col("node").alias("comp"))
+        return members.join(comps, "node", "left").select("key", "node", "bytes", "chunks", F.coalesce("comp", "node").alias("comp"))
 
     def _compare(self, pivots: DataFrame, members: DataFrame) -> DataFrame:
         """Links of members with those of their chunk, and with the pivots of their bucket."""
@@ -427,20 +434,27 @@ class NearDuplicates:
         tasks = dealt.unionByName(sent).withColumn("pivot", F.lit(False))
         return materialize(tasks.groupBy("key", "chunk").applyInArrow(self._verifier(among_all=True), "a binary, b binary"), "links")
 
-    def _compare_apart(self, apart: DataFrame, members: DataFrame, buckets: DataFrame) -> DataFrame:
-        """Links of all that are apart from their bucket's base with all members of the bucket.
+    def _by_base(self, now: DataFrame, apart: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """``base, node, comp`` of what is apart and of all members of the buckets it is in, and one row per
+        base: how many chunks each has."""
+        left = materialize(apart.select("base", "node", "comp", "bytes").distinct(), "left")
+        right = materialize(self._of_bucket(now, apart.groupBy("key").agg(F.first("base").alias("base")), buckets).select("base", "node", "comp", "bytes").distinct(), "right")
+        chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / (4 * CHUNK_SHINGLES))).cast("int")
+        sizes = left.groupBy("base").agg(chunks.alias("blocks")).join(right.groupBy("base").agg(chunks.alias("chunks"), F.count("*").alias("n")), "base")
+        return left, right, materialize(sizes, "bases")
+
+    def _compare_apart(self, left: DataFrame, right: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Links of all that is apart from a base with all members of its buckets.
 
         Both sides are dealt in chunks, and every chunk of the first meets every chunk of the second once.
         """
-        per_key = apart.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"), F.max("base").alias("base"))
-        block, chunk = (F.pmod(F.xxhash64("node", "key"), F.col(c)).cast("int") for c in ("blocks", "chunks"))
+        block, chunk = (F.pmod(F.xxhash64("node", "base"), F.col(c)).cast("int") for c in ("blocks", "chunks"))
         others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        one = self._of_bucket(apart.drop("base"), per_key, buckets).join(self.texts, "node")
-        left = one.select("key", others("chunks").alias("chunk"), block.alias("block"), "node", "comp", F.lit(True).alias("pivot"), "text", "df")
-        all_ = self._of_bucket(members.select("key", "node", "chunks"), per_key, buckets).join(apart.select("key", "node", "comp"), ["key", "node"], "left").join(self.texts, "node")
-        right = all_.select("key", chunk.alias("chunk"), others("blocks").alias("block"), "node", F.coalesce("comp", "base").alias("comp"), F.lit(False).alias("pivot"), "text", "df")
-        tasks = left.unionByName(right)
-        return materialize(tasks.groupBy("key", "chunk", "block").applyInArrow(self._verifier(among_all=False), "a binary, b binary"), "links")
+        hot = sizes.filter(F.col("n") > max(HOT_ROWS, self.total // 1000)).select("base")
+        meet = lambda rows: spread_join(rows, sizes.select("base", "blocks", "chunks"), "base", hot).join(self.texts, "node")
+        one = meet(left).select("base", others("chunks").alias("chunk"), block.alias("block"), "node", "comp", F.lit(True).alias("pivot"), "text", "df")
+        two = meet(right).select("base", chunk.alias("chunk"), others("blocks").alias("block"), "node", "comp", F.lit(False).alias("pivot"), "text", "df")
+        return materialize(one.unionByName(two).groupBy("base", "chunk", "block").applyInArrow(self._verifier(among_all=False), "a binary, b binary"), "links")
 
     def _shingled(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Shingles, np.ndarray, np.ndarray]]:
         """Slices of ``text, df`` with their shingles, weights and frequencies."""
