@@ -61,22 +61,37 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(bits from the top of each byte, bit offsets of every ``STRETCH``-th id)."""
+        coded, _, marks, _ = self.encode_many(ids, np.array([len(ids)]))
+        return coded.tobytes(), marks
+
+    def encode_many(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Several documents at once, ``counts`` ids each, every one from a whole byte on.
+
+        Given are the bytes and their number by document, and the bit offsets, from the document's own
+        start, of every ``STRETCH``-th id and their number by document.
+        """
         size = self.lengths[ids].astype(np.int64)
         if not size.all():
             raise ValueError("an id without a code")
-        stop = np.cumsum(size)
-        start = stop - size
-        if not len(ids):
-            return b"", start
-        word, room = start >> 5, 64 - (start & 31) - size
-        value = self.codes[ids] << room.astype(np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(word) > 0]))
-        wide = np.bitwise_or.reduceat(value, first)
-        out = np.zeros(int(stop[-1] >> 5) + 2, dtype=np.uint32)
-        at = word[first]
-        out[at] |= (wide >> np.uint64(32)).astype(np.uint32)
-        out[at + 1] |= (wide & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return out.astype(">u4").tobytes()[: int(-(-stop[-1] // 8))], start[::STRETCH]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        n_bytes = -(-(upto[ends] - upto[begins]) // 8)
+        first_bit = 8 * (np.cumsum(n_bytes) - n_bytes)
+        start = upto[:-1] + np.repeat(first_bit - upto[begins], counts)
+        out = np.zeros(int(n_bytes.sum()) // 4 + 3, dtype=np.uint32)
+        if len(ids):
+            word, room = start >> 5, 64 - (start & 31) - size
+            value = self.codes[ids] << room.astype(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], np.diff(word) > 0]))
+            wide = np.bitwise_or.reduceat(value, first)
+            at = word[first]
+            out[at] |= (wide >> np.uint64(32)).astype(np.uint32)
+            out[at + 1] |= (wide & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        n_marks = -(-counts // STRETCH)
+        owner = np.repeat(np.arange(len(counts)), n_marks)
+        place = begins[owner] + STRETCH * (np.arange(len(owner)) - np.repeat(np.cumsum(n_marks) - n_marks, n_marks))
+        return out.astype(">u4").view(np.uint8)[: int(n_bytes.sum())], n_bytes, start[place] - first_bit[owner], n_marks
 
     def decode(self, payload: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The ids of all stretches, which start at bit ``offsets`` and hold ``counts`` ids each.

@@ -10,7 +10,8 @@ Documents with null ids come first; equal ids are ordered by the checksum of the
 rows are kept.  Null text counts as empty: only the end id.  An empty corpus gives empty files.
 
 Scale: text is encoded once.  Only coded documents are shuffled, into shards bounded by quantiles
-of the document ids.  The driver sees one histogram (summed in a tree) and one row per shard.
+of the document ids; an id that fills several shards is dealt among them by checksum.  The driver sees one
+histogram (summed in a tree) and one row for each of at most ``MOST_SHARDS`` shards.
 """
 
 from __future__ import annotations
@@ -36,26 +37,54 @@ HEADER = struct.Struct("<8sIIIIQ")
 BLOCK_IDS = 1 << 16
 #: Ids that a shard, the unit of writing, is dealt on average.
 SHARD_IDS = 4 << 20
+#: Shards of one folder; a larger corpus has larger shards, which are sorted and written as streams.
+MOST_SHARDS = 10_000
+#: Pieces that the encoder keeps from one task to the next, some 100 MB.
+KEPT_PIECES = 400_000
 #: Coded bytes that are decoded together.
 DECODE_BYTES = 8 << 20
 
 
 def _encode_corpus(docs: DataFrame, path: str, end_id: int, vocabulary: int) -> DataFrame:
-    """Rows of ids, and one row per task with its counts."""
-    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-    narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    """Rows of ids with their checksum, and one row per task with its counts."""
+    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("payload", pa.binary())])
+    narrow = _narrow(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, dtype=np.int64)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for part in tk.slices(batches, "text"):
-            ids = [np.frombuffer(x + end, dtype="<u4") for x in bpe.encoder(path).encode(part.column("text").to_pylist())]
-            counts += np.bincount(np.concatenate(ids), minlength=vocabulary)
-            yield pa.RecordBatch.from_arrays([pa.array(["ids"] * len(ids)), part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(narrow).tobytes() for x in ids], pa.binary())], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array(["counts"]), pa.array([task_number()], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary())], schema=schema)
+        end = np.array([end_id], dtype="<u4")
+        with bpe.encoder(path, half=None, kept=KEPT_PIECES) as codec:
+            for part in tk.slices(batches, "text", bpe.ENCODE_BYTES):
+                whole = [np.concatenate([x, end]) for x in codec.encode_column(part.column("text"))]
+                ids = np.concatenate(whole)
+                counts += np.bincount(ids, minlength=vocabulary)
+                sizes = np.array([len(x) for x in whole], dtype=np.int64)
+                crc = pa.array([zlib.crc32(x) for x in whole], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(["ids"] * len(whole)), part.column("doc_id"), pa.array(sizes), crc, _ragged(ids.astype(narrow), sizes)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(["counts"]), pa.array([task_number()], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary())], schema=schema)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return picked.mapInArrow(run, "kind string, doc_id long, n_tokens long, payload binary")
+    return picked.mapInArrow(run, "kind string, doc_id long, n_tokens long, crc long, payload binary")
+
+
+#: Where null ids stand.
+NULL_ID = -(1 << 63)
+
+
+def shard_of(ids: np.ndarray, crc: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Shards that ascend with (id, checksum): an id that fills several is dealt among them by checksum."""
+    first, last = np.searchsorted(edges, ids, "left"), np.searchsorted(edges, ids, "right")
+    return (first + ((crc * (last - first + 1)) >> 32)).astype(np.int32)
+
+
+def _narrow(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _ragged(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Stretches of an array as binaries, without a copy."""
+    ends = (np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def pack_block(doc_ids: list[int | None], parts: list[tuple[bytes, np.ndarray, int]]) -> bytes:
@@ -99,24 +128,24 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
         counts = np.zeros(vocabulary, dtype=np.int64)
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()), int(counts.sum()))], "lengths binary, n_tokens long").coalesce(1).write.parquet(f"{folder}/code")
-    shards = max(1, -(-int(counts.sum()) // shard_ids))
+    shards = min(MOST_SHARDS, max(1, -(-int(counts.sum()) // shard_ids)))
     ids = encoded.filter("kind = 'ids'")
     at = [k / shards for k in range(1, shards)]
-    bounds = (ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), 100 * shards)).first()[0] or []) if at else []
+    place = F.coalesce("doc_id", F.lit(NULL_ID))
+    bounds = (ids.agg(F.percentile_approx(place, F.array(*map(F.lit, at)), 100 * shards)).first()[0] or []) if at else []
     sent = spark.sparkContext.broadcast((lengths.tobytes(), np.array(bounds, dtype=np.int64)))
-    narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    narrow = _narrow(vocabulary)
     coded_schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("n_tokens", pa.int64()), ("coded", pa.binary()), ("marks", pa.binary())])
     block_schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("tokens_before", pa.int64()), ("data", pa.binary())])
 
     def code_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, edges = Code(np.frombuffer(sent.value[0], dtype=np.uint8)), sent.value[1]
         for part in tk.slices(batches, "payload"):
-            ids = [np.frombuffer(x, dtype=narrow) for x in part.column("payload").to_pylist()]
-            size = np.array([len(x) for x in ids], dtype=np.int64)
-            coded = [code.encode(x) for x in ids]
-            shard = np.searchsorted(edges, part.column("doc_id").fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
-            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), part.column("doc_id"), pa.array(crc, pa.int64()), pa.array(size), pa.array([x for x, _ in coded], pa.binary()), pa.array([m.astype("<u8").tobytes() for _, m in coded], pa.binary())], schema=coded_schema)
+            size = part.column("n_tokens").to_numpy()
+            data, offsets = tk.text_bytes(part.column("payload"))
+            coded, n_bytes, marks, n_marks = code.encode_many(np.frombuffer(data.tobytes(), dtype=narrow), size)
+            shard = shard_of(part.column("doc_id").fill_null(NULL_ID).to_numpy(), part.column("crc").to_numpy(), edges)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), part.column("doc_id"), part.column("crc"), part.column("n_tokens"), _ragged(coded, n_bytes), _ragged(marks.astype("<u8"), n_marks)], schema=coded_schema)
 
     def build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, before, held = None, 0, 0, []
@@ -139,7 +168,7 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
         if held:
             yield close()
 
-    coded = ids.select("doc_id", "payload").mapInArrow(code_documents, "shard int, doc_id long, crc long, n_tokens long, coded binary, marks binary")
+    coded = ids.select("doc_id", "n_tokens", "crc", "payload").mapInArrow(code_documents, "shard int, doc_id long, crc long, n_tokens long, coded binary, marks binary")
     blocks = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "crc", "n_tokens").mapInArrow(build_blocks, "shard int, block int, n_docs long, n_tokens long, tokens_before long, data binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
 
