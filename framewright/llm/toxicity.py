@@ -3,8 +3,10 @@
 Confirmed toxic examples and unlabelled text train a linear model on hashed words and word
 beginnings.  The risk of the negative class is the unlabelled risk less the class prior's share of the
 positive examples' risk; where a batch makes it negative, the step goes the other way (Kiryo et al.,
-2017).  The intercept then puts the prior's share of the unlabelled rows above a score of one half.  The unlabelled text is the labelled rows' own text without their labels, so that its prior is
-their share of toxic rows.
+2017).  The unlabelled text is a sample of all documents of the learning folds, labelled or not; negative labels
+are never read.  The prior is estimated from positives and unlabelled text (``class_prior``).  The intercept is
+the one that the risk leads to, moved so that a score of one half is where rows that a model has not seen are as
+likely positive as not (``best_cut``); that too takes positives, unlabelled rows and the prior only.
 
 The fit takes a bounded sample (``positives`` and ``unlabelled`` rows); scoring takes every whole
 text.  Null or wordless texts get the score of the model's intercept.  Without any positive example
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import textkernels as tk
 from framewright.llm.columns import fresh
-from framewright.llm.training import held_out, labelled_sample
+from framewright.llm.training import labelled_sample, unlabelled_sample
 
 
 @dataclass(frozen=True)
@@ -36,11 +38,16 @@ class PUConfig:
     features: int = 5_000
     positives: int = 6_000
     unlabelled: int = 12_000
-    steps: int = 600
-    batch: int = 4_000
+    steps: int = 300
+    batch: int = 12_000
     rate: float = 0.1
-    l2: float = 1e-5
+    l2: float = 1e-4
     beta: float = 0.0
+    #: Parts that are scored by models of the others; and of the bound on the class prior, the chance that it
+    #: fails, and what it gives up for the least error.
+    folds: int = 2
+    doubt: float = 0.1
+    slack: float = 0.01
     seed: int = 11
 
 
@@ -84,16 +91,52 @@ def _rows(sample: DataFrame, c: PUConfig) -> list[np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", config: PUConfig = PUConfig()) -> LinearModel:
-    """Learn from confirmed positives and unlabelled rows of the learning folds."""
+    """Learn from confirmed positives and unlabelled text of the learning folds; no negative label is read."""
     positive = _rows(labelled_sample(docs, labels.filter(F.col(label) == 1), label, config.positives), config)
-    unlabelled = _rows(labelled_sample(docs, labels, label, config.unlabelled), config)
-    return train(positive, unlabelled, class_prior(labels, label), config)
+    unlabelled = _rows(unlabelled_sample(docs, config.unlabelled), config)
+    if len(positive) < config.folds or len(unlabelled) < config.folds:
+        return train([], [], 0.0, config)
+    prior = class_prior(*crossed(positive, unlabelled, 0.5, config, corrected=False), config)
+    cut = best_cut(*crossed(positive, unlabelled, prior, config), prior)
+    model = train(positive, unlabelled, prior, config)
+    return LinearModel(model.weights, model.bias - cut)
 
 
-def class_prior(labels: DataFrame, label: str) -> float:
-    """The share of positive rows among the labelled rows of the learning folds."""
-    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    return rows.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0] or 0.0
+def crossed(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, c: PUConfig, corrected: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """What models give the positive and the unlabelled rows that they have not seen."""
+    found: tuple[list[float], list[float]] = ([], [])
+    for k in range(c.folds):
+        model = train(*([x for i, x in enumerate(rows) if i % c.folds != k] for rows in (positive, unlabelled)), prior, c, corrected)
+        for out, rows in zip(found, (positive, unlabelled), strict=True):
+            out += [model.bias + model.weights[x].sum() for x in rows[k :: c.folds]]
+    return np.array(found[0]), np.array(found[1])
+
+
+def shares_above(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every score that a positive row has, and the shares of positive and of unlabelled rows from it on."""
+    cuts = np.unique(p)
+    return cuts, *(1 - np.searchsorted(np.sort(x), cuts) / len(x) for x in (p, u))
+
+
+def class_prior(p: np.ndarray, u: np.ndarray, c: PUConfig) -> float:
+    """The share of positives in unlabelled text, from scores of positives and unlabelled text alone.
+
+    The scores tell the one from the other.  Above any score lies a share of the positives and one of the
+    unlabelled rows; their quotient bounds the prior from above.  The bound is taken where it, with the error of
+    both shares, is least (Garg et al., 2021).
+    """
+    _, above_p, above_u = shares_above(p, u)
+    error = np.sqrt(np.log(4 / c.doubt) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = np.argmin((above_u + (1 + c.slack) * error) / above_p)
+    return float(above_u[best] / above_p[best])
+
+
+def best_cut(p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """The score from which on a row is likelier positive than not: most true positives less false ones."""
+    cuts, above_p, above_u = shares_above(p, u)
+    best = int(np.argmax(2 * prior * above_p - above_u))
+    below = u[u < cuts[best]]
+    return float((cuts[best] + below.max()) / 2) if len(below) else float(cuts[best])
 
 
 def enriched(positive: list[np.ndarray], unlabelled: list[np.ndarray], c: PUConfig) -> np.ndarray:
@@ -107,8 +150,9 @@ def enriched(positive: list[np.ndarray], unlabelled: list[np.ndarray], c: PUConf
     return np.sort(best[z[best] >= c.least_z])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, c: PUConfig) -> LinearModel:
-    """Adam on the non-negative risk with the logistic loss over the enriched features."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, c: PUConfig, corrected: bool = True) -> LinearModel:
+    """Adam on the non-negative risk with the logistic loss over the enriched features; without the correction
+    all unlabelled rows count as negative."""
     size = 1 << c.bits
     if not positive or not unlabelled or prior <= 0:
         return LinearModel(np.zeros(size), -40.0)
@@ -137,7 +181,9 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             as_positive = np.append(np.bincount(own, (p - 1)[row], len(kept)), (p - 1).sum()) / len(chosen)
             grads.append((as_positive, as_negative))
             risks.append(np.logaddexp(0, z).mean())
-        if risks[1] - prior * risks[0] >= -c.beta:
+        if not corrected:
+            gradient = prior * grads[0][0] + (1 - prior) * grads[1][1]
+        elif risks[1] - prior * risks[0] >= -c.beta:
             gradient = prior * grads[0][0] + grads[1][1] - prior * grads[0][1]
         else:
             gradient = prior * grads[0][1] - grads[1][1]
@@ -146,20 +192,9 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         second = 0.999 * second + 0.001 * gradient * gradient
         pace = c.rate * (1 - step / (c.steps + 1))
         theta -= pace * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    features, offsets = groups[1]
-    z = np.bincount(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), theta[features], len(offsets) - 1)
     weights = np.zeros(size)
     weights[kept] = theta[:-1]
-    return LinearModel(weights, -prior_cut(z, prior))
-
-
-def prior_cut(z: np.ndarray, prior: float) -> float:
-    """The value that the prior's share of ``z`` lies above, halfway to the next; never among equals."""
-    down = np.sort(z)[::-1]
-    k = min(len(down) - 1, max(1, round(prior * len(down))))
-    while k > 1 and down[k - 1] == down[k]:
-        k -= 1
-    return float(down[k - 1] + down[k]) / 2 if down[k - 1] > down[k] else float(down[0]) + 1
+    return LinearModel(weights, float(theta[-1]))
 
 
 def score(docs: DataFrame, model: LinearModel, name: str = "score", text_col: str = "text", config: PUConfig = PUConfig()) -> DataFrame:

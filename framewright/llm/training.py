@@ -1,4 +1,4 @@
-"""Labelled training rows: the fold rule and a bounded sample."""
+"""Training rows: the fold rule and bounded samples."""
 
 from __future__ import annotations
 
@@ -14,16 +14,36 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """``text, y`` of at most ``bound`` labelled rows of the learning folds.
+    """``text, y`` of at most ``bound`` labelled documents of the learning folds.
 
-    A document labelled more than once counts once, by its highest label.  The sample is chosen by a
-    hash of the id, so it is the same on every run.  The labels' side is at most ``bound`` rows of two
-    numbers, which is what bounds the broadcast.
+    A document labelled more than once counts once, by its highest label.
     """
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
+    return _texts(docs, _least(rows, bound))
+
+
+def unlabelled_sample(docs: DataFrame, bound: int) -> DataFrame:
+    """``text, y`` (y null) of at most ``bound`` documents of the learning folds, whether labelled or not."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out())
+    return _texts(docs, _least(rows, bound).distinct().withColumn("y", F.lit(None).cast("double")))
+
+
+def _least(rows: DataFrame, bound: int) -> DataFrame:
+    """The ``bound`` rows of least hash of their id: the same on every run."""
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     total = rows.count()
-    if total > bound:
-        share = 0.97 * bound / total
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(bound)
-    rows = rows.select(F.col("doc_id").alias("label_id"), "y")
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(rows), F.col("doc_id") == F.col("label_id")).select("text", "y")
+    if total > 2 * bound:  # most rows need not be sorted; twice the share leaves enough with all but no chance
+        rows = rows.filter(chance < int(2 * bound / total * (1 << 30)))
+    return rows.orderBy(chance, "doc_id").limit(bound)
+
+
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen documents' texts; an id that several rows have counts once, by its least text, and so do
+    copies of a text, by their highest label: a group of copies is one example.
+
+    The chosen side has as many rows of two numbers as the sample's bound, which bounds the broadcast.
+    """
+    chosen = chosen.select(F.col("doc_id").alias("label_id"), "y")
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    once = found.groupBy("label_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return once.groupBy("text").agg(F.max("y").alias("y"))
