@@ -1,5 +1,6 @@
 """The training-data operators: edge cases, round trips, brute force and held-out accuracy."""
 
+import dataclasses
 import datetime
 import hashlib
 import hmac
@@ -7,13 +8,15 @@ import itertools
 import re
 import zlib
 
+import brute
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from conftest import SF
 
-from framewright.llm import audio, bpe, chat, decontam, huffman, licenses, near_dup, pii, quality, queries, token_files, toxicity
+from framewright.llm import audio, bpe, chat, decontam, huffman, licenses, near_dup, pii, quality, queries, scratch, token_files, toxicity, training
+from framewright.llm import components as components_module
 from framewright.llm.components import components
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards brew very strange potions in deep caves".split()
@@ -38,15 +41,79 @@ def by_id(df):
 # op1
 
 
+def stored_features(spark, texts):
+    return scratch.materialize(audio.store_features(scratch.materialize(audio.encode(frame(spark, texts)), "media")), "features")
+
+
 def test_audio_reads_back_what_it_stored(spark):
-    got = by_id(audio.analyse(audio.encode(frame(spark, ODD))))
+    got = by_id(audio.analyse(stored_features(spark, ODD)))
+    assert len(got) == len(ODD)
     for t, r in zip(ODD, got.itertuples(), strict=True):
         raw = (t or "").encode()
         want = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(want))
         assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-64:])
+        wav = audio.write_wav(want, 16_000)
+        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
     assert got.feature[6] == got.feature[7] and got.feature[0] == got.feature[1]
-    assert audio.analyse(audio.encode(frame(spark, []))).count() == 0
+    assert audio.analyse(stored_features(spark, [])).count() == 0
+    same = spark.createDataFrame([(None, "a b", 1), (7, "a b", 2), (7, "a b", 3)], "doc_id long, text string, media int")
+    rows = audio.analyse(audio.store_features(audio.encode(same))).toPandas()
+    assert rows.doc_id.isna().sum() == 1 and rows.feature.nunique() == 1 and len(rows) == 3
+
+
+def plain_features(text, c):
+    """Log-mel hundredths and segments, straight from the formulas."""
+    x = (np.frombuffer(audio.payload(text), np.uint8).astype(float) - 128) / 128
+    y = []
+    for j in range(-(-len(x) * c.up // c.down)):
+        n = np.arange(int(j * c.down / c.up) - 10, int(j * c.down / c.up) + 11)
+        d = n - j * c.down / c.up
+        w = np.where(np.abs(d) < 8, np.sinc(c.up / c.down * d) * (0.5 + 0.5 * np.cos(np.pi * d / 8)), 0)
+        ok = (n >= 0) & (n < len(x))
+        y.append((x[n[ok]] * w[ok]).sum() / w.sum())
+    y = np.array(y)
+    frames = max(1, -(-(len(y) - c.frame) // c.hop) + 1)
+    y = np.concatenate([y, np.zeros(frames * c.hop + c.frame)])
+    k = np.arange(c.frame // 2 + 1)
+    turn = np.exp(-2j * np.pi * np.outer(k, np.arange(c.frame)) / c.frame)
+    to_mel = lambda hz: 2595 * np.log10(1 + hz / 700)
+    mels, energy = [], []
+    for f in range(frames):
+        own = y[f * c.hop : f * c.hop + c.frame]
+        power = np.abs(turn @ (own * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(c.frame) / (c.frame - 1))))) ** 2 / c.frame
+        row = []
+        for m in range(c.mels):
+            left, mid, right = (to_mel(c.out_rate / 2) * (m + i) / (c.mels + 1) for i in range(3))
+            row.append(sum(p * max(0, min((to_mel(b * c.out_rate / c.frame) - left) / (mid - left), (right - to_mel(b * c.out_rate / c.frame)) / (right - mid))) for b, p in enumerate(power)))
+        mels.append(1000 * np.log10(np.maximum(row, 1e-6)))
+        energy.append(round(1000 * np.log10(max(own.var(), 1e-9))))
+    spans, since = [], None
+    for f, e in enumerate(energy):
+        if since is None and e >= c.rise:
+            since = f
+        elif since is not None and e < c.fall:
+            spans.append((since, f))
+            since = None
+    return np.array(mels), spans + ([(since, frames)] if since is not None else [])
+
+
+def test_audio_features_equal_the_formulas(spark):
+    c = audio.AudioConfig()
+    texts = [" ".join(WORDS * 3), "short", "a" * 700 + "~" * 900 + "a" * 700, "é" * 300, None, "\x00\xff" * 400, " ".join(WORDS * 60)]
+    stored = stored_features(spark, texts)
+    cubes = audio.mel_tensors(stored).toPandas().sort_values(["doc_id", "tensor_no"])
+    spans = audio.energy_segments(stored).toPandas().sort_values(["doc_id", "segment_no"])
+    for k, t in enumerate(texts):
+        mels, segs = plain_features(t, c)
+        own = cubes[cubes.doc_id == k]
+        got = np.concatenate([np.array(x).reshape(c.tensor_frames, c.mels)[:n] for x, n in zip(own.tensor, own.frames, strict=True)])
+        assert got.shape == mels.shape and np.abs(got * 100 - mels).max() <= 0.51
+        assert own.start_s.tolist() == pytest.approx([n * c.tensor_frames * c.hop / c.out_rate for n in range(len(own))])
+        assert own.end_s.iloc[-1] == pytest.approx(((len(mels) - 1) * c.hop + c.frame) / c.out_rate)
+        rows = spans[spans.doc_id == k]
+        assert [*rows.start_s, *rows.end_s] == pytest.approx([x * c.hop / c.out_rate for side in zip(*segs, strict=True) for x in side])
+    assert len(spans) > 1
 
 
 def test_audio_blocks_equal_one_pass(monkeypatch):
@@ -64,10 +131,9 @@ def test_audio_tone_and_tensors(spark):
     got = audio.features(audio.write_wav(tone, 16_000), c)
     ((first, last),) = got["segments"]
     assert abs(first * c.hop / c.out_rate - 0.5) < 0.06 and last == len(got["energy"])
-    media = audio.encode(frame(spark, [LONG]))
-    table = audio.as_tensor_table(audio.mel_tensors(media).toArrow())
-    assert isinstance(table.schema.field("tensor").type, pa.FixedShapeTensorType)
-    assert audio.energy_segments(media).columns == ["doc_id", "segment_no", "start_s", "end_s"]
+    row = stored_features(spark, [LONG]).first()
+    table = pa.ipc.open_stream(row.tensors).read_all()
+    assert table.schema.field("tensor").type == pa.fixed_shape_tensor(pa.int16(), (c.tensor_frames, c.mels)) and table.num_rows > 1
 
 
 # op2
@@ -92,21 +158,63 @@ def test_near_duplicates_equal_brute_force(spark):
     texts = near_copies()
     docs = frame(spark, texts)
     got = by_id(near_dup.NearDuplicates(docs).classes())
-    s = near_dup.Shingles.of(pa.array(texts, pa.string()), 5)
-    weight = s.weights(np.bincount((s.key >> np.uint64(44)).astype(int), minlength=near_dup.DF_CELLS), len(texts))
-    cut = np.searchsorted(s.doc, np.arange(len(texts) + 1))
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            a, b = slice(cut[i], cut[i + 1]), slice(cut[j], cut[j + 1])
-            if (texts[i] or "") == (texts[j] or "") or near_dup.similar(s.key[a], weight[a], s.key[b], weight[b], 0.8):
-                x, y = root[i], root[j]
-                root = [min(x, y) if r in (x, y) else r for r in root]
+    root = brute.classes(len(texts), brute.similar_pairs(texts))
     assert got.class_id.tolist() == root
     kept = near_dup.NearDuplicates(docs).keep_one()
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_recall_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").union(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")).select("text").distinct().toPandas()
+    texts = [*docs.text, *near_copies(), *ODD]
+    pairs = [p for p in brute.similar_pairs(texts) if texts[p[0]] != texts[p[1]]]
+    got = by_id(near_dup.NearDuplicates(frame(spark, texts)).classes()).class_id
+    assert len(pairs) > 50 and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.97
+    root = brute.classes(len(texts), brute.similar_pairs(texts))
+    assert all(root[i] == root[c] for i, c in enumerate(got))  # and nothing else is joined
+
+
+def test_large_buckets_lose_nothing(spark, monkeypatch):
+    """Families of texts about the threshold, in buckets of many chunks and few pivots."""
+    for name, value in (("CHUNK", 10), ("FEW_PIVOTS", 1), ("HOT_ROWS", 20)):
+        monkeypatch.setattr(near_dup, name, value)
+    rng = np.random.default_rng(7)
+    texts = []
+    for f in range(2):
+        base = [f"f{f}w{k}" for k in range(150)]
+        for _ in range(70):
+            own = list(base)
+            for at in rng.choice(30, rng.integers(1, 5), replace=False):
+                own[5 * at] = f"n{rng.integers(10**9)}"
+            texts.append(" ".join(own))
+    pairs = brute.similar_pairs(texts)
+    apart = len(set(brute.classes(len(texts), pairs)))
+    assert 3 < apart < 100
+    got = by_id(near_dup.NearDuplicates(frame(spark, texts), config=near_dup.DedupConfig(bands=40, rows=2)).classes())
+    assert got.class_id.tolist() == brute.classes(len(texts), pairs)
+
+
+def test_similar_texts_share_a_rare_shingle():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        base = [f"w{k}" for k in range(40)]
+        texts = []
+        for _ in range(2):
+            own = list(base)
+            own[rng.integers(40)] = f"n{rng.integers(10**9)}"
+            texts.append(" ".join(own))
+        s = near_dup.Shingles.of(pa.array(texts), 5)
+        df = rng.integers(1, 4, len(s.key)).astype(np.uint32)
+        for key in np.unique(s.key):
+            df[s.key == key] = df[s.key == key][0]
+        weight = s.weigh(df, 100)
+        doc, key = near_dup.prefix(s, weight, df, 0.8)
+        one, two = s.doc == 0, s.doc == 1
+        if near_dup.weighted_jaccard(s.key[one], weight[one], s.key[two], weight[two]) >= 0.8:
+            assert set(key[doc == 0]) & set(key[doc == 1])
+        assert len(key) < len(s.key)
+
+
 def test_document_frequencies_are_exact(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "PART_BYTES", 1 << 17)
     rng = np.random.default_rng(1)
@@ -114,51 +222,20 @@ def test_document_frequencies_are_exact(spark, monkeypatch):
     texts += [*texts[:40], None, "", "one two", texts[0] + " " + texts[1]]
     s = near_dup.Shingles.of(pa.array(texts, pa.string()), 5)
     _, at, n = np.unique(s.key, return_inverse=True, return_counts=True)
-    cells = np.bincount((s.key >> np.uint64(44)).astype(int), minlength=near_dup.DF_CELLS)
-    assert (cells[(s.key >> np.uint64(44)).astype(int)] != n[at]).any()  # hashed cells mix up strangers here
     got = by_id(near_dup.NearDuplicates(frame(spark, texts)).signatures)
     assert np.concatenate([np.frombuffer(x, np.uint32) for x in got.df]).tolist() == n[at].tolist()
 
 
-def test_pairs_of_the_plain_measure_are_found(spark):
-    """Copies whose lines repeat differently: the same distinct shingles, far apart by weight."""
-    rng = np.random.default_rng(3)
-    texts = []
-    for k in range(20):
-        words = [f"d{k}w{w}" for w in rng.integers(10**6, size=60)]
-        texts += [" ".join(words), " ".join(words + words[:6] * 60)]
-    s = near_dup.Shingles.of(pa.array(texts, pa.string()), 5)
-    cut = np.searchsorted(s.doc, np.arange(len(texts) + 1))
-    for i in range(0, len(texts), 2):
-        a, b = slice(cut[i], cut[i + 1]), slice(cut[i + 1], cut[i + 2])
-        one = np.ones(len(s.key))
-        assert near_dup.weighted_jaccard(s.key[a], s.tf[a], s.key[b], s.tf[b]) < 0.3
-        assert near_dup.weighted_jaccard(s.key[a], one[a], s.key[b], one[b]) >= 0.8
-    got = by_id(near_dup.NearDuplicates(frame(spark, texts)).classes())
-    assert got.class_id.tolist() == [i - i % 2 for i in range(len(texts))]
-
-
-def test_plain_bands_miss_as_calculated():
-    """At plain Jaccard 0.5 a pair shares a band with probability 1 - (1 - 0.5**4)**14 = 0.595."""
-    rng = np.random.default_rng(4)
-    c, found = near_dup.DedupConfig(), 0
-    for _ in range(400):
-        key = rng.integers(0, 1 << 64, 120, dtype=np.uint64)
-        a, b = np.sort(key[:90]), np.sort(key[30:])
-        both = near_dup.Shingles(np.repeat([0, 1], 90), np.concatenate([a, b]), np.ones(180, int), 2)
-        one, two = near_dup.plain_bands(both, c)
-        found += bool((one == two).any())
-    assert abs(found / 400 - 0.595) < 0.08
-
-
 def test_near_duplicates_of_little(spark):
     assert near_dup.NearDuplicates(frame(spark, [])).classes().count() == 0
     twice = frame(spark, ["same words here and there now"]).union(frame(spark, ["same words here and there now"]))
     assert near_dup.NearDuplicates(twice).keep_one().count() == 1
 
 
-def test_components_of_a_path_and_a_star(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, hot):
+    monkeypatch.setattr(components_module, "HOT_LINKS", hot)
+    links = [(159 - k, 159) for k in range(20)] + [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {k: v for k, v in got.items() if k <= 40} == {k: 0 for k in range(41)} and {v for k, v in got.items() if k > 40} == {100}
 
@@ -177,6 +254,16 @@ def test_licences(spark, duck):
     assert mine.templates.tolist() == want.templates.tolist() and mine.n_matches.tolist() == want.n_matches.tolist()
 
 
+def test_wrapped_and_inline_notices(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0"].split()
+    texts = ["first\n" + " ".join(gpl[:6]) + "\n" + " ".join(gpl[6:]) + "\nlast", "\n".join(" ".join(gpl[k : k + 4]) for k in range(0, len(gpl), 4)), "Some words here. Licensed under CC BY 4.0. More words follow here.", licenses.TEMPLATES["MIT-text"].lower().replace("\n", "\n\n"), "x\n" * 3000 + licenses.TEMPLATES["ISC-text"], *ODD]
+    docs = spark.createDataFrame([(k, t, "u") for k, t in enumerate(texts)], "doc_id long, text string, units string")
+    got = by_id(licenses.scan(docs))
+    named = [{m["template"] for m in row} for row in got.licences]
+    assert named[:4] == [{"GPL-3.0"}, {"GPL-3.0"}, {"CC-BY-4.0"}, {"MIT-text"}] and not any(named[5:])
+    assert got.columns.tolist() == ["doc_id", "text", "units", "licences"] and licenses.scan(docs.limit(0)).count() == 0
+
+
 def test_licence_pruning_loses_nothing():
     words = licenses.telling_words({k: licenses.bigrams_of(licenses.normalised_words(t)) for k, t in licenses.TEMPLATES.items()}, 0.8)
     rng = np.random.default_rng(0)
@@ -231,6 +318,77 @@ def test_classifiers_without_labels(spark):
     assert toxicity.score(frame(spark, []), toxicity.fit(docs, none)).count() == 0
 
 
+def test_unlabelled_learning_equals_a_plain_one():
+    """The same steps with dense matrices, and gradients of the risk by differences."""
+    rng = np.random.default_rng(0)
+    c = dataclasses.replace(toxicity.PUConfig(), bits=8, least_docs=1, least_z=1.0, steps=25, batch=10_000)
+    make = lambda n, share: [np.unique(np.concatenate([rng.integers(0, 200, 12), rng.choice([230, 231, 232], 2) if rng.random() < share else np.zeros(0, int)])).astype(np.int64) for _ in range(n)]
+    positive, unlabelled = make(60, 0.95), make(400, 0.2)
+    prior = 0.2
+    model = toxicity.train(positive, unlabelled, prior, c)
+    kept = toxicity.enriched(positive, unlabelled, c)
+    dense = [np.array([np.isin(kept, x) for x in rows], dtype=float) for rows in (positive, unlabelled)]
+    dense = [np.hstack([x, np.ones((len(x), 1))]) for x in dense]
+    soft = lambda z: np.logaddexp(0, z).mean()
+    positive_part = lambda t: prior * soft(-dense[0] @ t)
+    negative_part = lambda t: soft(dense[1] @ t) - prior * soft(dense[0] @ t)
+
+    def slope(f, t):
+        return np.array([(f(t + d) - f(t - d)) / 2e-6 for d in 1e-6 * np.eye(len(t))])
+
+    t = np.append(np.zeros(len(kept)), np.log(prior / (1 - prior)))
+    m, v, turned = np.zeros_like(t), np.zeros_like(t), 0
+    for step in range(1, c.steps + 1):
+        if negative_part(t) >= 0:
+            g = slope(positive_part, t) + slope(negative_part, t)
+        else:
+            g, turned = -slope(negative_part, t), turned + 1
+        g[:-1] += c.l2 * t[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        t = t - c.rate * (1 - step / (c.steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    assert np.abs(np.append(model.weights[kept], model.bias) - t).max() < 1e-3 and len(kept) >= 3
+
+
+def test_prior_without_negatives():
+    rng = np.random.default_rng(1)
+    c = toxicity.PUConfig()
+    for prior in (0.05, 0.2, 0.5):
+        p = rng.normal(3, 1, 2000)
+        u = np.where(rng.random(12_000) < prior, rng.normal(3, 1, 12_000), rng.normal(-1, 1, 12_000))
+        assert abs(toxicity.class_prior(p, u, c) - prior) < 0.03
+        cut = toxicity.best_cut(p, u, prior)
+        assert abs(cut - (1 + np.log((1 - prior) / prior) / 4)) < 0.5  # where the densities' shares are equal
+
+
+def test_samples_keep_their_bound(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k} of {k % 7}") for k in range(800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 40, k % 2) for k in range(500)], "doc_id long, toxic int")
+    rows = training.labelled_sample(docs, labels, "toxic", 10).collect()
+    assert 0 < len(rows) <= 10 and sorted(rows) == sorted(training.labelled_sample(docs.repartition(7), labels.repartition(5), "toxic", 10).collect())
+    assert 0 < training.unlabelled_sample(docs, 10).count() <= 10
+    same = spark.createDataFrame([(k, "copy") for k in range(50)], "doc_id long, text string")
+    assert training.unlabelled_sample(same, 30).count() == 1
+
+
+def test_ranking_against_a_plain_fit():
+    """Pairwise learning orders unseen rows as well as a pointwise logistic fit over the same bins."""
+    rng = np.random.default_rng(2)
+    n, k = 3000, len(quality.FIGURES)
+    x = rng.normal(size=(2 * n, k))
+    true = 1.5 * x[:, 0] - 2 * np.abs(x[:, 1]) + x[:, 2]
+    y = (true + rng.logistic(size=2 * n) > np.median(true)).astype(float)
+    model = quality.train(x[:n], y[:n], quality.RankConfig())
+    bins = [np.searchsorted(e, x[:, j], "right") for j, e in enumerate(model.edges)]
+    design = np.hstack([np.eye(len(e) + 1)[at] for at, e in zip(bins, model.edges, strict=True)])
+    w = np.zeros(design.shape[1])
+    for _ in range(1500):
+        w += 0.3 * (design[:n].T @ (y[:n] - 1 / (1 + np.exp(-design[:n] @ w))) / n - 1e-4 * w)
+    auc = lambda s: (np.argsort(np.argsort(s))[y[n:] == 1].mean() - (y[n:].sum() - 1) / 2) / (n - y[n:].sum())
+    assert auc(model.strength(x[n:])) > auc(design[n:] @ w) - 0.02
+    scores = model.score(x[:n])
+    assert abs((scores >= quality.RankConfig().cut_score).mean() - y[:n].mean()) < 0.01
+
+
 # op5
 
 
@@ -425,6 +583,23 @@ def test_bpe_is_exact(spark, path):
     assert by_id(both).decoded.tolist() == [t or "" for t in texts]
 
 
+def test_halves_of_long_texts_join_exactly(path):
+    """On the registered documents, and on hard texts with halves of a few characters."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    exact = lambda t: np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    documents = pd.read_parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").text.tolist()
+    codec = bpe.Encoder(path)
+    assert codec.encode(documents) == [exact(t) for t in documents]
+    assert codec.joins > 0 and codec.joins >= sum(len((t or "").encode()) > bpe.HALF_BYTES for t in documents) > 0
+    rng = np.random.default_rng(8)
+    signs = ["a", "B", " ", "  ", "\n", "\r\n", "\t", "\0", "é", "你", "\xa0", "\u3000", "\u200b", "'s", "'ll", "don't", "123", "9", "!?", "...", "<|endoftext|>", "😀", "x" * 30, "\x1c", "\x85", "'", "''", "9's", ",'", "a9", "(b", "_x", "~", "`", "^", "'t,", "\x7f"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(1500)]
+    small = bpe.Encoder(path, half=7)
+    assert small.encode(texts) == [exact(t) for t in texts] and small.joins > 10_000
+
+
 def test_tree_concatenation(path):
     small, library = bpe.Encoder(path, leaf=16), bpe.Encoder(path).library
     rng = np.random.default_rng(6)
@@ -445,6 +620,32 @@ def test_huffman_round_trip():
         assert code.limit <= limit and (code.decode(np.frombuffer(raw, np.uint8), marks, sizes) == ids).all()
 
 
+def test_documents_coded_together_equal_those_coded_apart():
+    rng = np.random.default_rng(9)
+    code = huffman.Code(huffman.code_lengths((rng.pareto(0.7, 500) * 10 + 1).astype(np.int64)))
+    counts = rng.choice([0, 1, 2, 511, 512, 513, 1500], 60)
+    ids = rng.integers(0, 500, counts.sum())
+    data, n_bytes, marks, n_marks = code.encode_many(ids, counts)
+    apart = [code.encode(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [x.tobytes() for x in np.split(data, np.cumsum(n_bytes)[:-1])] == [x for x, _ in apart]
+    assert [x.tolist() for x in np.split(marks, np.cumsum(n_marks)[:-1])] == [m.tolist() for _, m in apart]
+
+
+def test_hot_and_null_ids_fill_several_shards(spark, path, tmp_path):
+    texts = [f"{WORDS[k % 19]} {k} " * (5 + k % 7) for k in range(300)]
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(300)]
+    rows = [*zip(ids, texts, strict=True), *list(zip(ids, texts, strict=True))[:9]]  # with repeated rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    token_files.write_corpus(docs, path, str(tmp_path / "c"), 2, 50_257, shard_ids=500, block_ids=300)
+    blocks = spark.read.parquet(str(tmp_path / "c/blocks"))
+    shares = [r.n for r in blocks.groupBy("shard").agg({"n_tokens": "sum"}).toDF("shard", "n").collect()]
+    assert len(shares) > 5 and max(shares) < 4 * np.mean(shares)
+    got = token_files.read_checksums(spark, str(tmp_path / "c")).toPandas().sort_values("start").reset_index(drop=True)
+    assert len(got) == len(rows) and (got.start == got.n_tokens.cumsum() - got.n_tokens).all()
+    key = got.assign(doc_id=got.doc_id.fillna(-1))[["doc_id", "ids_crc32"]].apply(tuple, axis=1).tolist()
+    assert key == sorted(key)
+
+
 def test_token_files(spark, path, tmp_path):
     from tokenizers import Tokenizer
 
