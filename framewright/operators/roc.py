@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,29 +21,41 @@ def _celled(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(span)).withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int")).drop("_lo", "_hi")
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """``place, quantile``: exact, between neighbours in proportion; no rows without values.
+def exact_quantiles(df: DataFrame, values: dict[str, str], shares: list[float]) -> DataFrame:
+    """``name, place, quantile`` of several columns at once: exact, between neighbours in proportion; no rows
+    without values.
 
     Values are counted by cell; only cells that hold a wanted rank are sorted, each by itself.
     """
-    v = _celled(df.select(F.col(value).cast("double").alias("v")).filter("v is not null"), "v")
-    counted = v.groupBy("_cell", "_n").agg(F.count("*").alias("k"))  # at most CELLS + 1 rows
-    before = counted.withColumn("before", F.sum("k").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("k"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("v")) for n, c in values.items()))).alias("x")
+    v = df.select(each).select("x.*").filter("v is not null")
+    span = F.broadcast(v.groupBy("name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")))  # a row per column
+    cell = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))) * CELLS), F.lit(0)).cast("int")
+    v = v.join(span, "name").select("name", "v", "n", cell.alias("cell"))
+    counted = v.groupBy("name", "n", "cell").agg(F.count("*").alias("k"))  # at most CELLS + 1 rows a column
+    before = F.sum("k").over(W.partitionBy("name").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("k")
     asked = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(s).alias("share")) for i, s in enumerate(shares)))).alias("q")
-    at = (F.col("_n") - 1) * F.col("q.share")
-    ranks = before.select("_cell", "k", "before", "_n", asked).select("_cell", "before", "k", F.col("q.place").alias("place"), (at - F.floor(at)).alias("part"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("rank"))
-    ranks = ranks.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("k")))
-    wanted = F.broadcast(ranks.select("_cell", (F.col("rank") - F.col("before") + 1).alias("nth"), "place", "part", "rank"))  # two rows per share
-    placed = v.join(F.broadcast(ranks.select("_cell").distinct()), "_cell").withColumn("nth", F.row_number().over(W.partitionBy("_cell").orderBy("v")))
-    return placed.join(wanted, ["_cell", "nth"]).groupBy("place", "part").agg(F.min("v").alias("a"), F.max("v").alias("b")).select("place", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
-
-
-def quantile_axis(df: DataFrame, value: str, n: int, name: str, low: float, high: float) -> DataFrame:
-    """``n`` thresholds at evenly spaced exact quantiles of the observed values, or evenly from ``low``
-    to ``high`` if there are none."""
-    found = exact_quantiles(df, value, [k / (n - 1) for k in range(n)])
-    even = df.sparkSession.range(n).select(F.col("id").cast("int").alias("place"), (F.lit(low) + (high - low) * F.col("id") / (n - 1)).alias("even"))
-    return even.join(found, "place", "left").select(F.col("place").alias(f"{name}_idx"), F.coalesce("quantile", "even").alias(f"{name}_threshold"))
+    at = (F.col("n") - 1) * F.col("q.share")
+    ranks = counted.withColumn("before", before).select("name", "cell", "before", "k", "n", asked)
+    ranks = ranks.select("name", "cell", "before", "k", F.col("q.place").alias("place"), (at - F.floor(at)).alias("part"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("rank"))
+    wanted = ranks.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("k"))).select("name", "cell", (F.col("rank") - F.col("before") + 1).alias("nth"), "place", "part")
+    local = v.sparkSession.createDataFrame(wanted.toArrow())  # two rows for each share of each column
+    places = local.select("name", "cell").distinct()
+    placed = v.join(F.broadcast(places), ["name", "cell"]).withColumn("nth", F.row_number().over(W.partitionBy("name", "cell").orderBy("v")).cast("long"))
+    found = placed.join(F.broadcast(local), ["name", "cell", "nth"]).groupBy("name", "place", "part").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return found.select("name", "place", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
+
+
+def quantile_axes(df: DataFrame, n: int, axes: dict[str, tuple[str, float, float]]) -> list[DataFrame]:
+    """For each axis (a name, with its column and range) ``n`` thresholds at evenly spaced exact quantiles of the
+    observed values, or evenly over the range if there are none; small local tables."""
+    found = exact_quantiles(df, {name: column for name, (column, _, _) in axes.items()}, [k / (n - 1) for k in range(n)])
+    known = {(r["name"], r["place"]): r["quantile"] for r in found.toArrow().to_pylist()}  # n rows for each axis
+    out = []
+    for name, (_, low, high) in axes.items():
+        rows = [(k, float(known.get((name, k), low + (high - low) * k / (n - 1)))) for k in range(n)]
+        out.append(df.sparkSession.createDataFrame(pa.table({f"{name}_idx": pa.array([k for k, _ in rows], pa.int32()), f"{name}_threshold": [t for _, t in rows]})))
+    return out
 
 
 def roc_grid(clusters: DataFrame, frame: str, attacked: str, point: str, centroid: str, n: int = 50, condition: str = "or", frames: DataFrame | None = None) -> DataFrame:
@@ -53,8 +66,7 @@ def roc_grid(clusters: DataFrame, frame: str, attacked: str, point: str, centroi
     threshold cells before they meet the grid, so the product is of at most n*n cells with n*n points,
     whatever the number of frames.  ``frames`` adds frames without clusters (``frame``, ``attacked``).
     """
-    p_axis = F.broadcast(quantile_axis(clusters, point, n, "point", 0.0, 0.15))
-    c_axis = F.broadcast(quantile_axis(clusters, centroid, n, "centroid", 0.0, 1.0))
+    p_axis, c_axis = map(F.broadcast, quantile_axes(clusters, n, {"point": (point, 0.0, 0.15), "centroid": (centroid, 0.0, 1.0)}))
     p_list = p_axis.agg(F.sort_array(F.collect_list("point_threshold")).alias("_p"))
     c_list = c_axis.agg(F.sort_array(F.collect_list("centroid_threshold")).alias("_c"))
     above = lambda axis, value: F.size(F.filter(F.col(axis), lambda t: F.coalesce(F.col(value) > t, F.lit(False))))
