@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import audio, bpe, chat, decontam, licenses, near_dup, pii, quality, token_files, toxicity
+from framewright.llm import audio, bpe, centroids, chat, decontam, infill, licenses, near_dup, pii, quality, token_files, toxicity
 from framewright.llm.scratch import bound_batches, materialize
 from framewright.llm.training import held_out
 
@@ -95,6 +95,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.store_and_check(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, vocabulary=50_257)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at line ends and put in another order, and put back."""
+    return infill.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds."""
+    return centroids.Yinyang().clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_features": op1_audio_features,
     "op2_near_duplicates": op2_near_duplicates,
@@ -106,10 +116,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licence_scan": licenses.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op9_chat_format": chat.ORACLE,
+    "op12_fill_in_middle": infill.ORACLE,
+    "op13_centroid_clusters": centroids.oracle(),
 }
