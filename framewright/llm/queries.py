@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import audio, bpe, centroids, chat, decontam, infill, licenses, near_dup, pii, quality, token_files, toxicity
+from framewright.llm import audio, bpe, centroids, chat, decontam, infill, licenses, near_dup, pii, quality, simhash, token_files, toxicity
 from framewright.llm.scratch import bound_batches, materialize
 from framewright.llm.training import held_out
 
@@ -95,6 +95,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.store_and_check(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, vocabulary=50_257)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside its edited text's and the next document's; those of every twentieth id are
+    searched for among all, and ``n_within`` is how many documents lie within 3 bits, itself included (null for other ids)."""
+    rows = materialize(simhash.report(table(spark, sf_dir, "documents")), "fingerprints")
+    asked = F.col("doc_id") % 20 == 0
+    found = simhash.rows_within(rows.filter(asked), rows)
+    others = rows.filter(~asked | F.col("doc_id").isNull()).withColumn("n_within", F.lit(None).cast("long"))
+    return found.select(others.columns).unionByName(others).drop("fp")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut at line ends and put in another order, and put back."""
     return infill.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -116,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
+    "op11_fingerprints": op11_fingerprints,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
