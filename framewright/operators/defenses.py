@@ -108,6 +108,7 @@ def penetration(points: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
 def free_space(points: DataFrame, boxes: DataFrame, frame: str, voxel: float = 0.25) -> DataFrame:
     """Per box: the share of its voxels that beams pass without ending there.  One group is one box's points."""
     schema = f"{frame} string, idx int, free double"
+    kind = points.schema[frame].dataType
     rows = points.join(boxes, frame).withColumn("side", g.ray_class(F.col("x"), F.col("y"), F.col("z"), F.col("box"))).filter("side in ('in', 'behind')")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +124,8 @@ def free_space(points: DataFrame, boxes: DataFrame, frame: str, voxel: float = 0
         cells = float(np.prod(hi - lo + 1))
         return pd.DataFrame([(group[frame].iloc[0], group["idx"].iloc[0], len(passed - ended) / cells)], columns=[frame, "idx", "free"])
 
-    return rows.select(frame, "idx", "box", "x", "y", "z").groupBy(frame, "idx").applyInPandas(run, schema)
+    found = rows.select(F.col(frame).cast("string").alias(frame), "idx", "box", "x", "y", "z").groupBy(frame, "idx").applyInPandas(run, schema)
+    return found.withColumn(frame, F.col(frame).cast(kind))
 
 
 def hierarchy(points: DataFrame, boxes: DataFrame, frame: str, a: float = 0.50, b: float = 0.30, a2: float = 0.10, b2: float = 0.05, eps: float = 0.05, voxel: float = 0.25) -> DataFrame:
