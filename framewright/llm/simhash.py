@@ -206,12 +206,13 @@ def _cuts(docs: DataFrame, id_col: str) -> list[int]:
     return sorted({*some[SAMPLES_A_CELL - 1 :: SAMPLES_A_CELL], seen["last"]})
 
 
-def with_next(docs: DataFrame, id_col: str, next_of: list[str], result: str) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, next_of: list[str], result: str, guests: bool = False) -> DataFrame:
     """``docs`` with a struct of ``next_of`` of the row that follows by falling id; the first one follows the last.
 
     Rows of one id follow one another by the first column of ``next_of``.  A row without id has no place in the order and is
     its own next one.  Ids are cut into cells of neighbours; the greatest row of a cell is sent to the cell above as well, whose
-    least row it follows.  So the rows are dealt out once, and a task sorts one cell at a time.
+    least row it follows.  So the rows are dealt out once, and a task sorts one cell at a time.  With ``guests`` these rows stay,
+    and ``cell, place, guest`` are given: a row's cell, its place there from 1, and whether it is one of them.
     """
     cuts = _cuts(docs, id_col)
     cell, guest, copies = fresh(docs.columns, "cell"), fresh(docs.columns, "guest"), fresh(docs.columns, "copies")
@@ -225,25 +226,55 @@ def with_next(docs: DataFrame, id_col: str, next_of: list[str], result: str) ->
     dealt = docs.withColumn(copies, F.explode(F.when(key.isNull(), apart).otherwise(both))).withColumns({cell: F.col(f"{copies}.c"), guest: F.col(f"{copies}.g")}).drop(copies)
     order = W.partitionBy(cell).orderBy(F.col(guest), key.desc(), F.col(next_of[0]))
     follows = F.when(key.isNull(), F.struct(*next_of)).otherwise(F.lead(F.struct(*next_of)).over(order))
+    if guests:
+        return dealt.withColumns({result: follows, "place": F.row_number().over(order)}).withColumnsRenamed({cell: "cell", guest: "guest"})
     return dealt.withColumn(result, follows).filter(~F.col(guest)).drop(cell, guest)
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, text, fp, edited, next_fp``: every text, and with its second half replaced by the beginning of the next document."""
-    own = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    rows = with_next(own, id_col, ["text", "fp"], "following")
+    """``id_col, text, edited, cell, place, guest``: every text, and with its second half replaced by the beginning of the next document.
+
+    ``cell, place`` name a row and its place in falling order of ids; equal rows may change places.  A cell's last row, a ``guest``,
+    belongs to the next cell and is there to be followed.
+    """
+    own = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = with_next(own, id_col, ["text"], "following", guests=True)
     half = F.floor(F.length("text") / 2).cast("int")
     text = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("following.text"), F.lit(1), half))
-    return rows.select(id_col, "text", "fp", text.alias("edited"), F.col("following.fp").alias("next_fp"))
+    return rows.select(id_col, "text", text.alias("edited"), "cell", "place", "guest")
+
+
+def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, Column], most: int = MOST) -> DataFrame:
+    """``keys`` and a fingerprint for each of ``texts``, whose rows ``keys`` tell apart: as ``fingerprint``, in compiled sums.
+
+    Terms become rows and are summed in the task that made them, so that one row of each text is shuffled.  A sum holds the
+    votes of two bits in 32 bits each, more than a text has terms.
+    """
+    half, bit = 0x0000000100000001, F.col("hash")
+    each = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("which"), F.coalesce(t, F.lit("")).alias("text")) for k, t in enumerate(texts.values())))).alias("one"))
+    hashes = each.select(*keys, F.col("one.which").alias("which"), F.explode(terms(F.col("one.text"), most)).alias("hash")).withColumn("other", F.xxhash64("hash"))
+    votes = [F.sum(_shifted(h, k).bitwiseAND(F.lit(half))).alias(f"{name}{k}") for name, h in (("a", bit), ("b", F.col("other"))) for k in range(32)]
+    summed = hashes.groupBy(*keys, "which").agg(F.count("*").alias("n"), *votes)
+
+    def word(name: str) -> Column:
+        more = lambda count, at: F.when(2 * count > F.col("n"), F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
+        masks = F.transform(F.array(*(f"{name}{k}" for k in range(32))), lambda s, k: more(s.bitwiseAND(F.lit(0xFFFFFFFF)), k).bitwiseOR(more(_shifted(s, 32), k + 32)))
+        return F.aggregate(masks, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+
+    found = summed.select(*keys, "which", word("a").alias("a"), word("b").alias("b"))
+    pick = lambda k, part: F.max(F.when(F.col("which") == k, F.col(part)))
+    return found.groupBy(*keys).agg(*(pick(k, part).alias(f"{part}{k}") for k in range(len(texts)) for part in "ab")).select(*keys, *(F.struct(F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b")).alias(name) for k, name in enumerate(texts)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how alike it is to that and to the next document's."""
-    rows = edited(docs, id_col, text_col).withColumn("edited_fp", fingerprint(F.col("edited")))
-    return rows.select(
+    rows = edited(docs, id_col, text_col).withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    found = fingerprints(rows, ["cell", "place", "guest", id_col, "n_chars", "edited_sha256"], {"fp": F.col("text"), "edited_fp": F.col("edited")})
+    following = F.when(F.col(id_col).isNull(), F.col("fp")).otherwise(F.lead("fp").over(W.partitionBy("cell").orderBy("place")))
+    return found.withColumn("next_fp", following).filter(~F.col("guest")).select(
         id_col,
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "n_chars",
+        "edited_sha256",
         shown(F.col("fp")).alias("fingerprint"),
         shown(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
