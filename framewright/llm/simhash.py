@@ -28,7 +28,8 @@ from framewright.llm.columns import fresh
 from framewright.llm.components import spread_join
 
 BITS = 128
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words; splitting there is five times as fast as matching the words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Votes that a byte lane holds without reaching a long's sign; sums of so many bytes that a 16-bit lane holds.
 LANE, WIDE = 127, 258
 #: A greatest weight.  Square roots of counts would serve as well; a plain count lets repeated lines decide.
@@ -63,7 +64,7 @@ def terms(text: Column, most: int = MOST) -> Column:
     def weighed(hashes: Column) -> Column:
         return F.filter(hashes, lambda x, i: (i < most) | (F.get(hashes, i - most) != x))
 
-    return let(let(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), paired), weighed)
+    return let(let(F.array_remove(F.split(F.lower(text), GAP), ""), paired), weighed)
 
 
 def _votes(hashes: Column) -> Column:
@@ -231,17 +232,17 @@ def with_next(docs: DataFrame, id_col: str, next_of: list[str], result: str, gue
     return dealt.withColumn(result, follows).filter(~F.col(guest)).drop(cell, guest)
 
 
-def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, text, edited, cell, place, guest``: every text, and with its second half replaced by the beginning of the next document.
+def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", guests: bool = False) -> DataFrame:
+    """``id_col, text, edited``, with ``guests`` also ``cell, place, guest``: every text, and with its second half replaced by the beginning of the next document.
 
     ``cell, place`` name a row and its place in falling order of ids; equal rows may change places.  A cell's last row, a ``guest``,
     belongs to the next cell and is there to be followed.
     """
     own = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(own, id_col, ["text"], "following", guests=True)
+    rows = with_next(own, id_col, ["text"], "following", guests)
     half = F.floor(F.length("text") / 2).cast("int")
     text = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("following.text"), F.lit(1), half))
-    return rows.select(id_col, "text", text.alias("edited"), "cell", "place", "guest")
+    return rows.select(id_col, "text", text.alias("edited"), *(["cell", "place", "guest"] if guests else []))
 
 
 def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, Column], most: int = MOST) -> DataFrame:
@@ -268,7 +269,7 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, Column], mos
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how alike it is to that and to the next document's."""
-    rows = edited(docs, id_col, text_col).withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    rows = edited(docs, id_col, text_col, guests=True).withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
     found = fingerprints(rows, ["cell", "place", "guest", id_col, "n_chars", "edited_sha256"], {"fp": F.col("text"), "edited_fp": F.col("edited")})
     following = F.when(F.col(id_col).isNull(), F.col("fp")).otherwise(F.lead("fp").over(W.partitionBy("cell").orderBy("place")))
     return found.withColumn("next_fp", following).filter(~F.col("guest")).select(
