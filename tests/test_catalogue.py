@@ -17,6 +17,23 @@ def test_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
+def test_without_sql_is_collected_whole(spark, name):
+    frame = catalogue.QUERIES[name](spark, SF)
+    assert frame.toPandas().columns.tolist() == frame.columns
+
+
+def test_voxel_test_keeps_the_frame_type(spark):
+    from framewright.operators import defenses
+
+    box = "struct<x:double,y:double,z:double,length:double,width:double,height:double,yaw:double>"
+    for kind, frame in (("long", 1), ("string", "one")):
+        points = spark.createDataFrame([(frame, 10.0, 0.2, 0.2), (frame, 30.0, 0.2, 0.2)], f"frame {kind}, x double, y double, z double")
+        boxes = spark.createDataFrame([(frame, 0, (10.0, 0.0, 0.0, 4.0, 4.0, 4.0, 0.0))], f"frame {kind}, idx int, box {box}")
+        got = defenses.free_space(points, boxes, "frame", 1.0).collect()
+        assert [(r.frame, r.idx) for r in got] == [(frame, 0)] and 0 < got[0].free < 1
+
+
 def test_matches_count_every_target_once(spark):
     m = catalogue.QUERIES["greedy_match_turned"](spark, SF).toPandas()
     assert m.groupby(["frame", "type"]).n_gt.first().sum() == 500
