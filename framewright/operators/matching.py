@@ -176,6 +176,13 @@ def sampled_rank(sample: Column, n_gt: Column, hits: Column) -> Column:
     return F.least(hits - 1, F.greatest(sample.cast("long"), even))
 
 
+def samples() -> Column:
+    """The samples that the scores of a row serve: of ``hits`` hits it has the last ``hit`` of the first ``tp``."""
+    rank = lambda s: sampled_rank(s, F.col("n_gt"), F.col("hits"))
+    serves = lambda s: (rank(s) >= F.col("tp") - F.col("hit")) & (rank(s) < F.col("tp")) & ((s == 0) | (rank(s - 1) < F.col("hits") - 1))
+    return F.filter(F.sequence(F.lit(0), F.lit(POINTS)), serves)
+
+
 def precision_recall(predictions: DataFrame, labels: DataFrame, frame: str, iou_of: Callable[[str], float], levels: list[str] | None = None) -> DataFrame:
     """``type, level, t_idx, threshold, tp, fp, n_gt, precision, recall`` at recall-spaced score thresholds."""
     return curve(match(predictions, labels, frame, iou_of, levels=levels))
@@ -187,8 +194,7 @@ def curve(matches: DataFrame) -> DataFrame:
     stats = part.groupBy("part", "score").agg(F.count_if("is_tp").alias("hit"), F.count_if(~F.col("is_tp")).alias("miss"), F.sum(F.when(F.col("leads"), F.col("n_gt")).otherwise(0)).alias("n"))
     whole = stats.groupBy("part").agg(F.sum("n").alias("n_gt"), F.sum("hit").alias("hits")).filter("hits > 0 and n_gt > 0")
     summed = running_sums(stats.filter("score is not null"), "part", "score", {"tp": "hit", "fp": "miss"}, CELL).join(whole, "part")
-    sample = lambda s: (sampled_rank(s, F.col("n_gt"), F.col("hits")) >= F.col("tp") - F.col("hit")) & (sampled_rank(s, F.col("n_gt"), F.col("hits")) < F.col("tp")) & ((s == 0) | (sampled_rank(s - 1, F.col("n_gt"), F.col("hits")) < F.col("hits") - 1))
-    rows = summed.filter("hit > 0").withColumn("t_idx", F.explode(F.filter(F.sequence(F.lit(0), F.lit(POINTS)), sample)))
+    rows = summed.filter("hit > 0").withColumn("t_idx", F.explode(samples()))
     raw = F.col("tp") / (F.col("tp") + F.col("fp") + EPSILON)
     envelope = F.max("raw").over(W.partitionBy("part").orderBy("t_idx").rowsBetween(0, W.unboundedFollowing))
     found = rows.withColumn("raw", raw).withColumn("precision", envelope).withColumn("recall", F.col("tp") / (F.col("n_gt") + EPSILON))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import geometry as g
 from framewright.functions.numeric import clip, digitize, parse_literal, ratio, wrap_angle
-from framewright.operators import clusters, defenses, matching, metrics, perturb, roc, spatial, temporal
+from framewright.operators import clusters, defenses, matching, metrics, orientation, perturb, roc, spatial, temporal
 from framewright.plans import sweeps
 from framewright.plans.views import Views, oracle
 from framewright.sources import reports, results
@@ -694,6 +694,76 @@ def removal_success(v: Views) -> DataFrame:
     return matching.removal_success(p, p.filter("box_id % 7 > 0"), p.select("frame").distinct(), "frame", ["class0", "class1", "class2"])
 
 
+# detections judged target by target.  The SQL walks the targets of a frame, once by score, once by overlap.
+
+KINDS = ["Car", "Pedestrian", "Cyclist", "Van", "Car", "Pedestrian", "Car", "Person_sitting", "Cyclist", "DontCare"]
+
+
+def _image_boxes(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Image boxes that crowd each other, ten to a frame; detections are moved aside and turned."""
+    k = F.col("box_id")
+    kind = lambda label: F.array(*map(F.lit, KINDS))[label.cast("int")]
+    base = v.boxes().select("box_id", "label", F.floor(k / 10).alias("frame"), (k % 10).cast("int").alias("idx"), (F.col("x") * 0.5 + 300).alias("x1"), (F.col("y") * 0.5 + 200).alias("y1"), "score")
+    sized = base.withColumns({"w": (40 + k % 3 * 4).cast("double"), "h": (21 + k * 7 % 40).cast("double"), "turn": (k % 63).cast("double") / 10 - 3})
+    edges = lambda dx: [(F.col("x1") + dx).alias("x1"), "y1", (F.col("x1") + dx + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2")]
+    moved = sized.select("frame", "idx", kind(F.when(k % 4 > 0, F.col("label")).otherwise(F.lit(0))).alias("type"), "score", (F.col("turn") + k % 7 * 0.1).alias("alpha"), *edges((k % 5).cast("double")))
+    return moved, sized.select("frame", "idx", kind(F.col("label")).alias("type"), F.col("turn").alias("alpha"), *edges(F.lit(0.0)), (k % 4).alias("occluded"), (k % 6 / 10).alias("truncated"))
+
+
+def target_walk(name: str, turns: str) -> str:
+    """Views that serve targets in order: ``turns`` has, for each, the near detections, best first."""
+    by = "t_idx, class, level, frame"
+    return f""",
+{name}_turn AS MATERIALIZED (SELECT {by}, idx, valid, open, row_number() OVER (PARTITION BY {by} ORDER BY idx) AS k FROM ({turns})),
+{name} AS (SELECT {by}, idx, valid, k, open[1] AS got, [c.idx FOR c IN open[1:1]] AS used FROM {name}_turn WHERE k = 1
+  UNION ALL SELECT {by}, idx, valid, k, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.idx) END FROM (
+    SELECT t.*, w.used, list_filter(t.open, lambda c: NOT list_contains(w.used, c.idx))[1] AS got
+    FROM {name} w JOIN {name}_turn t ON t.t_idx = w.t_idx AND t.class = w.class AND t.level = w.level AND t.frame = w.frame AND t.k = w.k + 1))"""
+
+
+TARGETS_SQL = f""",
+sized AS (SELECT box_id, label, (box_id // 10)::BIGINT AS frame, (box_id % 10)::INT AS idx, x * 0.5 + 300 AS x1, y * 0.5 + 200 AS y1, (40 + box_id % 3 * 4)::DOUBLE AS w, (21 + box_id * 7 % 40)::DOUBLE AS h, (box_id % 63) / 10 - 3 AS turn, score FROM v_boxes),
+goal AS (SELECT frame, idx, ({KINDS})[label + 1] AS type, turn AS alpha, x1, y1, x1 + w AS x2, y1 + h AS y2, box_id % 4 AS o, box_id % 6 / 10 AS t FROM sized),
+shot AS (SELECT frame, idx, CASE WHEN box_id % 4 > 0 THEN ({KINDS})[label + 1] ELSE 'Car' END AS type, score, turn + box_id % 7 * 0.1::DOUBLE AS alpha, x1 + box_id % 5 AS x1, y1, x1 + box_id % 5 + w AS x2, y1 + h AS y2 FROM sized),
+setting AS (SELECT * FROM (VALUES ('Car', 'Van', 0.7), ('Pedestrian', 'Person_sitting', 0.5), ('Cyclist', NULL, 0.5)) c(class, beside, lim), (VALUES ('Easy', 40, 0, 0.15), ('Moderate', 25, 1, 0.30), ('Hard', 25, 2, 0.50)) l(level, least, most_o, most_t)),
+goals AS (SELECT class, level, frame, idx, type = class AND NOT hard AS valid FROM (SELECT *, o > most_o OR t > most_t OR y2 - y1 <= least AS hard FROM setting, goal) WHERE type = class OR type = beside),
+shots AS (SELECT class, level, lim, frame, idx, score, floor(abs(y1 - y2)) < least AS low FROM setting, shot WHERE type = class OR floor(abs(y1 - y2)) < least),
+shared AS (SELECT s.frame, s.idx AS p, g.idx AS q, g.type, (s.x2 - s.x1) * (s.y2 - s.y1) AS a, (g.x2 - g.x1) * (g.y2 - g.y1) AS b, greatest(0, least(s.x2, g.x2) - greatest(s.x1, g.x1)) * greatest(0, least(s.y2, g.y2) - greatest(s.y1, g.y1)) AS i FROM shot s JOIN goal g USING (frame)),
+near AS MATERIALIZED (SELECT s.class, s.level, s.frame, h.q, s.idx, s.score, s.low, h.i / (h.a + h.b - h.i) AS iou FROM shots s JOIN shared h ON h.frame = s.frame AND h.p = s.idx WHERE h.i / (h.a + h.b - h.i) > s.lim)"""
+TARGET_CURVE_SQL = (
+    TARGETS_SQL
+    + target_walk("best", "SELECT 0 AS t_idx, g.class, g.level, g.frame, g.idx, g.valid, coalesce(list({'idx': n.idx, 'low': n.low, 'score': n.score} ORDER BY n.score DESC, n.idx) FILTER (n.idx IS NOT NULL), []) AS open FROM goals g LEFT JOIN near n ON n.class = g.class AND n.level = g.level AND n.frame = g.frame AND n.q = g.idx GROUP BY ALL")
+    + """,
+m AS (SELECT level, class AS type, got.score AS score, true AS is_tp FROM best WHERE valid AND NOT got.low),
+m_n AS (SELECT level, class AS type, count(*) FILTER (valid) AS n_gt FROM goals GROUP BY 1, 2)"""
+    + CURVE_SQL[: CURVE_SQL.index(",\ncounted")]
+    + target_walk("walk", "SELECT c.t_idx, g.class, g.level, g.frame, g.idx, g.valid, coalesce(list({'idx': n.idx, 'low': n.low} ORDER BY n.low, CASE WHEN n.low THEN 0.0 ELSE -n.iou END, n.idx) FILTER (n.score >= c.threshold), []) AS open FROM goals g JOIN cuts c ON c.type = g.class AND c.level = g.level LEFT JOIN near n ON n.class = g.class AND n.level = g.level AND n.frame = g.frame AND n.q = g.idx GROUP BY ALL")
+    + """,
+right_ones AS (SELECT level, class AS type, t_idx, count(*) FILTER (NOT got.low) AS tp, count(*) FILTER (got IS NULL) AS fn, coalesce(sum((1 + cos(g.alpha - s.alpha)) / 2) FILTER (NOT got.low), 0.0) AS similarity
+  FROM walk w JOIN goal g ON g.frame = w.frame AND g.idx = w.idx LEFT JOIN shot s ON s.frame = w.frame AND s.idx = w.got.idx WHERE valid GROUP BY 1, 2, 3),
+stuffed AS (SELECT DISTINCT s.class, s.level, s.frame, s.idx FROM shots s JOIN shared h ON h.frame = s.frame AND h.p = s.idx WHERE h.type = 'DontCare' AND h.i / h.a > s.lim),
+taken AS (SELECT t_idx, class, level, frame, got.idx AS idx FROM walk WHERE got IS NOT NULL),
+wrong_ones AS (SELECT c.level, c.type, c.t_idx, count(*) AS fp FROM cuts c JOIN shots s ON s.class = c.type AND s.level = c.level AND s.score >= c.threshold AND NOT s.low ANTI JOIN stuffed x ON x.class = s.class AND x.level = s.level AND x.frame = s.frame AND x.idx = s.idx
+  ANTI JOIN taken k ON k.t_idx = c.t_idx AND k.class = s.class AND k.level = s.level AND k.frame = s.frame AND k.idx = s.idx GROUP BY 1, 2, 3),
+judged AS (SELECT type, level, t_idx::INT AS t_idx, threshold, tp, coalesce(fp, 0) AS fp, fn, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, max(coalesce(tp / nullif(tp + coalesce(fp, 0), 0), 0.0)) OVER behind AS precision, max(coalesce(similarity / nullif(tp + coalesce(fp, 0), 0), 0.0)) OVER behind AS aos
+  FROM cuts JOIN right_ones USING (type, level, t_idx) LEFT JOIN wrong_ones USING (type, level, t_idx) WINDOW behind AS (PARTITION BY type, level ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+)
+
+
+def targets_oracle(body: str) -> str:
+    return oracle(TARGET_CURVE_SQL + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(targets_oracle(" SELECT type, level, t_idx, threshold, tp, fp, fn, round(recall, 6) AS recall, round(precision, 6) AS precision, round(aos, 6) AS aos FROM judged"), shared=False)
+def target_major_curve(v: Views) -> DataFrame:
+    return rounded(orientation.target_curve(*_image_boxes(v), "frame"), "recall", "precision", "aos")
+
+
+@query(targets_oracle(" SELECT type, level, round(coalesce(sum(precision) / 41, 0.0), 6) AS ap, round(coalesce(sum(aos) / 41, 0.0), 6) AS aos FROM (SELECT class AS type, level FROM setting WHERE class IN (SELECT type FROM shot WHERE x1 >= 0)) LEFT JOIN judged USING (type, level) GROUP BY 1, 2"), shared=False)
+def orientation_table(v: Views) -> DataFrame:
+    return rounded(orientation.target_table(*_image_boxes(v), "frame"), "ap", "aos")
+
+
 # what SQL does not express
 
 

@@ -24,6 +24,16 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).withColumn("label_idx", numbered).select("frame_id", "label_idx", *fields)
 
 
+def read_detections(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_labels`, with the score as the sixteenth field; lines without all sixteen numbers are skipped."""
+    parts = F.split(F.trim("line"), r"\s+")
+    fields = [F.try_element_at(parts, F.lit(k + 1)).try_cast(t).alias(n) for k, (n, t) in enumerate([*LABEL_FIELDS, ("score", "double")])]
+    whole = _lines(spark, path).select("frame_id", "line_no", *fields)
+    needed = [n for n, _ in LABEL_FIELDS if n not in ("truncated", "occluded")] + ["score"]
+    kept = whole.filter(" and ".join(f"{n} is not null" for n in needed))
+    return kept.withColumn("idx", F.row_number().over(_by_line()) - 1).drop("line_no")
+
+
 def _by_line():
     from pyspark.sql import Window as W
 
