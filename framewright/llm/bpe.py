@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -46,6 +47,10 @@ ENCODE_BYTES = 4 << 20
 LEAF_BYTES = 2048
 #: Bytes of a text beyond which it is halved.
 HALF_BYTES = 1 << 14
+#: Halves meet anywhere if there is a space or line feed to widen a window to within so many bytes on both sides ...
+NEAR_BYTES = 2048
+#: ... and farther off than these, which the first windows span.
+FIRST_BYTES = 128
 
 #: The pre-tokeniser's pattern; a fixed value of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -58,12 +63,21 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class Cuts(list):
+    """Where leaves start, and which of these are sure cuts."""
+
+    def __init__(self, cuts: list[int]):
+        super().__init__(cuts)
+        self.sure: set[int] = set()
+
+
 class Encoder:
     def __init__(self, path: str, leaf: int = LEAF_BYTES, table_size: int = TABLE_SIZE, half: int | None = HALF_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.check_split()
         self.library.no_truncation()
         self.library.no_padding()
         self.unsplit = Tokenizer.from_file(path)
@@ -72,6 +86,7 @@ class Encoder:
         self.unsplit.pre_tokenizer = pre_tokenizers.Sequence([])
         self.leaf, self.table_size, self.half = leaf, table_size, half
         self.joins = 0
+        self.widest = 0  # bytes of the widest window that was re-encoded
         self.table: dict[bytes, bytes | bool] = {}
         self.sure: dict[bytes, bytes | bool] = {}
         self.to_char = byte_characters()
@@ -104,24 +119,73 @@ class Encoder:
         leaves = self.encode_leaves(data, np.array([*(c for own in cuts for c in own), len(data)], dtype=np.int64))
         out, at = [], 0
         for own in cuts:
-            level = leaves[at : at + len(own)]
+            level = list(zip(leaves[at : at + len(own)], own, strict=True))
             at += len(own)
             while len(level) > 1:
-                level = [self.join_halves(level[k], level[k + 1]) for k in range(0, len(level), 2)]
-            out.append(level[0])
+                pairs = zip(level[::2], level[1::2], strict=False)
+                level = [(np.concatenate([a, b]) if start in own.sure else self.join_halves(a, b), first) for (a, first), (b, start) in pairs] + level[len(level) & ~1 :]
+            out.append(level[0][0])
         return out
 
-    def leaf_cuts(self, data: np.ndarray, start: int, end: int) -> list[int]:
-        """Where the leaves of a text's tree of halves start: a power of two of them, none much longer than ``half``."""
+    def check_split(self) -> None:
+        """Raise unless the vocabulary file splits texts as ``SPLIT`` does and changes nothing in them."""
+        file = json.loads(self.library.to_str())
+        split = file["pre_tokenizer"] or {}
+        if file["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("the vocabulary is not of byte-level BPE with the usual pre-tokeniser and no normaliser")
+
+    def leaf_cuts(self, data: np.ndarray, start: int, end: int) -> Cuts:
+        """Where the leaves of a text's tree of halves start: a power of two of them, none much longer than ``half``.
+
+        A cut stays where the halves meet if windows around it can be widened to a near space or line feed on
+        either side.  Elsewhere it moves on to the next sure cut of the pre-tokeniser, where encodings only have
+        to be put together.  An unsplit stretch has none: it stays within one leaf, and :meth:`tree` halves it.
+        """
         count = 1
         while self.half is not None and end - start > self.half * count:
             count *= 2
-        out = [start + (end - start) * k // count for k in range(count)]
+        out = Cuts([start])
+        clear = start  # up to here there is no sure cut
         for k in range(1, count):
-            while data[out[k]] & 0xC0 == 0x80:  # inside a character
-                out[k] += 1
+            at = start + (end - start) * k // count
+            while at < end and data[at] & 0xC0 == 0x80:  # inside a character
+                at += 1
+            if self.within_reach(data, start, at, end):
+                if out[-1] < at < end:
+                    out.append(at)
+            elif at > clear:
+                clear = self.next_sure_cut(data, start, at, end)
+                if out[-1] < clear < end:
+                    out.append(clear)
+                    out.sure.add(clear)
         return out
 
+    def within_reach(self, data: np.ndarray, start: int, at: int, end: int) -> bool:
+        """Whether both sides of a place have an end or a safe cut that is near, but not too near."""
+        left = at - start <= NEAR_BYTES or SAFE_CUT.search(data[at - NEAR_BYTES : at - FIRST_BYTES].tobytes())
+        return bool(left) and bool(end - at <= NEAR_BYTES or SAFE_CUT.search(data[at + FIRST_BYTES : at + NEAR_BYTES].tobytes()))
+
+    def next_sure_cut(self, data: np.ndarray, start: int, at: int, end: int) -> int:
+        """The first place from ``at`` where the pre-tokeniser cuts whatever is around it; ``end`` if there is none."""
+        margin = max((len(x.encode()) for x in self.specials), default=0) + 4
+        size = NEAR_BYTES
+        while True:
+            before, stop = max(start, at - margin), min(end, at + size + margin)
+            raw = data[before:stop].tobytes()
+            inside = [m.span() for m in self.special_bytes.finditer(raw)] if self.special_bytes else []
+            text = raw.decode("utf-8", "ignore")  # a character cut off at either side is left out
+            skipped = next(k for k in range(4) if k == len(raw) or raw[k] & 0xC0 != 0x80)
+            spots = (m.start() for m in SURE_CUT.finditer(text))
+            known, done = 0, skipped
+            for spot in spots:
+                done += len(text[known:spot].encode())
+                known = spot
+                if before + done >= at and (stop == end or before + done <= stop - margin) and not any(a < done < b for a, b in inside):
+                    return before + done
+            if stop == end:
+                return end
+            size *= 2
+
     def join_halves(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The encoding of two encoded halves of a text."""
         self.joins += 1
@@ -132,7 +196,9 @@ class Encoder:
                 a -= 1
             while b < len(right) and not self.is_cut(right[b - 1], right[b]):
                 b += 1
-            window = self.decode_bytes(np.concatenate([left[a:], right[:b]])).decode("utf-8")
+            raw = self.decode_bytes(np.concatenate([left[a:], right[:b]]))
+            self.widest = max(self.widest, len(raw))
+            window = raw.decode("utf-8")
             ids = np.array(self.library.encode(window, add_special_tokens=False).ids, dtype="<u4")
             if (a == 0 or ids[0] == left[a]) and (b == len(right) or ids[-1] == right[b - 1]):
                 return np.concatenate([left[:a], ids, right[b:]])
@@ -263,14 +329,15 @@ class Encoder:
         return out
 
     def tree(self, spelled: str) -> list[int]:
-        """Ids of one long unsplit word."""
-        count = 1
-        while len(spelled) / count > self.leaf:
-            count *= 2
-        cuts = [len(spelled) * k // count for k in range(count + 1)]
+        """Ids of one long unsplit word.
+
+        Leaves are equally long, a power of two by default, so that the leaves of a run of one character, whose
+        tokens are as long as powers of two, begin in step.  Runs of longer periods may need wider windows.
+        """
+        cuts = [*range(0, len(spelled), self.leaf), len(spelled)]
         level = [np.frombuffer(x, dtype="<u4").tolist() for x in self._batch([spelled[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], step=1)]
         while len(level) > 1:
-            level = [self.join(level[k], level[k + 1]) for k in range(0, len(level), 2)]
+            level = [self.join(a, b) for a, b in zip(level[::2], level[1::2], strict=False)] + level[len(level) & ~1 :]
         return level[0]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -279,6 +346,7 @@ class Encoder:
         while True:
             a, b = max(0, len(left) - reach), min(len(right), reach)
             window = "".join(self.library.id_to_token(k) for k in left[a:] + right[:b])
+            self.widest = max(self.widest, len(window))
             ids = self.unsplit.encode(window, add_special_tokens=False).ids
             if (a == 0 or ids[0] == left[a]) and (b == len(right) or ids[-1] == right[b - 1]):
                 return left[:a] + ids + right[b:]
@@ -310,6 +378,11 @@ class Encoder:
 
 
 SAFE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?%&*$#@()[]{}<>|/+-=_\"'")
+SAFE_CUT = re.compile(b"[" + re.escape("".join(sorted(SAFE))).encode() + b"][ \n]")
+#: Where letters, digits and signs meet, and before spaces and line feeds; signs without the apostrophe.
+SURE_CUT = regex.compile(
+    r"(?V1)(?<=\p{L})(?=[\p{N}\p{P}\p{S}])|(?<=\p{N})(?=[\p{L}\p{P}\p{S}])|(?<=[[\p{P}\p{S}]--'])(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}\p{P}\p{S}])(?=[ \n])"
+)
 #: A piece that ends so is followed by a true cut: no white space, control or separator character.
 SAFE_END = regex.compile(r"[^\s\p{C}\p{Z}]\Z")
 _CUT = regex.compile(r"(?V1)(?<=[^\s\p{C}\p{Z}])(?=[ \n])")

@@ -600,6 +600,31 @@ def test_halves_of_long_texts_join_exactly(path):
     assert small.encode(texts) == [exact(t) for t in texts] and small.joins > 10_000
 
 
+def test_windows_stay_small_where_nothing_splits_a_text(path):
+    rng = np.random.default_rng(13)
+    texts = {
+        "letters": "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 300_000)),
+        "one letter": "a" * 300_000,
+        "ideographs": "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 100_000))),
+        "ideographs with stops": "".join(chr(x) if k % 17 else "。" for k, x in enumerate(rng.integers(0x4E00, 0x9FA5, 60_000).tolist())),
+        "blanks": " " * 200_000,
+        "blanks between": "word" + " " * 100_000 + "x " * 9_000,
+        "tabs": "\t" * 60_000 + "a" * 40_000 + "\u3000" * 30_000,
+        "signs": "=" * 100_000 + "'s" * 20_000 + "'" * 50_000 + "s",
+        "specials": "".join(rng.choice(["a'", "'s", "<|endoftext|>", "1", "!", "x", "é"], 80_000)),
+        "addresses": "".join(rng.choice(["http://a.b/", "c?d=", "é&"], 60_000)),
+    }
+    for name, text in texts.items():
+        codec = bpe.Encoder(path)
+        assert codec.encode([text]) == [np.array(codec.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()], name
+        assert codec.widest <= 4096, name
+
+
+def test_a_vocabulary_that_splits_otherwise_is_refused(path):
+    with pytest.raises(ValueError, match="pre-tokeniser"):
+        bpe.Encoder(path.replace("byte_bpe_50k", "word_bpe_49k"))
+
+
 def test_tree_concatenation(path):
     small, library = bpe.Encoder(path, leaf=16), bpe.Encoder(path).library
     rng = np.random.default_rng(6)
