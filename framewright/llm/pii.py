@@ -9,16 +9,19 @@ kind       valid if                                         permuted
 =========  ===============================================  ==========================================
 card       13 to 19 digits pass the Luhn test               digits after the first; new check digit
 iban       passes the mod-97 test; unbroken or in fours     account part; new check digits
-phone      three, three and four digits, as written         the ten digits; 2-9 stays 2-9, 0-1 stays 0-1
+phone      three, three and four digits, as written; or     the last ten digits, or those after the country
+           eight to fifteen digits after a plus sign        code; 2-9 stays 2-9, 0-1 stays 0-1
 national   area, group and serial of a US number in range   within all such numbers
 ip         four numbers up to 255                           within all addresses
 date       a calendar day from 1900 to 2099                 within those days, in the same notation
 email      local part and domain                            letters and digits of the local part
-secret     access keys, passwords and tokens by their name  letters and digits of the value
+secret     access keys; passwords and tokens by their name  letters and digits of the value
+           in any case
 =========  ===============================================  ==========================================
 
 Neither secrets nor addresses have a greatest length.  Dates of numbers alone are read day first; those that
-are only valid month first are permuted among themselves.  Cards in the usual groupings that pass the test are
+are only valid month first are permuted among themselves.  If the day or the month has one digit, neither is
+padded in the pseudonym; the same day with and without padding has the same pseudonym.  Cards in the usual groupings that pass the test are
 looked up first, so that a number beside them (expiry, check value, count, another card) is never read as part
 of them; other groupings are read as far as they go.
 
@@ -67,15 +70,19 @@ def _in_fours(length: int) -> str:
 
 # The notations that are looked for, in the order of preference.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}(?![A-Za-z0-9-])"
-SECRET = r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|passwd|token|secret|api_key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,}+)"
+SECRET_NAMES = r"(?i:password|passwd|token|secret|api[_-]?key)"
+SECRET = rf"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])|{SECRET_NAMES} ?[=:] ?[\"']?[A-Za-z0-9+/_-]{{8,}}+)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 PRINTED_IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}} )(?:{'|'.join(_in_fours(n) for n in sorted(set(IBAN_LENGTHS.values())))})(?![A-Za-z0-9])"
-DATE = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z-])"
+DATE = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z-])"
 NATIONAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+INTERNATIONAL = r"(?<![0-9A-Za-z])\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9A-Za-z])"
+#: Country codes of one and of two digits; all others have three.
+COUNTRY_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9A-Za-z])"
 IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
-BEFORE_CARD = [EMAIL, SECRET, IBAN, PRINTED_IBAN, DATE, NATIONAL, PHONE]
+BEFORE_CARD = [EMAIL, SECRET, IBAN, PRINTED_IBAN, DATE, NATIONAL, PHONE, INTERNATIONAL]
 ANY = "|".join([*BEFORE_CARD, CARD, IP])
 #: Groupings of cards at every place where one may begin; the second is longer by a group than one of the first.
 GROUPED = [
@@ -88,8 +95,8 @@ GROUPED = [
 #: Whatever CARD finds has this.
 LONG_NUMBER = r"[0-9](?:[ -]?[0-9]){12}"
 #: Whatever ANY finds has one of these.
-HINT = r"[0-9@]|AKIA|password|passwd|token|secret|api_key"
-SECRET_HEAD = r"^(?:AKIA|(?:password|passwd|token|secret|api_key) ?[=:] ?[\"']?)"
+HINT = rf"[0-9@]|AKIA|{SECRET_NAMES}"
+SECRET_HEAD = rf"^(?:AKIA|{SECRET_NAMES} ?[=:] ?[\"']?)"
 
 FIRST_DAY, DAYS = "1900-01-01", 73_049
 DAY_PARTS = (17, 4_297)
@@ -228,8 +235,9 @@ def read(m: Column) -> Column:
     shape = (
         F.when(m.contains("@"), "email")
         .when(m.rlike(SECRET_HEAD), "secret")
+        .when(m.startswith("+"), "phone")
         .when(m.rlike("^[A-Z]"), "iban")
-        .when(m.rlike(r"^(?:[0-9]{4}-..-..|../../....|..\...\.....)$"), "date")
+        .when(m.rlike(r"^(?:[0-9]{4}-..-..|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})$"), "date")
         .when(m.rlike("^[0-9]{3}-..-....$"), "national")
         .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip")
         .when(F.char_length(plain) >= 13, F.when(m.rlike(f"^(?:{PHONE})$"), "phone").otherwise("card"))
@@ -237,8 +245,8 @@ def read(m: Column) -> Column:
     )
 
     def dated(r: Column) -> Column:
-        a, b, c = F.substr(r.plain, F.lit(1), F.lit(2)), F.substr(r.plain, F.lit(3), F.lit(2)), F.substr(r.plain, F.lit(5))
-        day_first = F.when(r.m.contains("-"), _day(F.substr(r.plain, F.lit(1), F.lit(4)), F.substr(c, F.lit(1), F.lit(2)), F.substr(c, F.lit(3)))).otherwise(_day(c, b, a))
+        a, b, c = (F.try_element_at(F.split(r.m, "[/.-]"), F.lit(k)) for k in (1, 2, 3))
+        day_first = F.when(r.m.contains("-"), _day(a, b, c)).otherwise(_day(c, b, a))
         month_first = F.when(~r.m.contains("-"), _day(c, a, b))
         is_date = r["shape"] == "date"
         return F.struct(r.m.alias("m"), r["shape"].alias("shape"), r.plain.alias("plain"), F.when(is_date, F.coalesce(day_first, month_first)).alias("days"), (is_date & day_first.isNull()).alias("month_first"))
@@ -275,7 +283,7 @@ def _respelled(h: Column, own: Column) -> Column:
     of = h.kind
     size = F.char_length(h.plain)
     whole = F.when(of.isin("email", "secret"), h.m).otherwise(h.plain)
-    head = F.when(of == "card", 1).when(of == "iban", 4).when(of == "phone", size - 10).when(of == "secret", F.char_length(F.regexp_extract(h.m, SECRET_HEAD, 0))).otherwise(0)
+    head = F.when(of == "card", 1).when(of == "iban", 4).when(of == "phone", F.when(h.m.rlike(f"^(?:{PHONE})$"), size - 10).otherwise(F.char_length(F.regexp_extract(h.m, COUNTRY_CODE, 0)) - 1)).when(of == "secret", F.char_length(F.regexp_extract(h.m, SECRET_HEAD, 0))).otherwise(0)
     body = F.when(of == "card", size - 2).when(of == "email", F.instr(h.m, "@") - 1).otherwise(F.char_length(whole) - head)
 
     def moved(cut: Column) -> Column:
@@ -321,9 +329,11 @@ def _recounted(h: Column, own: Column) -> Column:
         area = F.when(area + 1 >= 666, area + 2).otherwise(area + 1)
         national = F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.floor(v / SERIALS) % GROUPS + 1).cast("string"), 2, "0"), F.lpad((v % SERIALS + 1).cast("string"), 4, "0"))
         ip = F.concat_ws(".", *(F.floor(v / (1 << s)) % 256 for s in (24, 16, 8, 0)))
-        sign = F.substr(h.m, F.lit(3), F.lit(1))
+        sign = F.when(h.m.contains("/"), "/").otherwise(".")
         text = F.date_format(day_of(v), "yyyy-MM-dd")
-        year, month, day = F.substr(text, F.lit(1), F.lit(4)), F.substr(text, F.lit(6), F.lit(2)), F.substr(text, F.lit(9), F.lit(2))
+        bare = h.m.rlike(r"^.[/.]|[/.].[/.]")
+        part = lambda at: F.when(bare & (F.substr(text, F.lit(at), F.lit(1)) == "0"), F.substr(text, F.lit(at + 1), F.lit(1))).otherwise(F.substr(text, F.lit(at), F.lit(2)))
+        year, month, day = F.substr(text, F.lit(1), F.lit(4)), part(6), part(9)
         date = F.when(h.m.contains("-"), text).when(h.month_first, F.concat(month, sign, day, sign, year)).otherwise(F.concat(day, sign, month, sign, year))
         return F.when(of == "date", date).when(of == "ip", ip).otherwise(national)
 

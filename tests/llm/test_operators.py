@@ -421,6 +421,21 @@ def test_cards_beside_other_numbers(spark):
     assert got.text[4].startswith("2024 ") and got.text[4].endswith(" 123") and got.text[7][:19] == got.text[7][20:] == got.text[0][:19]
 
 
+def test_names_in_capitals_foreign_phones_and_short_dates(spark):
+    text = "PASSWORD=Hunter2abcdef Password: Hunter2abcdef API_KEY=abcdefgh12345 +49 30 12345678 or +493012345678, on 1/2/1990 and 01/02/1990, 1.2.1990"
+    (got,) = by_id(pii.pseudonymise(frame(spark, [text]), "k", found="kinds")).itertuples()
+    assert list(got.kinds) == ["secret"] * 3 + ["phone"] * 2 + ["date"] * 3
+    assert not any(x in got.text for x in ("Hunter2abcdef", "abcdefgh12345", "30 12345678", "3012345678", "1/2/1990", "01/02/1990", "1.2.1990"))
+    one, two = re.search(r"(\+49 .. .{8}) or (\+49.{10}),", got.text).groups()
+    assert one.replace(" ", "") == two
+    a, b, c = re.search(r"on (\S+) and (\S+), (\S+)$", got.text).groups()
+    day = lambda t: tuple(map(int, re.split("[/.]", t)))
+    assert day(a) == day(b) == day(c)
+    same = ["call 12+34567890 x", "version 1.2.19900", "+1 2 3", "1/2/90", "32/13/1990"]
+    kept = by_id(pii.pseudonymise(frame(spark, same), "k"))
+    assert kept.text.tolist()[1:] == same[1:]
+
+
 def test_number_permutation_is_one(spark):
     F = pii.F
     own = F.struct(F.lit(b"i" * 64).alias("inner"), F.lit(b"o" * 64).alias("outer"))
@@ -469,8 +484,10 @@ def plain_pseudonym(kind: str, m: str, key: str) -> str:
         local, _, domain = m.partition("@")
         return f"{characters(local)}@{domain}"
     if kind == "secret":
-        head = "AKIA" if m.startswith("AKIA") else re.match("[a-z_]+ ?[=:] ?[\"']?", m).group()
+        head = "AKIA" if m.startswith("AKIA") else re.match("[A-Za-z_-]+ ?[=:] ?[\"']?", m).group()
         return head + characters(m[len(head) :])
+    if kind == "phone" and (code := re.match(r"\+(351|49|1|7)[ .-]?(?!.*\d{3}[ .-]\d{4}$)", m)):
+        return refill(code[1] + characters(plain[len(code[1]) :]))
     if kind == "phone":
         return refill(plain[:-10] + characters(plain[-10:]))
     if kind == "card":
@@ -488,7 +505,8 @@ def plain_pseudonym(kind: str, m: str, key: str) -> str:
         area = v // (99 * 9999) + 1
         return f"{area + (area >= 666):03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
     first = datetime.date(1900, 1, 1)
-    sign = m[2]
+    sign = "/" if "/" in m else "."
+    bare = "-" not in m and {1} <= set(map(len, m.split(sign)))
     orders = ["%Y-%m-%d"] if "-" in m else [f"%d{sign}%m{sign}%Y", f"%m{sign}%d{sign}%Y"]
     for k, order in enumerate(orders):
         try:
@@ -499,7 +517,7 @@ def plain_pseudonym(kind: str, m: str, key: str) -> str:
             v = number(v, 17, 4297)
             day = first + datetime.timedelta(v)
             if not k or day.day > 12:
-                return day.strftime(order)
+                return sign.join(p.lstrip("0") for p in day.strftime(order).split(sign)) if bare else day.strftime(order)
 
 
 def luhn(digits):
@@ -525,13 +543,13 @@ def private_values(rng):
         account = some(digits + letters.upper(), pii.IBAN_LENGTHS[country] - 4)
         iban = next(f"{country}{c:02d}{account}" for c in range(2, 99) if mod97(f"{account}{country}{c:02d}") == 1)
         yield "iban", iban if rng.integers(2) else " ".join(iban[k : k + 4] for k in range(0, len(iban), 4))
-        yield "phone", [f"+1 ({some(digits, 3)}) {some(digits, 3)}-{some(digits, 4)}", f"{some(digits, 3)}-{some(digits, 3)}-{some(digits, 4)}", f"+49 {some(digits, 3)} {some(digits, 3)} {some(digits, 4)}"][rng.integers(3)]
+        yield "phone", [f"+1 ({some(digits, 3)}) {some(digits, 3)}-{some(digits, 4)}", f"{some(digits, 3)}-{some(digits, 3)}-{some(digits, 4)}", f"+49 {some(digits, 3)} {some(digits, 3)} {some(digits, 4)}", f"+49 {some(digits, 2)} {some(digits, 8)}", f"+351{some(digits, 9)}", f"+7.{some(digits, 3)}.{some(digits, 2)}.{some(digits, 2)}.{some(digits, 3)}"][rng.integers(6)]
         yield "national", f"{rng.integers(1, 666):03d}-{rng.integers(1, 100):02d}-{rng.integers(1, 10000):04d}"
         yield "ip", ".".join(map(str, rng.integers(0, 256, 4)))
         day = datetime.date(1900, 1, 1) + datetime.timedelta(int(rng.integers(73_049)))
-        yield "date", day.strftime(str(rng.choice(["%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y", "%m/%d/%Y"])))
+        yield "date", day.strftime(str(rng.choice(["%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y", "%m/%d/%Y", "%-d/%-m/%Y", "%-d.%-m.%Y", "%-m/%-d/%Y"])))
         yield "email", f"{some(letters + digits + '._%+-', int(rng.choice([1, 8, 64, 70, 300])))}@{'.'.join(some(letters, 5) for _ in range(rng.choice([1, 2, 14])))}.example"
-        yield "secret", [f"password={some(letters + digits, int(rng.choice([8, 17, 520, 600])))}", f'token = "{some(letters + digits + "+/_-", 600)}', "AKIA" + some(digits + letters.upper(), 16), f"api_key: {some(letters, 33)}"][rng.integers(4)]
+        yield "secret", [f"password={some(letters + digits, int(rng.choice([8, 17, 520, 600])))}", f'token = "{some(letters + digits + "+/_-", 600)}', "AKIA" + some(digits + letters.upper(), 16), f"api_key: {some(letters, 33)}", f"PASSWORD={some(letters, 9)}", f"Api-Key: {some(digits, 20)}"][rng.integers(6)]
 
 
 def test_pseudonyms_equal_plain_ones(spark):
