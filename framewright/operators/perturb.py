@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import geometry as g
 from framewright.functions.numeric import normal, uniform, wrap_angle
-from framewright.operators.spatial import within_angle
+from framewright.operators.spatial import outside_angle
 
 
 @dataclass(frozen=True)
@@ -126,14 +126,13 @@ def remove_objects_at_once(points: DataFrame, boxes: DataFrame, frame: str, cone
 def inject_ghost(points: DataFrame, ghost: DataFrame, frame: str, tolerance: float = 0.015) -> DataFrame:
     """Adds a ghost cloud to every frame and drops the points whose beams it blocks.
 
-    ``ghost`` (x, y, z, intensity) is one object's scan, a few thousand points; it meets each frame once.
+    ``ghost`` (x, y, z, intensity) is one object's scan, a few thousand points.  It is the same in every frame,
+    so only its own beams are broadcast, never a frame's copy of them.
     """
-    cloud = ghost.agg(F.collect_list(F.struct(*ghost.columns))).scalar()
-    frames = points.select(frame).distinct()
-    added = frames.withColumn("_g", F.explode(cloud)).select(frame, "_g.*").withColumn("point_idx", (F.row_number().over(W.partitionBy(frame).orderBy("x", "y", "z")) + (1 << 24)).cast("int"))
-    with_beam = lambda df: df.withColumn("_b", g.beam(F.col("x"), F.col("y"), F.col("z"))).withColumns({"az": F.col("_b.az"), "el": F.col("_b.el")}).drop("_b")
-    blocked = within_angle(with_beam(points), with_beam(added), frame, "point_idx", tolerance)
-    kept = points.join(blocked, [frame, "point_idx"], "left_anti").withColumn("injected", F.lit(False))
+    order = F.struct(*(f(c) for c in "xyz" for f in (F.isnull, F.col)))  # nulls last
+    numbered = ghost.agg(F.array_sort(F.collect_list(F.struct(order.alias("_o"), F.struct(*ghost.columns).alias("_g")))).alias("_a")).select(F.posexplode("_a").alias("_n", "_e")).select("_n", "_e._g.*")
+    added = points.select(frame).distinct().crossJoin(F.broadcast(numbered)).withColumn("point_idx", (F.col("_n") + 1 + (1 << 24)).cast("int")).drop("_n")
+    kept = outside_angle(points, ghost, tolerance).withColumn("injected", F.lit(False))
     shared = [c for c in points.columns if c in added.columns]
     extra = added.select(*(F.col(c) if c in shared else F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns)).withColumn("injected", F.lit(True))
     return kept.unionByName(extra)

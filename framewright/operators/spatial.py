@@ -76,14 +76,16 @@ def neighbour_counts(points: DataFrame, frame: str, key: str, eps: float) -> Dat
     return points.select(frame, key).join(found, [frame, key], "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
 
 
-def within_angle(points: DataFrame, others: DataFrame, frame: str, key: str, tolerance: float) -> DataFrame:
-    """The keys of points with another cloud's beam strictly nearer than ``tolerance`` in (az, el)."""
+def outside_angle(points: DataFrame, others: DataFrame, tolerance: float) -> DataFrame:
+    """The points without a beam of ``others`` strictly nearer than ``tolerance`` in azimuth and elevation;
+    ``others`` is one small cloud, for all frames the same."""
+    beam = g.beam(F.col("x"), F.col("y"), F.col("z"))
     shift = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    p = points.select(frame, key, "az", "el", cell(F.col("az"), tolerance).alias("_ca"), cell(F.col("el"), tolerance).alias("_ce"))
-    o = others.select(F.col(frame).alias("_f"), F.col("az").alias("_az"), F.col("el").alias("_el"), F.explode(shift).alias("_sa"))
-    o = o.withColumn("_se", F.explode(shift)).withColumns({"_a": cell(F.col("_az"), tolerance) + F.col("_sa"), "_e": cell(F.col("_el"), tolerance) + F.col("_se")})
-    near = F.hypot(F.col("az") - F.col("_az"), F.col("el") - F.col("_el")) < tolerance
-    return p.join(o, (p[frame] == o["_f"]) & (F.col("_ca") == F.col("_a")) & (F.col("_ce") == F.col("_e")) & near, "left_semi").select(frame, key)
+    o = others.select(beam.alias("_o")).withColumn("_sa", F.explode(shift)).withColumn("_se", F.explode(shift))
+    o = o.select("_o", (cell(F.col("_o.az"), tolerance) + F.col("_sa")).alias("_a"), (cell(F.col("_o.el"), tolerance) + F.col("_se")).alias("_e"))
+    p = points.withColumn("_p", beam).withColumns({"_ca": cell(F.col("_p.az"), tolerance), "_ce": cell(F.col("_p.el"), tolerance)})
+    near = F.hypot(F.col("_p.az") - F.col("_o.az"), F.col("_p.el") - F.col("_o.el")) < tolerance
+    return p.join(F.broadcast(o), (F.col("_ca") == F.col("_a")) & (F.col("_ce") == F.col("_e")) & near, "left_anti").select(*points.columns)
 
 
 def nearest_in_frame(left: DataFrame, right: DataFrame, frame: str, key: str, target: str) -> DataFrame:

@@ -382,3 +382,18 @@ def test_zero_denominators(spark):
     row = metrics.binary_metrics(df, "a", "p").first()
     assert row.tp == 0 and row.f1 == 0.0 and row.accuracy == 0.0
     assert metrics.success_rate(df, "a").count() == 0
+
+
+def test_a_ghost_is_broadcast_once_not_for_every_frame(spark):
+    from framewright.operators import perturb
+
+    cloud = "x double, y double, z double, intensity double"
+    points = spark.range(400).selectExpr("id % 50 as frame", "cast(id div 50 as int) as point_idx", "10.0D as x", "cast(id div 50 as double) as y", "0.0D as z", "1.0D as intensity")
+    ghost = spark.createDataFrame([(20.0, 0.0, 0.0, 5.0), (20.0, None, 0.0, 6.0), (5.0, 0.0, 0.0, 7.0)], cloud)
+    out = perturb.inject_ghost(points, ghost, "frame", 0.05)
+    got = out.collect()
+    assert len(got) == 50 * (7 + 3) and not [r for r in got if not r.injected and r.point_idx == 0]
+    first = sorted((r.point_idx - (1 << 24), r.x, r.y) for r in got if r.injected and r.frame == 7)
+    assert first == [(1, 5.0, 0.0), (2, 20.0, 0.0), (3, 20.0, None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "frame" not in next(x for x in plan.splitlines() if "Join LeftAnti" in x)
