@@ -182,7 +182,8 @@ def aligned_iou(a: Column, b: Column) -> Column:
     sides = [("x", "length"), ("y", "width"), ("z", "height")]
     overlap = F.lit(1.0)
     for c, s in sides:
-        overlap = overlap * F.greatest(F.lit(0.0), F.least(a[c] + a[s] / 2, b[c] + b[s] / 2) - F.greatest(a[c] - a[s] / 2, b[c] - b[s] / 2))
+        gap = (a[s] + b[s]) / 2 - F.abs(a[c] - b[c])  # nothing but the distance is rounded: 4 - |d| for two sides of 4
+        overlap = overlap * F.greatest(F.lit(0.0), F.when(F.isnan(gap), gap).otherwise(F.least(a[s], b[s], gap)))
     volume = lambda v: v.length * v.width * v.height
     return F.coalesce(F.try_divide(overlap, volume(a) + volume(b) - overlap), F.lit(0.0))
 

@@ -446,7 +446,7 @@ def iou_axis_aligned(v: Views) -> DataFrame:
     cells = a.select(F.col("box_id").alias("other"), F.col("label").alias("l2"), F.col("a").alias("b"), spatial.cell(F.col("a.x"), size).alias("cx2"))
     left = a.withColumn("cx2", F.explode(F.sequence(spatial.cell(F.col("a.x"), size) - 1, spatial.cell(F.col("a.x"), size) + 1)))
     pairs = left.join(cells, (left["label"] == cells["l2"]) & (left["cx2"] == cells["cx2"]) & (F.col("box_id") < F.col("other")))
-    return pairs.select("box_id", "other", F.round(g.aligned_iou(F.col("a"), F.col("b")), 6).alias("iou")).filter("iou > 0")
+    return rounded(pairs.select("box_id", "other", g.aligned_iou(F.col("a"), F.col("b")).alias("iou")).filter("iou > 0"), "iou")
 
 
 @query("""SELECT box_id, level FROM v_boxes, (VALUES ('Easy', 40, 0, 0.15), ('Moderate', 25, 1, 0.30), ('Hard', 25, 2, 0.50)) c(level, h, o, t)

@@ -397,3 +397,16 @@ def test_a_ghost_is_broadcast_once_not_for_every_frame(spark):
     assert first == [(1, 5.0, 0.0), (2, 20.0, 0.0), (3, 20.0, None)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftAnti" in plan and "frame" not in next(x for x in plan.splitlines() if "Join LeftAnti" in x)
+
+
+def test_the_least_overlap_of_aligned_boxes_is_kept(spark, duck, tmp_path):
+    import duckdb
+
+    boxes = [(0, 0.1, 0.1, 0.1), (1, 0.1 + 4 / 40 - 1e-6, 0.1, 0.1), (2, 0.1, 0.1 + 2 / 40 - 1e-5, 0.1 + 1.5 / 40 - 1e-5), (3, 0.2, 0.1, 0.1)]
+    spark.createDataFrame([(k, [float(v) for v in (x, y, z)] + [0.0] * 61, 1) for k, x, y, z in boxes], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("events", "documents", "labels"):
+        con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    got, want = catalogue.QUERIES["iou_axis_aligned"](spark, str(tmp_path)).toPandas(), con.execute(catalogue.ORACLES["iou_axis_aligned"]).df()
+    assert rows(got) == rows(want) and (got.iou == 0).any()
