@@ -1,4 +1,4 @@
-"""Training rows: the fold rule and bounded samples."""
+"""Training rows: the fold rule, all labelled rows, and bounded samples."""
 
 from __future__ import annotations
 
@@ -18,8 +18,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
 
     A document labelled more than once counts once, by its highest label.
     """
-    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    return _texts(docs, _least(rows, bound))
+    return _texts(docs, _least(_highest(labels, label), bound))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``label_id, digest, text`` of all documents of the learning folds that ``labels`` may name; whether they
+    do is for :func:`one_of_copies` to decide, which shuffles no text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.filter(F.col("label_id").isNotNull() & ~held_out("label_id")).select("label_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
+
+
+def one_of_copies(found: DataFrame, labels: DataFrame, label: str, value: str) -> DataFrame:
+    """``y`` and ``value`` of all labelled rows (``label_id, digest``): an id that several rows have counts once,
+    by its least digest, a document labelled more than once by its highest label, and so do copies of a text."""
+    named = _highest(labels, label).select(F.col("doc_id").cast("long").alias("label_id"), "y")
+    once = found.join(named, "label_id").groupBy("label_id").agg(F.min(F.struct("digest", value)).alias("_v"), F.first("y").alias("y"))
+    return once.groupBy("_v.digest").agg(F.max("y").alias("y"), F.first(f"_v.{value}").alias(value))
+
+
+def _highest(labels: DataFrame, label: str) -> DataFrame:
+    return labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
 
 
 def unlabelled_sample(docs: DataFrame, bound: int) -> DataFrame:

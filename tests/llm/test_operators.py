@@ -389,6 +389,30 @@ def test_ranking_against_a_plain_fit():
     assert abs((scores >= quality.RankConfig().cut_score).mean() - y[:n].mean()) < 0.01
 
 
+def test_ranking_learns_from_every_row_and_pair(spark):
+    """The loss, the pushes and the cut are those of all pairs, from the counts by strength; the fit in Spark is
+    the fit in memory, whatever the partitions."""
+    rng = np.random.default_rng(4)
+    counts = np.column_stack([rng.permutation(900)[:60] - 450, rng.integers(0, 4, (60, 2))])
+    loss, low, push = quality.all_pairs(counts)
+    good, poor = (np.repeat(counts[:, 0], counts[:, k]) for k in (1, 2))
+    gap = (poor[:, None] - good[None]) * quality.UNIT
+    assert abs(loss - np.log1p(np.exp(gap)).mean()) < 1e-9
+    wrong = 1 / (1 + np.exp(-gap))
+    assert np.allclose(push[0][poor - low], wrong.mean(axis=1)) and np.allclose(push[1][good - low], wrong.mean(axis=0))
+
+    n = 2000
+    x = rng.normal(size=(n, len(quality.FIGURES)))
+    y = (x[:, 0] + rng.logistic(size=n) > -1).astype(float)
+    held = quality.train(x, y, quality.RankConfig())
+    assert held.edges.shape == (len(quality.FIGURES), 30)
+    rows = spark.createDataFrame([(float(b), bytearray(a.tobytes())) for a, b in zip(x, y, strict=True)], "y double, x binary")
+    for parts in (1, 5):
+        stored = quality.descend(quality.StoredRows(rows.repartition(parts)), quality.RankConfig())
+        assert (stored.weights == held.weights).all() and (stored.edges == held.edges).all() and stored.cut == held.cut and stored.slope == held.slope
+    assert abs((held.strength(x) >= held.cut).mean() - y.mean()) < 0.01
+
+
 # op5
 
 
