@@ -84,36 +84,43 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[c]) - 1, c - 1) for c in range(1, m + 1) if owner[c])
 
 
-def neighbours_within(points: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """All ordered pairs (i, j), i itself included, at most ``eps`` apart, by way of a cell grid."""
+def neighbours_within(points: np.ndarray, eps: float, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ordered pairs (i, j), i itself included, at most ``eps`` apart and of one group, by way of a cell grid.
+    Points that are not finite have no pairs."""
+    rows = np.flatnonzero(np.isfinite(points).all(axis=1))
+    points = points[rows]
+    group = np.zeros(len(rows), dtype=np.int64) if group is None else group[rows]
     n, dims = points.shape
+    if not n:
+        return rows, rows
     cell = np.floor(points / eps).astype(np.int64)
     cell -= cell.min(axis=0) - 1
     size = cell.max(axis=0) + 2
-    stride = np.cumprod(np.append(1, size[:-1]))
-    key = cell @ stride
+    stride = np.cumprod(np.append(1, size))
+    key = cell @ stride[:-1] + group * stride[-1]
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     left, right = [], []
     for shift in np.stack(np.meshgrid(*[[-1, 0, 1]] * dims, indexing="ij"), -1).reshape(-1, dims):
-        want = key + int(shift @ stride)
+        want = key + int(shift @ stride[:-1])
         a, b = np.searchsorted(sorted_key, want, "left"), np.searchsorted(sorted_key, want, "right")
         i = np.repeat(np.arange(n), b - a)
         j = order[np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())]
-        near = ((points[i] - points[j]) ** 2).sum(axis=1) <= eps * eps
-        left.append(i[near])
-        right.append(j[near])
+        near = (((points[i] - points[j]) ** 2).sum(axis=1) <= eps * eps) & (group[i] == group[j])
+        left.append(rows[i[near]])
+        right.append(rows[j[near]])
     return np.concatenate(left), np.concatenate(right)
 
 
-def dbscan(points: np.ndarray, eps: float, least: int) -> np.ndarray:
+def dbscan(points: np.ndarray, eps: float, least: int, group: np.ndarray | None = None) -> np.ndarray:
     """Cluster numbers in order of their first core point, -1 for noise; a border point goes to the
-    cluster of least number that reaches it."""
+    cluster of least number that reaches it.  Points of several groups are clustered at once and numbered by
+    group; ``group`` has ascending numbers."""
     n = len(points)
     labels = np.full(n, -1)
     if n < least:
         return labels
-    i, j = neighbours_within(np.asarray(points, dtype=float), eps)
+    i, j = neighbours_within(np.asarray(points, dtype=float), eps, group)
     core = np.bincount(i, minlength=n) >= least
     root = np.arange(n)
     both = core[i] & core[j]
@@ -128,6 +135,8 @@ def dbscan(points: np.ndarray, eps: float, least: int) -> np.ndarray:
     heads = np.unique(root[core])
     number = np.full(n, -1)
     number[heads] = np.arange(len(heads))
+    if group is not None:
+        number[heads] -= np.searchsorted(group[heads], group[heads], "left")
     labels[core] = number[root[core]]
     reach = core[i] & ~core[j]
     border = np.full(n, n)
@@ -146,6 +155,18 @@ def rigid_fit(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.nd
     return r, b - r @ a
 
 
+def rigid_fits(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`rigid_fit` of many pairs of as many points."""
+    a, b = source.mean(axis=1), target.mean(axis=1)
+    u, _, vt = np.linalg.svd((source - a[:, None]).transpose(0, 2, 1) @ (target - b[:, None]))
+    u, v = u.transpose(0, 2, 1), vt.transpose(0, 2, 1)
+    flip = np.tile(np.eye(3), (len(v), 1, 1))
+    side = np.sign(np.linalg.det(v @ u))
+    flip[:, 2, 2] = np.where(side == 0, 1, side)
+    r = v @ flip @ u
+    return r, b - (r @ a[:, :, None])[:, :, 0]
+
+
 def nearest(source: np.ndarray, target: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Distance to and number of the nearest target of every source point."""
     best, which = np.empty(len(source)), np.empty(len(source), dtype=int)
@@ -174,6 +195,60 @@ def icp(source: np.ndarray, target: np.ndarray, reach: float = 0.5, rounds: int
     return moved, d <= reach
 
 
+def nearest_of(source: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Distance to and row of each source point's nearest target among its own: ``size`` rows from ``first`` on.
+    About ``most`` pairs are held at a time."""
+    best, which = np.empty(len(source)), np.empty(len(source), dtype=np.int64)
+    done = np.cumsum(size)
+    k = 0
+    while k < len(source):
+        end = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + most, "right")))
+        n = size[k:end]
+        starts = np.cumsum(n) - n
+        j = np.repeat(first[k:end] - starts, n) + np.arange(int(n.sum()))
+        d = ((np.repeat(source[k:end], n, axis=0) - target[j]) ** 2).sum(axis=1)
+        low = np.minimum.reduceat(d, starts)
+        at = np.flatnonzero(d == np.repeat(low, n))
+        which[k:end] = j[at[np.searchsorted(at, starts)]]
+        best[k:end] = np.sqrt(low)
+        k = end
+    return best, which
+
+
+def icp_of(source: np.ndarray, owner: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, reach: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`icp` of many small clouds at once: cloud ``owner`` of a source point, in ascending order, goes to
+    ``size`` target rows from ``first`` on.  Also the target row nearest to each point in the end."""
+    moved, m = source.copy(), len(first)
+    wide = np.bincount(owner, minlength=m)
+    begin = np.cumsum(wide) - wide
+    before, active = np.full(m, np.inf), np.ones(m, dtype=bool)
+    for _ in range(rounds):
+        rows = np.flatnonzero(active[owner])
+        if not len(rows):
+            break
+        d, k = nearest_of(moved[rows], target, first[owner[rows]], size[owner[rows]])
+        close = d <= reach
+        n = np.bincount(owner[rows[close]], minlength=m)
+        active &= n >= 3
+        pairs = np.cumsum(n) - n
+        p, q, d = moved[rows[close]], target[k[close]], d[close]
+        r, t, now = np.zeros((m, 3, 3)), np.zeros((m, 3)), np.full(m, np.inf)
+        for count in np.unique(n[active]):
+            some = np.flatnonzero(active & (n == count))
+            at = pairs[some][:, None] + np.arange(count)
+            r[some], t[some] = rigid_fits(p[at], q[at])
+            now[some] = (d[at] ** 2).mean(axis=1)
+        for count in np.unique(wide[active]):
+            some = np.flatnonzero(active & (wide == count))
+            at = begin[some][:, None] + np.arange(count)
+            moved[at] = moved[at] @ r[some].transpose(0, 2, 1) + t[some][:, None]
+        with np.errstate(invalid="ignore"):
+            active &= ~(np.abs(before - now) < 1e-9)
+        before = now
+    d, k = nearest_of(moved, target, first[owner], size[owner])
+    return moved, d <= reach, k
+
+
 def traverse(start: np.ndarray, end: np.ndarray, size: float) -> list[tuple[int, int, int]]:
     """Voxels that the segment passes in order; on equal distances z steps before y before x.
 

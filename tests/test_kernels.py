@@ -100,3 +100,23 @@ def test_traverse_has_no_cap():
     way = k.traverse(np.zeros(3), np.array([3000.0, 4000.0, -5000.0]), 0.5)
     assert len(way) > 20_000 and way[-1] == (6000, 8000, -10000)
     assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for p, q in zip(way, way[1:], strict=False))
+
+
+def test_many_groups_at_once_equal_one_by_one():
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 40, 30)
+    group = np.repeat(np.arange(30), size)
+    points = rng.normal(size=(len(group), 3)) * 4
+    points[::53] = np.nan
+    together = k.dbscan(points, 2.0, 3, group)
+    assert (together == np.concatenate([k.dbscan(points[group == g], 2.0, 3) for g in range(30)])).all() and together.max() > 0
+
+    points = rng.normal(size=(len(group), 3)) * 3
+    target = rng.normal(size=(20 * 30, 3)) * 3
+    first, wide = np.arange(30) * 20, rng.integers(3, 21, 30)
+    moved, close, near = k.icp_of(points, group, target, first, wide, 2.0)
+    for g in range(30):
+        alone, within = k.icp(points[group == g], target[first[g] : first[g] + wide[g]], 2.0)
+        assert np.allclose(moved[group == g], alone) and (close[group == g] == within).all()
+        assert (near[group == g] - first[g] == k.nearest(alone, target[first[g] : first[g] + wide[g]])[1]).all()
+    assert (k.nearest_of(points, target, first[group], wide[group], most=7)[1] == k.nearest_of(points, target, first[group], wide[group])[1]).all()
