@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from framewright.functions import geometry as g
 from framewright.functions.kernels import dbscan, traverse
 from framewright.functions.numeric import ratio, uniform
 from framewright.operators.clusters import aligned_sigma, centres, chains, cluster_points, ego_filter, level, radial_jitter
+from framewright.operators.grouped import map_groups
 from framewright.operators.spatial import empty_cells, neighbour_counts
 
 
@@ -42,7 +44,8 @@ def shadow_volume(points: DataFrame, frame: str, x: tuple[float, float] = (0.0,
 
     A void is a cluster of ground cells without a point; its pyramids, from the sensor to its cells, are
     filled with voxels up to ``ceiling``.  Objects are clusters above the ground; the clustering is this
-    engine's own.  One group is one frame's void cells and object boxes, both bounded by the region.
+    engine's own.  One group is one frame's void cells and object boxes, both bounded by the region; a call
+    handles many frames.
     """
     floor = points.filter(F.abs(F.col("z") - ground) <= delta)
     holes = empty_cells(floor, frame, x, y, stride).withColumns({"x": x[0] + (F.col("ix") + 0.5) * stride, "y": y[0] + (F.col("iy") + 0.5) * stride})
@@ -56,48 +59,61 @@ def shadow_volume(points: DataFrame, frame: str, x: tuple[float, float] = (0.0,
     half = voxel / 2
     axes = [np.arange(x[0] + half, x[1], voxel), np.arange(y[0] + half, y[1], voxel), np.arange(ground + half, ceiling, voxel)]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        cells = group[group["x"].notna()]
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         centre = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
-        volume = _unshaded(centre, cells[["x", "y"]].to_numpy(), cells["cluster"].to_numpy(), ground, stride, group.loc[group["x"].isna(), limits].to_numpy()) * voxel**3
-        return pd.DataFrame([(group[frame].iloc[0], len(volume), float(volume.max(initial=0.0)))], columns=[frame, "voids", "residual"])
-
-    found = rows.groupBy(frame).applyInPandas(run, f"{frame} string, voids int, residual double")
+        beams: dict[tuple[float, float], np.ndarray] = {}  # a cell's pyramid is the same in every frame
+        void = ~np.isnan(table.column("x").to_numpy())
+        spots, cluster = np.column_stack([table.column(c).to_numpy() for c in "xy"]), table.column("cluster").to_numpy()
+        boxes = np.column_stack([table.column(c).to_numpy() for c in limits])
+        out = []
+        for rows in np.split(np.arange(table.num_rows), starts[1:]):
+            cells, solid = rows[void[rows]], rows[~void[rows]]
+            out.append(_unshaded(centre, spots[cells], cluster[cells], ground, stride, boxes[solid], beams) * voxel**3)
+        heads = table.column(frame).take(pa.array(starts)).combine_chunks()
+        return pa.RecordBatch.from_arrays([heads, pa.array([len(v) for v in out], pa.int32()), pa.array([float(v.max(initial=0.0)) for v in out])], names=[frame, "voids", "residual"])
+
+    found = map_groups(rows, [frame], ["cluster", "x", "y"], run, f"{frame} string, voids int, residual double")
     typed = found.withColumn(frame, F.col(frame).cast(points.schema[frame].dataType))
     return _verdict(points, typed, frame, F.col("residual") > most, "voids", "residual")
 
 
-def _unshaded(centre: np.ndarray, cells: np.ndarray, cluster: np.ndarray, ground: float, side: float, boxes: np.ndarray) -> np.ndarray:
-    """Per cluster of cells how many voxel centres lie in their pyramids and behind no box."""
+def _unshaded(centre: np.ndarray, cells: np.ndarray, cluster: np.ndarray, ground: float, side: float, boxes: np.ndarray, beams: dict[tuple[float, float], np.ndarray]) -> np.ndarray:
+    """Per cluster of cells how many voxel centres lie in their pyramids and behind no box; ``beams`` keeps what
+    lies in each cell's pyramid, at most as many cells as the region has."""
+    free = np.ones(len(centre), dtype=bool)
+    still = np.abs(centre) <= 1e-9
     with np.errstate(divide="ignore", invalid="ignore"):
-        free = np.ones(len(centre), dtype=bool)
         for box in boxes:
             at = np.sort(box.reshape(2, 1, 3) / centre, axis=0)  # where the ray to a centre enters and leaves each slab
-            still = np.abs(centre) <= 1e-9
             outside = (box[:3] > 0) | (box[3:] < 0)
             enter = np.where(still, -np.inf, at[0]).max(axis=1)
             leave = np.where(still, np.where(outside, -np.inf, np.inf), at[1]).min(axis=1)
             free &= ~((enter <= leave) & (leave > 0) & (enter < 1))
-    seen = centre[free]
     out = []
     for k in np.unique(cluster):
-        inside = np.zeros(len(seen), dtype=bool)
-        for cx, cy in cells[cluster == k]:
-            way = np.array([cx, cy, ground])
-            far = np.linalg.norm(way)
-            if far < 1e-6:
-                continue
-            way /= far
-            up = np.array([1.0, 0.0, 0.0]) if abs(way[2]) > 0.999 else np.array([0.0, 0.0, 1.0])
-            u = np.cross(up, way)
-            u /= np.linalg.norm(u)
-            along = seen @ way
-            width = side / 2 * along / far
-            inside |= (along > 0) & (along < far) & (np.abs(seen @ u) < width) & (np.abs(seen @ np.cross(way, u)) < width)
-        out.append(inside.sum())
+        inside = np.zeros(len(centre), dtype=bool)
+        for spot in map(tuple, cells[cluster == k].tolist()):
+            if spot not in beams:
+                beams[spot] = _beam(centre, spot, ground, side)
+            inside |= beams[spot]
+        out.append((inside & free).sum())
     return np.array(out, dtype=float)
 
 
+def _beam(centre: np.ndarray, spot: tuple[float, float], ground: float, side: float) -> np.ndarray:
+    way = np.array([*spot, ground])
+    far = np.linalg.norm(way)
+    if far < 1e-6:
+        return np.zeros(len(centre), dtype=bool)
+    way /= far
+    up = np.array([1.0, 0.0, 0.0]) if abs(way[2]) > 0.999 else np.array([0.0, 0.0, 1.0])
+    u = np.cross(up, way)
+    u /= np.linalg.norm(u)
+    along = centre @ way
+    width = side / 2 * along / far
+    return (along > 0) & (along < far) & (np.abs(centre @ u) < width) & (np.abs(centre @ np.cross(way, u)) < width)
+
+
 def penetration(points: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
     """Per box: shares of its beams that end in front, inside and behind.  ``boxes`` has frame, idx and box."""
     hit = points.join(boxes, frame).withColumn("side", g.ray_class(F.col("x"), F.col("y"), F.col("z"), F.col("box"))).filter("side <> 'miss'")

@@ -410,3 +410,21 @@ def test_the_least_overlap_of_aligned_boxes_is_kept(spark, duck, tmp_path):
         con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     got, want = catalogue.QUERIES["iou_axis_aligned"](spark, str(tmp_path)).toPandas(), con.execute(catalogue.ORACLES["iou_axis_aligned"]).df()
     assert rows(got) == rows(want) and (got.iou == 0).any()
+
+
+@pytest.mark.parametrize("name", ["chain_association", "icp_sigma", "jitter_verdicts", "shadow_volume", "transport_verdicts"])
+def test_no_python_call_for_every_frame_or_scene(spark, name):
+    """A call handles a batch of frames, scenes or chains; a call each cost more than the work."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_chains_end_at_a_miss_or_a_small_cluster(spark):
+    from framewright.operators import clusters
+
+    rows = [("a", 0, 0, 5, 0.0), ("a", 1, 0, 5, 1.0), ("a", 1, 1, 5, 1.0), ("a", 2, 0, 5, 2.0), ("a", 4, 0, 5, 2.0), ("b", 3, 0, 1, 2.0), ("b", 4, 0, 5, 2.0), ("b", 5, 0, 5, 2.5), ("b", 6, 0, 5, 9.0)]
+    frame = spark.createDataFrame([(*r, 0.0, 0.0) for r in rows], "scene string, at int, cluster int, n_points long, x double, y double, z double")
+    got = {(r.scene, r.at, r.cluster): [(c.idx, c.cluster) for c in r.chain] for r in clusters.chains(frame, "scene", "at", 3, 1.5, 2).collect()}
+    assert len(got) == len(rows)
+    assert got["a", 2, 0] == [(2, 0), (1, 0), (0, 0)] and got["a", 1, 1] == [(1, 1), (0, 0)] and got["a", 4, 0] == [(4, 0)]
+    assert got["b", 4, 0] == [(4, 0)] and got["b", 5, 0] == [(5, 0), (4, 0)] and got["b", 6, 0] == [(6, 0)] and got["b", 3, 0] == [(3, 0)]
